@@ -31,11 +31,15 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("token_records", "record_documents")(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op("toxicity", "score_documents")(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("url_filter", "judge")(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_external_shuffle, op7_token_records, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_external_shuffle, op7_token_records, op8_factorization_machine, op10_url_trie)}
 
 ORACLE_SQL = {
     "op10_url_trie": r"""

@@ -37,6 +37,9 @@ _FOLDED[65:91] = _PLAIN[97:123]
 #: The separators of a word: space, tab, line feed, vertical tab, form feed, return.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII character but letters and digits separates terms.
+TERM_SEPARATOR = np.ones(256, bool)
+TERM_SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -87,9 +90,9 @@ def _together(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if len(parts) > 1 else parts[0]), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words `[^\\x20\\x09-\\x0D]+`; none goes over a row's end."""
-    inside = ~SEPARATOR[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words, by default `[^\\x20\\x09-\\x0D]+`; none goes over a row's end."""
+    inside = ~separator[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -103,23 +106,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each row the index of its first word (one more at the end).
     Long rows are taken in segments cut at separators."""
-    if len(data) <= 2 * SEGMENT:
-        starts, ends = word_spans(data, offsets)
-        h = prefix_hash(data, fold)
-        return span_hash(h, starts, ends), np.searchsorted(starts, offsets)
-    assert len(offsets) == 2, "only a single row may be longer than a segment"
-    out, lo = [], 0
-    while lo < len(data):
-        hi = min(len(data), lo + SEGMENT)
-        while hi < len(data) and not SEPARATOR[data[hi]]:
-            cut = np.flatnonzero(SEPARATOR[data[hi : hi + SEGMENT]])
-            hi = hi + int(cut[0]) if len(cut) else min(len(data), hi + SEGMENT)
-        piece = data[lo:hi]
-        starts, ends = word_spans(piece, np.array([0, len(piece)]))
+    out, at = [], offsets
+    for piece, at in segments(data, offsets):
+        starts, ends = word_spans(piece, at)
         out.append(span_hash(prefix_hash(piece, fold), starts, ends))
-        lo = hi
-    found = np.concatenate(out)
-    return found, np.array([0, len(found)])
+        at = np.searchsorted(starts, at)
+    found = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return found, at if len(out) == 1 else np.array([0, len(found)] if len(offsets) == 2 else np.zeros(len(offsets), int))
 
 
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -131,6 +124,22 @@ def runs(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out + U(width))
 
 
+def segments(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same rows, or a long row's segments one by one, cut at separators."""
+    if len(data) <= 2 * SEGMENT:
+        yield data, offsets
+        return
+    assert len(offsets) == 2, "only a single row may be longer than a segment"
+    lo = 0
+    while lo < len(data):
+        hi = min(len(data), lo + SEGMENT)
+        while hi < len(data) and not separator[data[hi]]:
+            cut = np.flatnonzero(separator[data[hi : hi + SEGMENT]])
+            hi = hi + int(cut[0]) if len(cut) else min(len(data), hi + SEGMENT)
+        yield data[lo:hi], np.array([0, hi - lo])
+        lo = hi
+
+
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     """For each row its distinct shingles, ascending: runs of `width` lower-cased words; the
     whole sequence as one where there are fewer; nothing without words."""
