@@ -29,7 +29,8 @@ def shuffle_shards(docs: DataFrame, shards: int, seed: int, out: str, bucket_byt
     docs = docs.drop("slot", "shard")
     text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text) + 64).alias("b")).first()
-    buckets = max(1, -(-(total.b or 0) // bucket_bytes))
+    # tasks for every core on small tables, buckets of bounded bytes on large ones
+    buckets = max(base.parts_for(spark, 0, 1), -(-(total.b or 0) // bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(text), F.octet_length(text)), F.lit(buckets)).cast("int")
     scattered = docs.select(F.struct("doc_id", *[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]).alias("record"), bucket.alias("bucket"))
     before = (  # as many rows as buckets
