@@ -35,11 +35,15 @@ def op8_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("toxicity", "score_documents")(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op("ngram_join", "components_of")(table(spark, sf_dir, "documents"), width=5, share=(75, 100))
+
+
 def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("url_filter", "judge")(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_external_shuffle, op7_token_records, op8_factorization_machine, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_external_shuffle, op7_token_records, op8_factorization_machine, op9_ngram_join, op10_url_trie)}
 
 ORACLE_SQL = {
     "op10_url_trie": r"""

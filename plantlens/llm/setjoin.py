@@ -55,20 +55,31 @@ class Members:
     before an exact join, so a full one costs time and no result."""
 
     WIDTH = 1 << 24
+    BLOCKS = 64
 
     def __init__(self, bits: np.ndarray):
-        self.bits = np.packbits(bits > 0)
+        self.bits = bits
 
     @classmethod
     def of(cls, df: DataFrame, key: str) -> Members:
+        names = ["block", "bits"]
+
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.zeros(cls.WIDTH, np.uint8)
             for batch in batches:
                 seen[cls.place(batch.column(0).drop_null().to_numpy())] = 1
-            packed = pack_counts(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.binary())], ["block", "counts"])
-
-        return cls(summed(df.select(key).mapInArrow(mark, "block int, counts binary"), cls.WIDTH))
+            blocks = np.packbits(seen).reshape(cls.BLOCKS, -1)
+            held = np.flatnonzero(blocks.any(axis=1)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in held], pa.binary())], names)
+
+        def either(group: pa.Table) -> pa.Table:
+            bits = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in group.column("bits")])
+            return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
+
+        out = np.zeros((cls.BLOCKS, cls.WIDTH // 8 // cls.BLOCKS), np.uint8)
+        for row in df.select(key).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary").collect():
+            out[row.block] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+        return cls(out.reshape(-1))
 
     @classmethod
     def place(cls, keys: np.ndarray) -> np.ndarray:
