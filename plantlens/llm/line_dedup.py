@@ -207,12 +207,15 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     links = scratch.write(first.union(verified(more, lines, width, share)), "links")
     labels = scratch.write(setjoin.components(scratch, links, "all"), "components")
     scratch.drop("lists", "stars", "candidates", "first", "labels", "links")
-    located = described.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("at"))
-    # only lines of several places or of a component of several lines have a choice
-    named = located.join(labels, "key").select("component", "at").groupBy("component").agg(F.min("at").alias("rep"))
-    other = scratch.write(labels.join(named, "component").select("key", "rep"), "reps")
-    all_lines = described.join(located, "key").join(other, "key", "left").withColumn("rep", F.coalesce("rep", "at"))
-    return all_lines.select("doc_id", "place", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.place").alias("rep_place"), ((F.col("doc_id") == F.col("rep.doc_id")) & (F.col("place") == F.col("rep.place"))).alias("keep"))
+    located = described.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
+    named = located.join(labels, "key", "left").where("n > 1 or component is not null").select("key", "at", F.coalesce("component", "key").alias("component"))
+    named = scratch.write(named, "named")
+    reps = named.groupBy("component").agg(F.min("at").alias("rep"))
+    reps = scratch.write(named.join(reps, "component").select("key", "rep"), "reps")
+    scratch.drop("named", "components")
+    here = F.struct("doc_id", "place")
+    all_lines = described.join(reps, "key", "left").withColumn("rep", F.coalesce("rep", here))
+    return all_lines.select("doc_id", "place", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.place").alias("rep_place"), (here == F.col("rep")).alias("keep"))
 
 
 def decide_documents(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,10 @@ def _op(module: str, name: str) -> Callable:
     return getattr(importlib.import_module(f"plantlens.llm.{module}"), name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op("line_dedup", "decide_documents")(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("bpe", "encode_documents")(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
@@ -27,6 +31,14 @@ def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("sharding", "shard_documents")(table(spark, sf_dir, "documents"), shards=24, seed=42)
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op("decontaminate", "find")(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op("audio", "describe")(table(spark, sf_dir, "documents"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("token_records", "record_documents")(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -43,7 +55,7 @@ def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("url_filter", "judge")(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_external_shuffle, op7_token_records, op8_factorization_machine, op9_ngram_join, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op4_external_shuffle, op5_spaced_seeds, op6_wav_fingerprints, op7_token_records, op8_factorization_machine, op9_ngram_join, op10_url_trie)}
 
 ORACLE_SQL = {
     "op10_url_trie": r"""

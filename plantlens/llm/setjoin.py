@@ -146,13 +146,15 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     before = None
     for i in range(1, 60):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written, so that the join below has two plain shuffles and Spark can split hubs
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}m{i}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch.write(large, f"{name}l{i}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = scratch.write(small, f"{name}{i}")
         state = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"{name}{i - 1}")
+        scratch.drop(f"{name}{i - 1}", f"{name}m{i}", f"{name}l{i}")
         if state == before:
             break
         before = state
