@@ -268,3 +268,10 @@ def _links(spark: SparkSession, scratch: base.Scratch, docs: DataFrame, rows: Da
     more = scratch.write(more.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more")
     second = verified(more, docs, reps, width, share)
     return first.union(second)
+
+
+def first_of_each(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:
+    """The rows of docs but those in whose component another document has a lesser doc_id.
+    Rows with a null doc_id stay."""
+    gone = components_of(docs, width, share).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

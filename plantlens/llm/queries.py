@@ -19,6 +19,10 @@ def _op(module: str, name: str) -> Callable:
     return getattr(importlib.import_module(f"plantlens.llm.{module}"), name)
 
 
+def op1_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _op("quality", "score_documents")(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("line_dedup", "decide_documents")(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _op("url_filter", "judge")(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_byte_bpe, op4_external_shuffle, op5_spaced_seeds, op6_wav_fingerprints, op7_token_records, op8_factorization_machine, op9_ngram_join, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op1_co_training, op2_line_dedup, op3_byte_bpe, op4_external_shuffle, op5_spaced_seeds, op6_wav_fingerprints, op7_token_records, op8_factorization_machine, op9_ngram_join, op10_url_trie)}
 
 ORACLE_SQL = {
     "op10_url_trie": r"""
