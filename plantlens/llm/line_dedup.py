@@ -9,8 +9,8 @@ find over the links, distributed, gives the components, and each component's fir
 doc_id, then place) stays.
 
 Equal lines (by their lower-cased bytes) stand as one throughout. A bucket gives links to
-its smallest member, and every other pair that is still in two components afterwards is
-examined in blocks of bounded size, so no candidate pair between components goes unexamined.
+its smallest member, then to one chosen by hash, and every pair that is still in two
+components afterwards is examined in blocks of bounded size, so no candidate pair between components goes unexamined.
 
 Lines without a word (empty or white space) are layout: they stay, and link with nothing.
 A line shorter than a shingle is its own single shingle. Null texts stay null, empty ones
@@ -200,13 +200,15 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     candidates = found.select("key").distinct()
     lines = scratch.write(fetch_lines(docs, candidates), "candidates")
     first = scratch.write(verified(stars, lines, width, share), "first")
-    labels = scratch.write(setjoin.components(scratch, first, "stars"), "labels")
-    open_ = setjoin.unresolved(found, labels)
-    more = pairs_in_blocks(setjoin.in_chunks(open_, spark), share)
-    more = more.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    links = scratch.write(first.union(verified(more, lines, width, share)), "links")
+    labels = scratch.write(setjoin.components(scratch, first, "stars"), "labels0")
+    mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
+    chance = scratch.write(verified(setjoin.random_stars(mixed), lines, width, share), "chance")
+    labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance"), "labels1")
+    mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
+    rest = scratch.write(pairs_in_blocks(setjoin.in_chunks(mixed, spark), share), "rest")
+    links = scratch.write(first.union(chance).union(verified(rest, lines, width, share)), "links")
     labels = scratch.write(setjoin.components(scratch, links, "all"), "components")
-    scratch.drop("lists", "stars", "candidates", "first", "labels", "links")
+    scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest", "links")
     located = described.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
     named = located.join(labels, "key", "left").where("n > 1 or component is not null").select("key", "at", F.coalesce("component", "key").alias("component"))
     named = scratch.write(named, "named")

@@ -251,7 +251,7 @@ def components_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75,
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = scratch.write(named.join(least, "component").select("key", "component_id"), "names")
     result = rows.join(of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    scratch.drop("lists", "links")
+    scratch.drop("lists", "links", "stars", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest")
     return result
 
 
@@ -262,12 +262,14 @@ def _links(spark: SparkSession, scratch: base.Scratch, docs: DataFrame, rows: Da
     stars = found.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     stars = scratch.write(near_enough(stars, sketches, share), "stars")
     first = scratch.write(verified(stars, docs, reps, width, share), "first")
-    labels = scratch.write(setjoin.components(scratch, first, "stars"), "labels")
-    open_ = setjoin.unresolved(found, labels).join(sketches, "key").select("token", "key", "n", "component", "sketch")
-    more = pairs_in_blocks(setjoin.in_chunks(open_, spark), share)
-    more = scratch.write(more.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "more")
-    second = verified(more, docs, reps, width, share)
-    return first.union(second)
+    labels = scratch.write(setjoin.components(scratch, first, "stars"), "labels0")
+    mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
+    chance = scratch.write(verified(near_enough(setjoin.random_stars(mixed), sketches, share), docs, reps, width, share), "chance")
+    labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance"), "labels1")
+    mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
+    open_ = mixed.join(sketches, "key").select("token", "key", "n", "component", "sketch")
+    rest = scratch.write(pairs_in_blocks(setjoin.in_chunks(open_, spark), share), "rest")
+    return first.union(chance).union(verified(rest, docs, reps, width, share))
 
 
 def first_of_each(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:

@@ -169,6 +169,15 @@ def unresolved(found: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(mixed, "token")
 
 
+def random_stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each member of a mixed list with the list's leader, where that is of
+    another component. Leaders are chosen by a hash of token and key, so that the members of
+    a dense group meet many others, and few pairs are left to examine one by one."""
+    leader = members.groupBy("token").agg(F.min_by(F.struct("key", "component"), F.xxhash64("token", "key")).alias("leader"))
+    pairs = members.join(leader, "token").where("component <> leader.component")
+    return pairs.select(F.greatest("key", "leader.key").alias("a"), F.least("key", "leader.key").alias("b")).distinct()
+
+
 def in_chunks(members: DataFrame, spark: SparkSession) -> DataFrame:
     """members with the columns block and side: lists of up to CHUNK members are one block;
     a longer one is cut by a hash of the key, and each pair of its chunks is a block, so
