@@ -194,20 +194,21 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     parts = max(256, total // 100 * bands // 100_000)
     described, postings = scan(docs, width, bands, rows, parts)
+    described = scratch.write(described, "described")
     found = scratch.write(setjoin.lists(postings), "lists")
     stars = found.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     stars = scratch.write(stars, "stars")
     candidates = found.select("key").distinct()
     lines = scratch.write(fetch_lines(docs, candidates), "candidates")
     first = scratch.write(verified(stars, lines, width, share), "first")
-    labels = scratch.write(setjoin.components(scratch, first, "stars"), "labels0")
+    labels = scratch.write(setjoin.components(scratch, first, "first_"), "labels0")
     mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
     chance = scratch.write(verified(setjoin.random_stars(mixed), lines, width, share), "chance")
-    labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance"), "labels1")
+    labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
     rest = scratch.write(pairs_in_blocks(setjoin.in_chunks(mixed, spark), share), "rest")
     links = scratch.write(first.union(chance).union(verified(rest, lines, width, share)), "links")
-    labels = scratch.write(setjoin.components(scratch, links, "all"), "components")
+    labels = scratch.write(setjoin.components(scratch, links, "all_"), "components")
     scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest", "links")
     located = described.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
     named = located.join(labels, "key", "left").where("n > 1 or component is not null").select("key", "at", F.coalesce("component", "key").alias("component"))

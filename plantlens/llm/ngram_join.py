@@ -17,7 +17,7 @@ exactly. So no link between components is lost, and dense groups cost linear wor
 Documents with equal sets stand as one set throughout. Null or empty texts and texts
 without words have empty sets and are linked with nothing; fewer words than a shingle make
 one shingle; other columns are ignored; repeated rows keep a row each; an empty table gives
-no rows. A null doc_id keeps its row and never is a component's name unless alone.
+no rows. A row with a null doc_id stays and links nothing; its set's component is its own.
 """
 
 from __future__ import annotations
@@ -163,10 +163,11 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return wanted.join(found, ["doc_id", "key"]).select("key", "tokens").dropDuplicates(["key"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, share: tuple[int, int], scratch: base.Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of keys whose sets reach the share, by T-occurrence search of b's
-    set against the sets of its candidates."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(reps, "key")
+    set against the sets of its candidates. pairs and known are written tables."""
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(known.select("key", "doc_id"), "key")
+    wanted = scratch.write(wanted, f"{name}_wanted")
     sets = fetch_sets(docs, wanted, width)
     mine = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
     both = mine.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -244,32 +245,33 @@ def components_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75,
     parts = max(256, int(estimates.sum()) // 4 // per_part)
     found = scratch.write(setjoin.lists(short_lists(docs, estimates, parts, width, share)), "lists")
     links = scratch.write(_links(spark, scratch, docs, rows, found, width, share), "links")
-    labels = setjoin.components(scratch, links, "all")
+    labels = setjoin.components(scratch, links, "all_")
     # names: the least doc_id of a component's documents
     named = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = named.join(labels, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = scratch.write(named.join(least, "component").select("key", "component_id"), "names")
     result = rows.join(of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    scratch.drop("lists", "links", "stars", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest")
+    scratch.drop("lists", "links", "known", "stars", "stars_wanted", "first", "labels0", "mixed0", "tries", "tries_wanted", "chance", "labels1", "mixed1", "rest", "rest_wanted")
     return result
 
 
 def _links(spark: SparkSession, scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    num, den = share
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    sketches = rows.where("n > 0").select("key", "n", "sketch").dropDuplicates(["key"])
+    known = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    known = scratch.write(known, "known")
+    sketches = known.select("key", "n", "sketch")
     stars = found.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     stars = scratch.write(near_enough(stars, sketches, share), "stars")
-    first = scratch.write(verified(stars, docs, reps, width, share), "first")
-    labels = scratch.write(setjoin.components(scratch, first, "stars"), "labels0")
+    first = scratch.write(verified(stars, docs, known, width, share, scratch, "stars"), "first")
+    labels = scratch.write(setjoin.components(scratch, first, "first_"), "labels0")
     mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
-    chance = scratch.write(verified(near_enough(setjoin.random_stars(mixed), sketches, share), docs, reps, width, share), "chance")
-    labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance"), "labels1")
+    tries = scratch.write(near_enough(setjoin.random_stars(mixed), sketches, share), "tries")
+    chance = scratch.write(verified(tries, docs, known, width, share, scratch, "tries"), "chance")
+    labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
     open_ = mixed.join(sketches, "key").select("token", "key", "n", "component", "sketch")
     rest = scratch.write(pairs_in_blocks(setjoin.in_chunks(open_, spark), share), "rest")
-    return first.union(chance).union(verified(rest, docs, reps, width, share))
+    return first.union(chance).union(verified(rest, docs, known, width, share, scratch, "rest"))
 
 
 def first_of_each(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:

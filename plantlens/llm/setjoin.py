@@ -77,7 +77,7 @@ class Members:
             return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
 
         out = np.zeros((cls.BLOCKS, cls.WIDTH // 8 // cls.BLOCKS), np.uint8)
-        for row in df.select(key).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary").collect():
+        for row in df.select(key).coalesce(64).mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary").collect():
             out[row.block] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
         return cls(out.reshape(-1))
 
@@ -140,24 +140,24 @@ def lists(postings: DataFrame) -> DataFrame:
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """key, component (its least key) of every key that has an edge (a, b), by alternating
-    large and small stars. Hubs are joined, never gathered; each round is written."""
+    large and small stars, until every edge ends at a root. Hubs are joined, never gathered;
+    each round is written."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = scratch.write(edges, f"{name}0")
-    before = None
     for i in range(1, 60):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join below has two plain shuffles and Spark can split hubs
         least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}m{i}")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = scratch.write(large, f"{name}l{i}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = scratch.write(small, f"{name}{i}")
-        state = edges.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}{i - 1}", f"{name}m{i}", f"{name}l{i}")
-        if state == before:
+        # done when each u has one v, and no v is a u
+        ends = edges.select("u", F.lit(1).alias("one"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("one").alias("one"), F.max("root").alias("root")).where("one > 1 or (one = 1 and root = 1)").isEmpty():
             break
-        before = state
     roots = edges.select(F.col("v").alias("u")).distinct()
     return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(roots.select(F.col("u").alias("key"), F.col("u").alias("component")))
 
