@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.llm import base, setjoin
@@ -166,26 +166,6 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, share: tuple[int, i
     return both.mapInArrow(run, "a long, b long")
 
 
-def pairs_in_blocks(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of one bucket and of different components, whose sizes may be alike."""
-    num, den = share
-
-    def run(group: pa.Table) -> pa.Table:
-        key, size, component, mine = (group.column(c).to_numpy() for c in ("key", "size", "component", "mine"))
-        two = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(key)):
-            # twice the share, as repeated shingles count in the sizes here
-            ok = (key > key[i]) & (component != component[i]) & (2 * den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i]))
-            j = np.flatnonzero(ok & (mine != mine[i]) if two else ok)
-            left.append(np.full(len(j), key[i]))
-            right.append(key[j])
-        return pa.table({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
-
-    blocks = members.select("block", F.col("block.lo").alias("lo"), F.col("block.hi").alias("hi"), "key", "size", "component", "mine")
-    return blocks.groupBy("block").applyInArrow(run, "a long, b long").distinct()
-
-
 def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, place, rep_doc_id, rep_place, keep of every line with a word: the line of
     its component that stays, and whether it is this one."""
@@ -206,7 +186,8 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     chance = scratch.write(verified(setjoin.random_stars(mixed), lines, width, share), "chance")
     labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
-    rest = scratch.write(pairs_in_blocks(setjoin.in_chunks(mixed, spark), share), "rest")
+    # half the share, as repeated shingles count in a line's size here
+    rest = scratch.write(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed), share[0], 2 * share[1]), "rest")
     links = scratch.write(first.union(chance).union(verified(rest, lines, width, share)), "links")
     labels = scratch.write(setjoin.components(scratch, links, "all_"), "components")
     scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest", "links")

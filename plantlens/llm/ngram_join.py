@@ -28,13 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.llm import base, setjoin
 from plantlens.llm import textmath as tm
 
-WIDTH = 1 << 20  # counters of the tokens' estimated frequency
+WIDTH = 1 << 22  # counters of the tokens' estimated frequency
 
 
 # -- the T-occurrence search itself ------------------------------------------------------
@@ -90,6 +90,20 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
+def distances(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """apart() of each row's two sketches, for rows of equal lengths at once."""
+    sides = []
+    for column in (left, right):
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        sides.append((np.frombuffer(column.buffers()[2], np.uint8), at[:-1].astype(np.int64), np.diff(at)))
+    (x, xs, xn), (y, ys, yn) = sides
+    out = np.zeros(len(left), np.int64)
+    for a, b in np.unique(np.stack([xn, yn], axis=1), axis=0).tolist():
+        rows = np.flatnonzero((xn == a) & (yn == b))
+        out[rows] = apart(x[xs[rows, None] + np.arange(a)], y[ys[rows, None] + np.arange(b)])
+    return out
+
+
 # -- the distributed join ----------------------------------------------------------------
 
 
@@ -101,7 +115,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sets = list(tm.shingle_sets(batch.column(1), width))
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            counts += np.bincount((flat >> tm.U(44)).astype(np.int64), minlength=WIDTH)
+            counts += np.bincount((flat >> tm.U(42)).astype(np.int64), minlength=WIDTH)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([tm.set_key(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                 names,
@@ -130,7 +144,7 @@ def short_lists(docs: DataFrame, estimates: np.ndarray, parts: int, width: int,
                     continue
                 seen.add(key)
                 prefix = n - -(-num * n // den) + 1
-                first = np.argsort(estimate[(s >> tm.U(44)).astype(np.int64)], kind="stable")[:prefix]
+                first = np.argsort(estimate[(s >> tm.U(42)).astype(np.int64)], kind="stable")[:prefix]
                 tokens.append(s[first])
                 sizes.append(np.full(prefix, n, np.int64))
                 keys.append(np.full(prefix, key, np.int64))
@@ -198,41 +212,12 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            d = np.array([apart(*(np.frombuffer(x.as_buffer(), np.uint8) for x in ab)) for ab in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+            d = distances(batch.column(4), batch.column(5))
             yield batch.select(["a", "b"]).filter(pa.array((num + den) * d <= (den - num) * total))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def pairs_in_blocks(members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of members of one block, of different components, whose sizes and
-    sketches leave the similarity possible, tested in numpy row by row."""
-    num, den = share
-
-    def run(group: pa.Table) -> pa.Table:
-        key, size, component, mine = (group.column(c).to_numpy() for c in ("key", "n", "component", "mine"))
-        lo, hi = int(group.column("lo")[0].as_py()), int(group.column("hi")[0].as_py())
-        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column("sketch").combine_chunks()]
-        length = np.array([len(s) for s in sketches])
-        tables = {n: np.stack([np.bitwise_xor.reduce(s.reshape(-1, n), axis=0) if len(s) >= n else np.zeros(n, np.uint8) for s in sketches]) for n in np.unique(length).tolist()}
-        left, right = [], []
-        for i in range(len(key)):
-            ok = (component != component[i]) & (den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i])) & (key > key[i])
-            if lo != hi:
-                ok &= mine != mine[i]
-            for j in [np.flatnonzero(ok)]:
-                for n in np.unique(np.minimum(length[j], length[i])).tolist():
-                    k = j[np.minimum(length[j], length[i]) == n]
-                    d = np.bitwise_count(tables[n][k] ^ tables[n][i]).sum(axis=1, dtype=np.int64)
-                    k = k[(num + den) * d <= (den - num) * (size[k] + size[i])]
-                    left.append(np.full(len(k), key[i]))
-                    right.append(key[k])
-        return pa.table({"a": pa.array(np.concatenate(left) if left else np.zeros(0, np.int64), pa.int64()), "b": pa.array(np.concatenate(right) if right else np.zeros(0, np.int64), pa.int64())})
-
-    blocks = members.select("block", F.col("block.lo").alias("lo"), F.col("block.hi").alias("hi"), "key", "n", "component", "mine", "sketch")
-    return blocks.groupBy("block").applyInArrow(run, "a long, b long").distinct()
-
-
 def components_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75, 100), per_part: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id of each document: two documents link when
     share[1] * intersection >= share[0] * union of their sets of `width`-word shingles."""
@@ -244,7 +229,7 @@ def components_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75,
     estimates = setjoin.summed(described.where("block is not null"), WIDTH)
     parts = max(256, int(estimates.sum()) // 4 // per_part)
     found = scratch.write(setjoin.lists(short_lists(docs, estimates, parts, width, share)), "lists")
-    links = scratch.write(_links(spark, scratch, docs, rows, found, width, share), "links")
+    links = scratch.write(_links(scratch, docs, rows, found, width, share), "links")
     labels = setjoin.components(scratch, links, "all_")
     # names: the least doc_id of a component's documents
     named = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
@@ -256,7 +241,7 @@ def components_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75,
     return result
 
 
-def _links(spark: SparkSession, scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+def _links(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     known = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     known = scratch.write(known, "known")
     sketches = known.select("key", "n", "sketch")
@@ -269,8 +254,7 @@ def _links(spark: SparkSession, scratch: base.Scratch, docs: DataFrame, rows: Da
     chance = scratch.write(verified(tries, docs, known, width, share, scratch, "tries"), "chance")
     labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
-    open_ = mixed.join(sketches, "key").select("token", "key", "n", "component", "sketch")
-    rest = scratch.write(pairs_in_blocks(setjoin.in_chunks(open_, spark), share), "rest")
+    rest = scratch.write(near_enough(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed), *share), sketches, share), "rest")
     return first.union(chance).union(verified(rest, docs, known, width, share, scratch, "rest"))
 
 

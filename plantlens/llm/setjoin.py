@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.llm import textmath as tm
@@ -178,15 +178,49 @@ def random_stars(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("key", "leader.key").alias("a"), F.least("key", "leader.key").alias("b")).distinct()
 
 
-def in_chunks(members: DataFrame, spark: SparkSession) -> DataFrame:
-    """members with the columns block and side: lists of up to CHUNK members are one block;
-    a longer one is cut by a hash of the key, and each pair of its chunks is a block, so
-    that every two members meet in a block of bounded size."""
-    n = members.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
+    """members (token, key, size, component) with block, two (whether the block is a pair of
+    chunks), mine and part. A list of up to CHUNK members is one block; a longer one is cut
+    by a hash of the key, and each pair of its chunks is a block, so that every two members
+    meet in a block of bounded size. Parts gather whole blocks."""
+    n = members.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("key", "token"), F.col("chunks")).cast("int")
+    parts = max(64, members.count() // per_part)
+    block = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
     return (
-        members.join(n.select("token", chunks.alias("chunks")), "token").withColumn("mine", mine)
+        members.join(n.select("token", "n"), "token", "left").withColumn("chunks", chunks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("*", F.struct("token", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).alias("block"))
+        .select("key", "size", "component", "mine", (F.col("mine") != F.col("other")).alias("two"), block.alias("block"))
+        .withColumn("part", F.pmod(F.col("block"), F.lit(parts)).cast("int"))
     )
+
+
+def pairs_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of one block and of different components whose sizes allow a
+    similarity of num / den. Only a part's distinct pairs leave it."""
+
+    def run(group: pa.Table) -> pa.Table:
+        key, size, component, mine, two, block = (group.column(c).to_numpy() for c in ("key", "size", "component", "mine", "two", "block"))
+        order = np.lexsort((component, block))
+        key, size, component, mine, two, block = (x[order] for x in (key, size, component, mine, two, block))
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        ends = np.append(starts[1:], len(block))
+        runs = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (component[1:] != component[:-1])))
+        behind = np.repeat(np.append(runs[1:], len(block)), np.diff(np.append(runs, len(block))))  # where each one's component ends
+        after = np.repeat(ends, ends - starts) - behind  # members of later components in its block
+        found, lo, sums = [], 0, np.append(0, np.cumsum(after))
+        while lo < len(key):
+            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + (1 << 21), side="right")) - 1)
+            n = after[lo:hi]
+            i = np.repeat(np.arange(lo, hi), n)
+            j = np.repeat(behind[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ok = (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
+            ok &= ~two[i] | (mine[i] != mine[j])
+            i, j = i[ok], j[ok]
+            found.append(np.stack([np.maximum(key[i], key[j]), np.minimum(key[i], key[j])], axis=1))
+            lo = hi
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+
+    return members.groupBy("part").applyInArrow(run, "a long, b long").distinct()
