@@ -1,12 +1,14 @@
 """A project's relations, each a DataFrame derived lazily from the source files.
 
-Nothing is collected and nothing runs until a caller asks for a result. Parsed relations
-and closures, which many others read several times, are persisted (memory, then disk): a
-lost executor's part of them is parsed again from the files. `release` lets go of them.
+Nothing is collected. Files, parsed units and variables and the closures, which many other
+relations read several times, are checkpointed when they are first asked for: they are
+written to the shared checkpoint folder, a lost executor costs a re-read, and the plans of
+what is derived from them stay small.
 """
 
 from __future__ import annotations
 
+import tempfile
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,31 +18,35 @@ from plantlens.operators import alarms, artifacts, callgraph, closure, complianc
 from plantlens.sources import files as source
 
 
-#: Relations that are persisted once derived.
-HELD = ("pous", "gvls", "variables", "chains", "all_variables", "case_lines")
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in spark.checkpoint.dir; only where that is unset (local runs), in a
+    temporary folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
 
 
 class Project:
     def __init__(self, files: DataFrame):
-        self.files = files
+        self._files = files
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return cut(self._files)
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str, project_id: str | None = None) -> Project:
         return cls(source.checked(source.read_project(spark, folder, project_id)))
 
-    def release(self) -> None:
-        for name in HELD:
-            if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
-
     # -- parsed ------------------------------------------------------------------------
     @cached_property
     def pous(self) -> DataFrame:
-        return declarations.pous(self.files).persist()
+        return cut(declarations.pous(self.files))
 
     @cached_property
     def gvls(self) -> DataFrame:
-        return declarations.gvls(self.files).persist()
+        return cut(declarations.gvls(self.files))
 
     @cached_property
     def duts(self) -> DataFrame:
@@ -64,16 +70,16 @@ class Project:
 
     @cached_property
     def variables(self) -> DataFrame:
-        return declarations.all_owners_variables(self.pous, self.gvls, self.duts).persist()
+        return cut(declarations.all_owners_variables(self.pous, self.gvls, self.duts))
 
     # -- closures ----------------------------------------------------------------------
     @cached_property
     def chains(self) -> DataFrame:
-        return closure.chains(self.pous).persist()
+        return cut(closure.chains(self.pous))
 
     @cached_property
     def all_variables(self) -> DataFrame:
-        return closure.all_variables(self.pous, self.variables, self.chains).persist()
+        return cut(closure.all_variables(self.pous, self.variables, self.chains))
 
     @cached_property
     def tree(self) -> DataFrame:
@@ -100,7 +106,7 @@ class Project:
 
     @cached_property
     def case_lines(self) -> DataFrame:
-        return statemachines.case_lines(self.bodies, self.selectors).persist()
+        return cut(statemachines.case_lines(self.bodies, self.selectors))
 
     @cached_property
     def states(self) -> DataFrame:

@@ -214,7 +214,7 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calls(spark, sf_dir).select("source", "target", "weight")
 
 
-@_query(f"{_EDGE} ORDER BY weight DESC, lower(source), lower(target) LIMIT 300")
+@_query(f"SELECT * FROM ({_EDGE}) ORDER BY weight DESC, lower(source), lower(target) LIMIT 300")
 def call_graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.top_edges(_calls(spark, sf_dir)).select("source", "target", "weight")
 
