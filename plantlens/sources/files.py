@@ -47,7 +47,7 @@ def read_project(spark: SparkSession, folder: str, project_id: str | None = None
         raise BlankPath("a project folder is needed")
     folder = folder.rstrip("/")
     try:
-        read = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(folder)
+        read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     except Exception as error:  # Spark's AnalysisException where the path is missing
         raise MissingFolder(folder) from error
     path = F.substring_index(F.regexp_replace(F.input_file_name(), "^file:/+", "/"), folder.split(":")[-1] + "/", -1)

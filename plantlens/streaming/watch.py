@@ -14,7 +14,7 @@ SCHEMA = "value string"
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     """New files below folder/<project>/ as rows of files."""
-    read = spark.readStream.schema(SCHEMA).option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    read = spark.readStream.schema(SCHEMA).text(folder, wholetext=True, recursiveFileLookup=True)
     rest = F.substring_index(F.input_file_name(), folder.rstrip("/") + "/", -1)
     files = read.select(F.substring_index(rest, "/", 1).alias("project_id"), F.regexp_replace(rest, "^[^/]*/", "").alias("path"), F.col("value").alias("content"))
     return files.where(~source.in_excluded_folder(F.col("path"))).withColumn("ext", source.extension(F.col("path"))).select("project_id", "path", "ext", "content")
