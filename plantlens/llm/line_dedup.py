@@ -187,7 +187,7 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
     # half the share, as repeated shingles count in a line's size here
-    rest = scratch.write(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed), share[0], 2 * share[1]), "rest")
+    rest = scratch.write(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.withColumn("mini", F.lit(None).cast("binary"))), share[0], 2 * share[1]), "rest")
     links = scratch.write(first.union(chance).union(verified(rest, lines, width, share)), "links")
     labels = scratch.write(setjoin.components(scratch, links, "all_"), "components")
     scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest", "links")

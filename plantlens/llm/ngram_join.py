@@ -83,6 +83,11 @@ def sketch(values: np.ndarray) -> bytes:
     return np.packbits((np.bincount((values & tm.U(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def mini(full: bytes) -> bytes:
+    """A sketch folded to 512 cells."""
+    return np.bitwise_xor.reduce(np.frombuffer(full, np.uint8).reshape(-1, 64), axis=0).tobytes()
+
+
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances between sketches, rows of bytes; the longer are folded to the shorter."""
     n = min(a.shape[-1], b.shape[-1])
@@ -117,15 +122,15 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             counts += np.bincount((flat >> tm.U(42)).astype(np.int64), minlength=WIDTH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([tm.set_key(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([tm.set_key(s) for s in sets], pa.int64()), pa.array(sketches := [sketch(s) for s in sets], pa.binary()), pa.array([mini(x) for x in sketches], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                 names,
             )
         packed = setjoin.pack_counts(counts)
         n = len(packed)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([i for i, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([i for i, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.binary())], names)
 
-    names = ["doc_id", "n", "key", "sketch", "block", "counts"]
-    return base.only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, sketch binary, block int, counts binary")
+    names = ["doc_id", "n", "key", "sketch", "mini", "block", "counts"]
+    return base.only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, sketch binary, mini binary, block int, counts binary")
 
 
 def short_lists(docs: DataFrame, estimates: np.ndarray, parts: int, width: int, share: tuple[int, int]) -> DataFrame:
@@ -225,7 +230,7 @@ def components_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75,
     base.small_batches(spark)
     scratch = base.Scratch(spark, "ngram")
     described = scratch.write(describe(docs, width), "described")
-    rows = described.where("block is null").select("doc_id", "n", "key", "sketch")
+    rows = described.where("block is null").select("doc_id", "n", "key", "sketch", "mini")
     estimates = setjoin.summed(described.where("block is not null"), WIDTH)
     parts = max(256, int(estimates.sum()) // 4 // per_part)
     found = scratch.write(setjoin.lists(short_lists(docs, estimates, parts, width, share)), "lists")
@@ -242,7 +247,7 @@ def components_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75,
 
 
 def _links(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    known = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    known = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
     known = scratch.write(known, "known")
     sketches = known.select("key", "n", "sketch")
     stars = found.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
@@ -254,7 +259,7 @@ def _links(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataF
     chance = scratch.write(verified(tries, docs, known, width, share, scratch, "tries"), "chance")
     labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
-    rest = scratch.write(near_enough(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed), *share), sketches, share), "rest")
+    rest = scratch.write(near_enough(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.join(known.select("key", "mini"), "key")), *share), sketches, share), "rest")
     return first.union(chance).union(verified(rest, docs, known, width, share, scratch, "rest"))
 
 

@@ -179,7 +179,7 @@ def random_stars(members: DataFrame) -> DataFrame:
 
 
 def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
-    """members (token, key, size, component) with block, two (whether the block is a pair of
+    """members (token, key, size, component, mini) with block, two (whether the block is a pair of
     chunks), mine and part. A list of up to CHUNK members is one block; a longer one is cut
     by a hash of the key, and each pair of its chunks is a block, so that every two members
     meet in a block of bounded size. Parts gather whole blocks."""
@@ -191,19 +191,22 @@ def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
     return (
         members.join(n.select("token", "n"), "token", "left").withColumn("chunks", chunks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", "size", "component", "mine", (F.col("mine") != F.col("other")).alias("two"), block.alias("block"))
+        .select("key", "size", "component", "mini", "mine", (F.col("mine") != F.col("other")).alias("two"), block.alias("block"))
         .withColumn("part", F.pmod(F.col("block"), F.lit(parts)).cast("int"))
     )
 
 
 def pairs_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of one block and of different components whose sizes allow a
-    similarity of num / den. Only a part's distinct pairs leave it."""
+    """Pairs (a, b) of members of one block and of different components whose sizes, and
+    whose parity sketches of equal length where they have some (mini), allow a similarity of
+    num / den. Only a part's distinct pairs leave it."""
 
     def run(group: pa.Table) -> pa.Table:
         key, size, component, mine, two, block = (group.column(c).to_numpy() for c in ("key", "size", "component", "mine", "two", "block"))
         order = np.lexsort((component, block))
         key, size, component, mine, two, block = (x[order] for x in (key, size, component, mine, two, block))
+        mini = group.column("mini").combine_chunks()
+        sketch = None if mini.null_count else np.frombuffer(b"".join(mini.to_pylist()), np.uint64).reshape(len(key), -1)[order]
         starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         ends = np.append(starts[1:], len(block))
         runs = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (component[1:] != component[:-1])))
@@ -211,13 +214,18 @@ def pairs_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
         after = np.repeat(ends, ends - starts) - behind  # members of later components in its block
         found, lo, sums = [], 0, np.append(0, np.cumsum(after))
         while lo < len(key):
-            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + (1 << 21), side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + (1 << 20), side="right")) - 1)
             n = after[lo:hi]
             i = np.repeat(np.arange(lo, hi), n)
             j = np.repeat(behind[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             ok = (den * np.minimum(size[i], size[j]) >= num * np.maximum(size[i], size[j]))
             ok &= ~two[i] | (mine[i] != mine[j])
             i, j = i[ok], j[ok]
+            if sketch is not None and len(i):
+                d = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+                capped = np.maximum(size[i], size[j]) >= SIZE_CAP
+                ok = capped | ((num + den) * d <= (den - num) * (size[i].astype(np.int64) + size[j]))
+                i, j = i[ok], j[ok]
             found.append(np.stack([np.maximum(key[i], key[j]), np.minimum(key[i], key[j])], axis=1))
             lo = hi
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
