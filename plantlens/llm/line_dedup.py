@@ -10,7 +10,9 @@ doc_id, then place) stays.
 
 Equal lines (by their lower-cased bytes) stand as one throughout. A bucket gives links to
 its smallest member, then to one chosen by hash, and every pair that is still in two
-components afterwards is examined in blocks of bounded size, so no candidate pair between components goes unexamined.
+components afterwards is examined in blocks of bounded size: by set sizes, then by parity
+sketches, whose distance never exceeds the sets' difference, then exactly. So no candidate
+pair between components goes unexamined.
 
 Lines without a word (empty or white space) are layout: they stay, and link with nothing.
 A line shorter than a shingle is its own single shingle. Null texts stay null, empty ones
@@ -34,6 +36,7 @@ from plantlens.llm import textmath as tm
 WIDTH, BANDS, ROWS = 7, 12, 4
 SHARE = (75, 100)
 EMPTY = tm.U(0xFFFFFFFFFFFFFFFF)
+CELLS = 512  # of a line's parity sketch
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -141,27 +144,68 @@ def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(found.groupBy("key").agg(F.first("line").alias("line")), "key")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of keys whose lines' shingle sets reach the share exactly."""
+def sketched(lines: DataFrame, width: int) -> DataFrame:
+    """lines (key, line) with n, the number of distinct shingles, and mini, the parity of
+    the distinct shingles in each of CELLS cells: two sketches never differ in more cells
+    than the sets differ in members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, data, offsets in tm.joined(batch.column(1).cast(pa.string())):
+                m = len(offsets) - 1
+                line, h = distinct(*shingles(tm.prefix_hash(data, fold=True), offsets[:-1], offsets[1:], width))
+                odd = np.bincount(line * CELLS + (h % tm.U(CELLS)).astype(np.int64), minlength=m * CELLS).reshape(m, CELLS) & 1
+                mini = np.packbits(odd.astype(np.uint8), axis=1)
+                part = batch.slice(lo, m)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.bincount(line, minlength=m)), pa.array([x.tobytes() for x in mini], pa.binary())], ["key", "line", "n", "mini"])
+
+    return lines.mapInArrow(run, "key long, line binary, n long, mini binary")
+
+
+def distinct(line: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) in order, without repeats."""
+    order = np.lexsort((hashes, line))
+    line, hashes = line[order], hashes[order]
+    new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))[: len(line)]
+    return line[new], hashes[new]
+
+
+def similar(left: list[bytes], right: list[bytes], width: int, share: tuple[int, int]) -> np.ndarray:
+    """Whether the exact Jaccard similarity of each pair's shingle sets reaches the share."""
     num, den = share
-    both = pairs.join(lines.select(F.col("key").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("key").alias("b"), F.col("line").alias("lb")), "b").select("a", "b", "la", "lb")
+    n = len(left)
+    ends = np.cumsum([len(x) for x in (*left, *right)])
+    starts = np.append(0, ends[:-1])
+    h = tm.prefix_hash(np.frombuffer(b"".join((*left, *right)), np.uint8), fold=True)
+    line, hashes = distinct(*shingles(h, starts, ends, width))
+    total = np.bincount(line % n, minlength=n)
+    united = np.bincount(distinct(line % n, hashes)[0], minlength=n)
+    return den * (total - united) >= num * united
 
-    def set_of(line: bytes) -> np.ndarray:
-        data = np.frombuffer(line, np.uint8)
-        return np.unique(shingles(tm.prefix_hash(data, fold=True), np.array([0]), np.array([len(data)]), width)[1])
+
+def verified(pairs: DataFrame, lines: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of keys whose lines' shingle sets reach the share exactly. Sizes and
+    sketches spare the exact look at pairs that cannot."""
+    num, den = share
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(lines.select(F.col("key").alias(side), F.col("line").alias(f"l{side}"), F.col("n").alias(f"n{side}"), F.col("mini").alias(f"m{side}")), side)
+    both = both.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b", "la", "lb", "na", "nb", "ma", "mb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, right = None, None
         for batch in batches:
-            keep = []
-            for la, lb in zip(batch.column(2), batch.column(3), strict=True):
-                if lb.as_py() != last:
-                    last = lb.as_py()
-                    right = set_of(last)
-                left = set_of(la.as_py())
-                same = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(den * same >= num * (len(left) + len(right) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            ma, mb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (6, 7))
+            d = np.bitwise_count(ma ^ mb).sum(axis=1, dtype=np.int64)
+            batch = batch.filter(pa.array((num + den) * d <= (den - num) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())))
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            sums = np.cumsum([len(x) + len(y) for x, y in zip(left, right, strict=True)])
+            keep, lo = [], 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + tm.SEGMENT, side="right")))
+                keep.append(similar(left[lo:hi], right[lo:hi], width, share))
+                lo = hi
+            if keep:
+                yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -179,15 +223,15 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     stars = found.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     stars = scratch.write(stars, "stars")
     candidates = found.select("key").distinct()
-    lines = scratch.write(fetch_lines(docs, candidates), "candidates")
+    lines = scratch.write(sketched(fetch_lines(docs, candidates), width), "candidates")
     first = scratch.write(verified(stars, lines, width, share), "first")
     labels = scratch.write(setjoin.components(scratch, first, "first_"), "labels0")
     mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
     chance = scratch.write(verified(setjoin.random_stars(mixed), lines, width, share), "chance")
     labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
-    # half the share, as repeated shingles count in a line's size here
-    rest = scratch.write(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.withColumn("mini", F.lit(None).cast("binary"))), share[0], 2 * share[1]), "rest")
+    sizes = lines.select("key", F.least("n", F.lit(setjoin.SIZE_CAP)).cast("int").alias("size"), "mini")
+    rest = scratch.write(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.drop("size").join(sizes, "key")), *share), "rest")
     links = scratch.write(first.union(chance).union(verified(rest, lines, width, share)), "links")
     labels = scratch.write(setjoin.components(scratch, links, "all_"), "components")
     scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest", "links")
