@@ -37,6 +37,7 @@ WIDTH, BANDS, ROWS = 7, 12, 4
 SHARE = (75, 100)
 EMPTY = tm.U(0xFFFFFFFFFFFFFFFF)
 CELLS = 512  # of a line's parity sketch
+MANY = 1 << 12  # lines looked at together
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,11 +151,11 @@ def sketched(lines: DataFrame, width: int) -> DataFrame:
     than the sets differ in members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, MANY) for whole in batches for k in range(0, len(whole), MANY)):
             for lo, data, offsets in tm.joined(batch.column(1).cast(pa.string())):
                 m = len(offsets) - 1
                 line, h = distinct(*shingles(tm.prefix_hash(data, fold=True), offsets[:-1], offsets[1:], width))
-                odd = np.bincount(line * CELLS + (h % tm.U(CELLS)).astype(np.int64), minlength=m * CELLS).reshape(m, CELLS) & 1
+                odd = np.bincount(line * CELLS + (h >> tm.U(12) & tm.U(CELLS - 1)).astype(np.int64), minlength=m * CELLS).reshape(m, CELLS) & 1
                 mini = np.packbits(odd.astype(np.uint8), axis=1)
                 part = batch.slice(lo, m)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.bincount(line, minlength=m)), pa.array([x.tobytes() for x in mini], pa.binary())], ["key", "line", "n", "mini"])
@@ -163,11 +164,11 @@ def sketched(lines: DataFrame, width: int) -> DataFrame:
 
 
 def distinct(line: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) in order, without repeats."""
-    order = np.lexsort((hashes, line))
-    line, hashes = line[order], hashes[order]
-    new = np.append(True, (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1]))[: len(line)]
-    return line[new], hashes[new]
+    """(line, upper 52 bits of the hash) in order, without repeats; lines are below MANY, so
+    that both fit one sorted word."""
+    both = np.sort(line.astype(np.uint64) << tm.U(52) | hashes >> tm.U(12))
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+    return (both >> tm.U(52)).astype(np.int64), both << tm.U(12)
 
 
 def similar(left: list[bytes], right: list[bytes], width: int, share: tuple[int, int]) -> np.ndarray:
@@ -202,6 +203,7 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, share: tuple[int, i
             keep, lo = [], 0
             while lo < len(batch):
                 hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + tm.SEGMENT, side="right")))
+                hi = min(hi, lo + MANY // 2)
                 keep.append(similar(left[lo:hi], right[lo:hi], width, share))
                 lo = hi
             if keep:
