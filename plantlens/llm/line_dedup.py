@@ -36,7 +36,7 @@ from plantlens.llm import textmath as tm
 WIDTH, BANDS, ROWS = 7, 12, 4
 SHARE = (75, 100)
 EMPTY = tm.U(0xFFFFFFFFFFFFFFFF)
-CELLS = 512  # of a line's parity sketch
+CELLS = 1024  # of a line's parity sketch
 MANY = 1 << 12  # lines looked at together
 
 

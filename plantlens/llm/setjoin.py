@@ -213,8 +213,9 @@ def pairs_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
         behind = np.repeat(np.append(runs[1:], len(block)), np.diff(np.append(runs, len(block))))  # where each one's component ends
         after = np.repeat(ends, ends - starts) - behind  # members of later components in its block
         found, lo, sums = [], 0, np.append(0, np.cumsum(after))
+        most = (1 << 20) if sketch is None else (1 << 23) // sketch.shape[1]  # pairs at once
         while lo < len(key):
-            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + (1 << 20), side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + most, side="right")) - 1)
             n = after[lo:hi]
             i = np.repeat(np.arange(lo, hi), n)
             j = np.repeat(behind[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())
