@@ -1,14 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Terms are lower-cased (A-Z) runs of letters, digits and non-ASCII bytes. A mask is a fixed
-run of positions some of which it ignores, so that a seed still hits where a passage had
-words substituted there. Every position of every document is hashed under every mask and
-looked up among the benchmark's hashes. Around a hit, document and item are laid on one
-another: they overlap if some run of WINDOW terms (or the whole item, if shorter) is equal
-in at least EQUAL of its places.
+Terms are lower-cased (A-Z) runs of letters, digits and non-ASCII bytes. Document and item
+overlap if, laid on one another, some run of WINDOW terms (or the whole item, if shorter) is
+equal in at least EQUAL of its places.
+
+A mask looks at two blocks of terms and ignores what is between them, so that a seed still
+hits where a passage had words substituted there. A run of w terms with at most m of them
+unequal is cut into m + 2 blocks: two of these are equal at least, so that the masks of all
+distances between two blocks miss no overlap. Every position of every document is hashed
+under every mask and looked up among the benchmark's hashes, and each hit is verified.
 
 The benchmark's seeds are broadcast in blocks of at most `block_bytes` of item text; more
-items mean more passes and never a larger broadcast. Items of fewer terms than a mask are
+items mean more passes and never a larger broadcast. Items of fewer terms than SPAN are
 sought whole and must be equal; those of fewer than LEAST terms are no evidence and never
 match. Null or empty texts and items match nothing; repeated items or rows match each for
 itself; other columns are ignored or, where rows are returned, kept.
@@ -16,6 +19,7 @@ itself; other columns are ignored or, where rows are returned, kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,11 +31,10 @@ from pyspark.sql import functions as F
 from plantlens.llm import base
 from plantlens.llm import textmath as tm
 
-#: Fixed masks of twelve positions, eight of them looked at.
-MASKS = ("111010110111", "110110101111", "111101011011", "101111011101")
-SPAN = len(MASKS[0])
+#: Least terms of an item that is sought by masks.
+SPAN = 12
 WINDOW, EQUAL, LEAST = 24, 0.8, 6
-_FACTORS = tm.mix(np.arange(101, 101 + SPAN, dtype=np.uint64)) | tm.U(1)
+_FACTORS = tm.mix(np.arange(101, 101 + WINDOW, dtype=np.uint64)) | tm.U(1)
 _TABLE_BITS = 22
 
 
@@ -46,14 +49,18 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, at if len(out) == 1 else np.array([0, len(found)] if len(offsets) == 2 else [0] * len(offsets))
 
 
-def seeds(t: np.ndarray, mask: str) -> np.ndarray:
-    """The hash under the mask at each position where it fits."""
-    n = max(0, len(t) - SPAN + 1)
-    out = np.zeros(n, np.uint64)
-    for k, look in enumerate(mask):
-        if look == "1":
-            out += t[k : k + n] * _FACTORS[k]
-    return tm.mix(out + tm.U(int(mask, 2)))
+def blocked(w: int) -> tuple[int, int]:
+    """The terms of a block and the blocks of a run of w terms: two blocks more than the run
+    may have unequal terms."""
+    n = w - math.ceil(EQUAL * w) + 2
+    return w // n, n
+
+
+def seeds(block: np.ndarray, width: int, distance: int) -> np.ndarray:
+    """The hash at each position under the mask of two blocks that begin `distance` blocks of
+    `width` terms from one another; `block` holds the hashes of all runs of `width` terms."""
+    n = max(0, len(block) - width * distance)
+    return block[:n] + block[width * distance :] * _FACTORS[distance]
 
 
 @dataclass
@@ -66,6 +73,7 @@ class Index:
     item: np.ndarray
     position: np.ndarray
     short: dict[int, list[tuple[np.ndarray, int]]]  # by length: ascending whole hashes, items
+    masks: list[tuple[int, int]]  # width and distance
     table: np.ndarray
 
     @classmethod
@@ -75,14 +83,19 @@ class Index:
         for _, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
             items.append(terms(data, np.array([0, len(data)]))[0])
-        h, item, position, short = [], [], [], {}
+        h, item, position, short, masks = [], [], [], {}, set()
         for i, t in enumerate(items):
             if len(t) >= SPAN:
-                for mask in MASKS:
-                    s = seeds(t, mask)
-                    h.append(s)
-                    item.append(np.full(len(s), i))
-                    position.append(np.arange(len(s)))
+                width, n = blocked(min(WINDOW, len(t)))
+                block = tm.runs(t, width)
+                for distance in range(1, n):
+                    s = seeds(block, width, distance)
+                    # a run that is the whole item has its blocks at known places
+                    at = np.arange(len(s)) if len(t) > WINDOW else np.arange(n - distance) * width
+                    masks.add((width, distance))
+                    h.append(s[at])
+                    item.append(np.full(len(at), i))
+                    position.append(at)
             elif len(t) >= LEAST:
                 short.setdefault(len(t), []).append((tm.runs(t, len(t))[0], i))
         hashes, item, position = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, item, position))
@@ -90,13 +103,14 @@ class Index:
         table = np.zeros(1 << _TABLE_BITS, bool)
         hashes = hashes[order].astype(np.uint64)
         table[(hashes >> tm.U(64 - _TABLE_BITS)).astype(np.int64)] = True
-        return cls(ids, items, hashes, item[order], position[order], short, table)
+        return cls(ids, items, hashes, item[order], position[order], short, sorted(masks), table)
 
     def hits(self, t: np.ndarray) -> np.ndarray:
         """Distinct (item, offset of the item's start in t) that some seed suggests."""
         found = []
-        for mask in MASKS if len(self.hashes) else ():
-            s = seeds(t, mask)
+        block = {width: tm.runs(t, width) for width in {width for width, _ in self.masks}}
+        for width, distance in self.masks:
+            s = seeds(block[width], width, distance)
             at = np.flatnonzero(self.table[(s >> tm.U(64 - _TABLE_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.hashes, s[at], "left"), np.searchsorted(self.hashes, s[at], "right")
             n = hi - lo

@@ -1,6 +1,7 @@
 """Every operator over one small awkward table: nulls, empties, ties, repeats, clashing names."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -125,6 +126,49 @@ def test_decontamination(spark, docs):
     assert left.columns == docs.columns and left.count() == docs.count() - 2
 
 
+def alignments(doc, item):
+    """(start, terms, equal terms) of the best overlap of two lists of terms, by every offset."""
+    w, best = min(24, len(item)), None
+    for d in range(w - len(item), len(doc) - w + 1):
+        lo, hi = max(0, d), min(len(doc), d + len(item))
+        equal = np.append(0, np.cumsum(doc[lo:hi] == item[lo - d : hi - d]))
+        good = np.flatnonzero(10 * (equal[w:] - equal[:-w]) >= 8 * w)
+        if len(good):
+            a, b = int(good[0]), int(good[-1]) + w
+            value = (lo + a, b - a, int(equal[b] - equal[a]))
+            if best is None or (value[2], -value[0]) > (best[2], -best[0]):
+                best = value
+    return best
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    items = [rng.integers(0, 3000, n) for n in range(12, 61)]
+    docs = [rng.integers(0, 3000, 80)]
+    for item in items:
+        for phase in (*range(6), *[None] * 6):
+            copy = item[int(rng.integers(0, max(1, len(item) - 24))) :][: int(rng.integers(20, 61))].copy()
+            at = np.arange(phase, len(copy), 6) if phase is not None else rng.choice(len(copy), int(rng.integers(1, 2 + len(copy) // 5)), replace=False)
+            copy[at] += 5000
+            docs.append(np.concatenate([rng.integers(0, 3000, int(rng.integers(0, 30))), copy, rng.integers(0, 3000, int(rng.integers(0, 30)))]))
+    text = lambda t: " ".join(f"T{x}" for x in t)
+    d = spark.createDataFrame([(i, text(t)) for i, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(i, text(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {(i, k, *v) for i, t in enumerate(docs) for k, item in enumerate(items) if np.isin(t, item).sum() >= 10 and (v := alignments(t, item))}
+    assert len(want) > 300 and {tuple(r) for r in decontaminate.find(d, b).collect()} == want
+    assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == set(range(len(docs))) - {x[0] for x in want}
+
+
+@pytest.mark.parametrize("n", range(12, 25))
+def test_decontamination_finds_every_placement(n):
+    index = decontaminate.Index.of([(7, " ".join(WORDS[:n]))])
+    for unequal in itertools.combinations(range(n), n // 5):
+        t = index.items[0].copy()
+        t[list(unequal)] = 0
+        (found,) = index.matches(t)
+        assert found == (7, 0, n, n - n // 5)
+
+
 def test_toxicity_learns_pairs_that_weights_miss():
     rng = np.random.default_rng(1)
     sets, y = [], []
