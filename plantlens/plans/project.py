@@ -94,11 +94,20 @@ class Project:
     def unit_alarms(self) -> DataFrame:
         return alarms.alarms(self.latches, self.pous, self.methods, self.chains, self.bodies)
 
+    @cached_property
+    def places(self) -> DataFrame:
+        return cut(alarms.places(self.tree, self.pous, self.duts, self.variables, self.all_variables))
+
+    @cached_property
+    def placed_alarms(self) -> DataFrame:
+        """Alarms of every instance, in structs and deep members too, and those known by use."""
+        found = alarms.held(self.places, self.latches, self.variables)
+        return alarms.placed(found, self.pous, self.methods, self.chains, self.bodies, self.tree)
+
     @cached_property
     def alarms(self) -> DataFrame:
         """Alarms of every instance, resolved by name where that is unambiguous, described."""
-        found = alarms.alarms(self.latches, self.pous, self.methods, self.chains, self.bodies, self.tree)
-        return alarms.described(alarms.deep_resolved(found, alarms.all_severities(self.bodies)))
+        return alarms.described(alarms.deep_resolved(self.placed_alarms, alarms.all_severities(self.bodies)))
 
     @cached_property
     def selectors(self) -> DataFrame:

@@ -127,16 +127,14 @@ def alarm_trigger_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""SELECT 'R' || n_regionkey || '.N' || n_nationkey || '.' || alarm AS variable_path, false AS is_definition_only FROM ({_ALARM})""")
 def alarm_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Project(v.plant(spark, sf_dir))
-    return alarms.alarms(p.latches, p.pous, p.methods, p.chains, p.bodies, p.tree).select("variable_path", "is_definition_only")
+    return Project(v.plant(spark, sf_dir)).placed_alarms.select("variable_path", "is_definition_only")
 
 
 @_query(f"""WITH a AS ({_ALARM}) SELECT path, coalesce(n, 0) AS n_alarms FROM ({_TREE}) t LEFT JOIN
   (SELECT 'R' || n_regionkey AS p, count(*) AS n FROM a GROUP BY 1 UNION ALL SELECT 'R' || n_regionkey || '.N' || n_nationkey, count(*) FROM a GROUP BY 1) ON p = path""")
 def subtree_alarm_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Project(v.plant(spark, sf_dir))
-    placed = alarms.alarms(p.latches, p.pous, p.methods, p.chains, p.bodies, p.tree)
-    return alarms.subtree_counts(p.tree, placed).select("path", "n_alarms")
+    return alarms.subtree_counts(p.tree, p.placed_alarms).select("path", "n_alarms")
 
 
 @_query(f"""SELECT alarm, 'Cust' || c_custkey AS condition, (CASE severity WHEN 'Unresolved' THEN 'Alarm' ELSE severity END) || ': cust' || c_custkey ||

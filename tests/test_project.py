@@ -63,6 +63,38 @@ def test_alarm_precedence(project):
     assert ("C1.ALM_Hot", False) in {tuple(r) for r in placed}
 
 
+def struct(name, members):
+    return ("p", f"{name}.TcDUT", "tcdut", f'<TcPlcObject><DUT Name="{name}"><Declaration><![CDATA[TYPE {name} :\nSTRUCT\n{members}END_STRUCT\nEND_TYPE]]></Declaration></DUT></TcPlcObject>')
+
+
+def test_alarms_in_structs_deep_members_and_by_use(spark):
+    latch = "DM_TriggeredLatch"
+    nested = [struct(f"ST_{k}", f"\tALM_L{k} : {latch};\n\ts{k + 1} : ST_{k + 1};\n") for k in range(1, 7)]
+    rows = [
+        *nested, struct("ST_7", "\tn : INT;\n"), struct("ST_Devices", "\tdev : CM_Dev;\n"),
+        unit("CM_Dev", f"FUNCTION_BLOCK CM_Dev\nVAR\n\tALM_Dev : {latch};\n\tsub : CM_Sub;\nEND_VAR\n"),
+        unit("CM_Sub", f"FUNCTION_BLOCK CM_Sub\nVAR\n\tALM_Sub : {latch};\nEND_VAR\n", methods=method("_Alarms", "_AlarmsPresentAdvisory := ALM_Sub.Latched;")),
+        unit("EM_A", f"FUNCTION_BLOCK EM_A\nVAR\n\tALM_Own : {latch};\n\ts1 : ST_1;\n\tdevices : ST_Devices;\n\trOther : REFERENCE TO CM_Dev;\n\tlib : FB_Library;\nEND_VAR\n",
+             "lib.ALM_Lib.Trigger := bFirst;\nlib.ALM_Lib.Trigger := bLast;\nlib.ALM_Lib.TriggerDelay_ms := 70;\nx := lib.ALM_Held.Inhibit;\nx := s1.ALM_L1.Latched; // lib.ALM_Not.Latched", method("_Alarms", "_AlarmsPresentCritical := s1.ALM_L1.Latched OR lib.ALM_Lib.Latched;")),
+        unit("EM_Unused", "FUNCTION_BLOCK EM_Unused\nVAR\n\ts6 : ST_6;\nEND_VAR\n"),
+        ("p", "O.TcGVL", "tcgvl", '<TcPlcObject><GVL Name="MyObjects"><Declaration><![CDATA[VAR_GLOBAL\n\tA : EM_A;\nEND_VAR]]></Declaration></GVL></TcPlcObject>'),
+    ]
+    p = Project(spark.createDataFrame(rows, "project_id string, path string, ext string, content string"))
+    found = p.placed_alarms.collect()
+    got = {r.variable_path: r for r in found}
+    inside = {"A.s1.ALM_L1", "A.s1.s2.ALM_L2", "A.s1.s2.s3.ALM_L3", "A.s1.s2.s3.s4.ALM_L4", "A.s1.s2.s3.s4.s5.ALM_L5"}  # five levels of structs
+    deep = {"A.devices.dev.ALM_Dev", "A.devices.dev.sub.ALM_Sub", "A.rOther.ALM_Dev", "A.rOther.sub.ALM_Sub"}
+    assert len(found) == len(got) and set(got) == {"A.ALM_Own", "A.lib.ALM_Lib", "A.lib.ALM_Held", "EM_Unused.s6.ALM_L6"} | inside | deep
+    assert {k for k, r in got.items() if r.is_definition_only} == {"EM_Unused.s6.ALM_L6"}
+    assert got["A.s1.ALM_L1"].severity == "Critical" and got["A.s1.ALM_L1"].pou == "EM_A" and got["A.devices.dev.ALM_Dev"].pou == "CM_Dev"
+    assert got["A.rOther.sub.ALM_Sub"].severity == "Advisory" and (got["A.lib.ALM_Held"].severity, got["A.lib.ALM_Held"].reason) == ("Unresolved", "Missing")
+    assert (got["A.lib.ALM_Lib"].severity, got["A.lib.ALM_Lib"].trigger, got["A.lib.ALM_Lib"].delay_ms, got["A.lib.ALM_Lib"].module_path) == ("Critical", "bLast", 70, "A.lib")
+    counts = {r.path: r.n_alarms for r in alarms.subtree_counts(p.tree, p.placed_alarms).collect()}
+    assert counts["A"] == 12 and counts["A.rOther"] == 2
+    total = p.summary().first()
+    assert total.n_alarms == 13 and total.n_critical == 2 and total.n_advisory == 2
+
+
 def test_state_machine(project):
     assert {(r.from_state, r.to_state, r.guard) for r in project.transitions.collect()} == {("Idle", "Run", "bGo"), ("Run", "Idle", None)}
     assert {(r.state, r.value, r.has_branch, r.is_error) for r in project.states.collect()} == {("Idle", "0", True, False), ("Run", None, True, False), ("Fault", "9", False, True)}
