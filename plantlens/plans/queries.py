@@ -241,6 +241,7 @@ _RULES = f"""WITH f AS ({_FEATURE})
 
 @_query(_RULES)
 def compliance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules that the SQL states; compliance_rules_all has all of them."""
     checked = ("ISA-001", "ISA-002", "OOP-003", "ISA-006", "IEC-005", "GAMP-001", "GAMP-003", "oop.extends_cycle", "OOP-008")
     return Project(v.plant(spark, sf_dir)).rules.where(F.col("rule_id").isin(*checked)).select("module", "rule_id", "level")
 
@@ -248,6 +249,7 @@ def compliance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH r AS ({_RULES}), s AS (SELECT module, count(*) FILTER (level = 'P') AS n_pass, count(*) FILTER (level = 'W') AS n_warning, count(*) FILTER (level = 'F') AS n_fail FROM r WHERE rule_id IN ('ISA-001', 'ISA-002', 'ISA-006') GROUP BY module)
   SELECT module, n_pass, n_warning, n_fail, round_even(100 * (n_pass + 0.5 * n_warning) / (n_pass + n_warning + n_fail), 0)::INT AS percent, CASE WHEN n_fail > 0 THEN 'Fail' WHEN (n_pass + 0.5 * n_warning) / (n_pass + n_warning + n_fail) >= 0.9 THEN 'Pass' ELSE 'Warning' END AS level FROM s""")
 def compliance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of three ISA-88 rules alone, as the SQL has them; compliance_scores_all has all rules."""
     rule = Project(v.plant(spark, sf_dir)).rules.where(F.col("rule_id").isin("ISA-001", "ISA-002", "ISA-006"))
     return compliance.scores(rule, "module").select("module", "n_pass", "n_warning", "n_fail", "percent", "level")
 
@@ -280,6 +282,16 @@ def style_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(F.col("text").rlike(r"(\r?\n[ \t]*){4,}"), "W").otherwise("P").alias("level"))
 
 
+@_query()
+def compliance_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Project(v.plant(spark, sf_dir)).rules.select("module", "standard", "rule_id", "level")
+
+
+@_query()
+def compliance_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compliance.scores(Project(v.plant(spark, sf_dir)).rules, "module").select("module", "standard", "n_pass", "n_warning", "n_fail", "percent", "level")
+
+
 @_query()
 def call_graph_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.mermaid(_calls(spark, sf_dir))
