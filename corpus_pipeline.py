@@ -2,8 +2,8 @@
 
 Toxic documents go; of near-duplicate lines one stays; of each group of near-duplicate
 documents the one with the least doc_id stays; documents that hold benchmark passages go;
-what is left is encoded by byte-level BPE. All stages but the last return the columns of
-documents.
+what is left is encoded by byte-level BPE, its ids with it. All stages but the last return
+the columns of documents.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return bpe.encode_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", with_ids=True)
 
 
 STAGES = [
@@ -42,7 +42,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SQL can state none of the fitted and hashed stages; the stages are tested one by one.
+#: SQL can state none of the fitted and hashed stages; run() and the stages are tested on a fixture.
 ORACLE_SQL = None
 
 
