@@ -233,7 +233,7 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
     sizes = lines.select("key", F.least("n", F.lit(setjoin.SIZE_CAP)).cast("int").alias("size"), "mini")
-    rest = scratch.write(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.drop("size").join(sizes, "key")), *share), "rest")
+    rest = scratch.write(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.drop("size").join(sizes, "key")), *share).select("a", "b"), "rest")
     links = scratch.write(first.union(chance).union(verified(rest, lines, width, share)), "links")
     labels = scratch.write(setjoin.components(scratch, links, "all_"), "components")
     scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest", "links")

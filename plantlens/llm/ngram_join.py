@@ -35,6 +35,7 @@ from plantlens.llm import base, setjoin
 from plantlens.llm import textmath as tm
 
 WIDTH = 1 << 22  # counters of the tokens' estimated frequency
+PIECE = 1 << 20  # expected members of a list, or of each piece of a longer one
 
 
 # -- the T-occurrence search itself ------------------------------------------------------
@@ -137,10 +138,15 @@ def short_lists(docs: DataFrame, estimates: np.ndarray, parts: int, width: int,
     """Postings of every set's short lists."""
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(estimates, 0xFFFFFFFF).astype(np.uint32))  # WIDTH bounds it
     num, den = share
+    piece = PIECE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         estimate = shared.value
-        tokens, sizes, keys, held, seen = [], [], [], 0, set()
+        tokens, sizes, keys, pieces, held, seen = [], [], [], [], 0, set()
+
+        def packed() -> pa.RecordBatch:
+            return setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts, np.concatenate(pieces))
+
         for batch in batches:
             for s in tm.shingle_sets(batch.column(0), width):
                 n = len(s)
@@ -149,16 +155,18 @@ def short_lists(docs: DataFrame, estimates: np.ndarray, parts: int, width: int,
                     continue
                 seen.add(key)
                 prefix = n - -(-num * n // den) + 1
-                first = np.argsort(estimate[(s >> tm.U(42)).astype(np.int64)], kind="stable")[:prefix]
+                often = estimate[(s >> tm.U(42)).astype(np.int64)]
+                first = np.argsort(often, kind="stable")[:prefix]
                 tokens.append(s[first])
+                pieces.append(often[first] // piece + 1)
                 sizes.append(np.full(prefix, n, np.int64))
                 keys.append(np.full(prefix, key, np.int64))
                 held += prefix
             if held > 1 << 20:
-                yield setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts)
-                tokens, sizes, keys, held, seen = [], [], [], 0, set()
+                yield packed()
+                tokens, sizes, keys, pieces, held, seen = [], [], [], [], 0, set()
         if held:
-            yield setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts)
+            yield packed()
 
     return base.only(docs, "text").mapInArrow(run, setjoin.POSTINGS)
 
@@ -209,10 +217,19 @@ def verified(pairs: DataFrame, docs: DataFrame, known: DataFrame, width: int, sh
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs whose sizes and sketches leave the similarity possible."""
+    """The pairs whose sizes and sketches leave the similarity possible, and whose shared
+    short lists, where they are counted, reach T less the long lists. Of two sets the one
+    whose short lists end first has all it shares below that end in the other's short
+    lists; it can share no more than its long lists beside these. (One is allowed for, as a
+    posting holds 48 bits of a token.)"""
     num, den = share
     both = pairs.join(sketches.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    both = both.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb")
+    both = both.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+    if "shared" in pairs.columns:
+        t = F.ceil(num * (F.col("na") + F.col("nb")) / (num + den))
+        long = F.ceil(num * F.greatest("na", "nb") / den) - 1
+        both = both.where(F.col("shared") >= t - long - 1)
+    both = both.select("a", "b", "na", "nb", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +267,7 @@ def _links(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataF
     known = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
     known = scratch.write(known, "known")
     sketches = known.select("key", "n", "sketch")
-    stars = found.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = found.where("key <> leader").groupBy(F.col("key").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
     stars = scratch.write(near_enough(stars, sketches, share), "stars")
     first = scratch.write(verified(stars, docs, known, width, share, scratch, "stars"), "first")
     labels = scratch.write(setjoin.components(scratch, first, "first_"), "labels0")

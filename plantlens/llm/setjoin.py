@@ -93,10 +93,14 @@ class Members:
 # -- postings and lists ------------------------------------------------------------------
 
 
-def pack(tokens: np.ndarray, sizes: np.ndarray, keys: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Postings by part, without repeats."""
+def pack(tokens: np.ndarray, sizes: np.ndarray, keys: np.ndarray, parts: int, pieces: np.ndarray | None = None) -> pa.RecordBatch:
+    """Postings by part, without repeats. A token is split over `pieces` parts by a hash of
+    the key; what belongs to a split token has a part below 0."""
     head = (tokens & ~tm.U(SIZE_CAP)) | np.minimum(sizes, SIZE_CAP).astype(np.uint64)
     part = (tm.mix(tokens >> tm.U(16)) % tm.U(parts)).astype(np.int32)
+    if pieces is not None and (split := pieces > 1).any():
+        which = tm.mix(keys[split].view(np.uint64)) % pieces[split].astype(np.uint64)
+        part[split] = -1 - (tm.mix((tokens[split] >> tm.U(16)) + tm.mix(which)) % tm.U(parts)).astype(np.int32)
     order = np.lexsort((head, part))
     head, keys, part = head[order], keys[order], part[order]
     if len(head) > 1:
@@ -112,7 +116,8 @@ def pack(tokens: np.ndarray, sizes: np.ndarray, keys: np.ndarray, parts: int) ->
 
 def lists(postings: DataFrame) -> DataFrame:
     """token, key, size, leader of every posting whose token has two keys or more; the
-    leader is the list's smallest set (by size, then key)."""
+    leader is the list's smallest set (by size, then key). Each piece of a split list has a
+    leader of its own, and is kept even with one key."""
 
     def find(group: pa.Table) -> pa.Table:
         values = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("postings")]).reshape(-1, 2)
@@ -125,7 +130,7 @@ def lists(postings: DataFrame) -> DataFrame:
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         n = np.diff(np.append(starts, len(token)))
         of = np.repeat(np.arange(len(starts)), n)
-        keep = n[of] > 1
+        keep = (n[of] > 1) | (group.column("part")[0].as_py() < 0)
         leader = keys[starts][of]
         return pa.table({
             "token": pa.array(token[keep].astype(np.int64)), "key": pa.array(keys[keep]),
@@ -163,10 +168,16 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
 
 
 def unresolved(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, key, size, component of the lists whose members aren't all in one component."""
+    """token, key, size, component, weight of the lists whose members aren't all in one
+    component. Lists of the same members are one, under the least of their tokens; weight
+    is their number."""
     labelled = found.join(labels, "key", "left").select("token", "key", "size", F.coalesce("component", "key").alias("component"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return labelled.join(mixed, "token")
+    mixed = labelled.groupBy("token").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+    ).where("lo <> hi")
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight"))
+    return labelled.join(mixed.select("token", "weight"), "token")
 
 
 def random_stars(members: DataFrame) -> DataFrame:
@@ -179,7 +190,7 @@ def random_stars(members: DataFrame) -> DataFrame:
 
 
 def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
-    """members (token, key, size, component, mini) with block, two (whether the block is a pair of
+    """members (token, key, size, component, weight, mini) with block, two (whether the block is a pair of
     chunks), mine and part. A list of up to CHUNK members is one block; a longer one is cut
     by a hash of the key, and each pair of its chunks is a block, so that every two members
     meet in a block of bounded size. Parts gather whole blocks."""
@@ -191,7 +202,7 @@ def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
     return (
         members.join(n.select("token", "n"), "token", "left").withColumn("chunks", chunks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", "size", "component", "mini", "mine", (F.col("mine") != F.col("other")).alias("two"), block.alias("block"))
+        .select("key", "size", "component", "weight", "mini", "mine", (F.col("mine") != F.col("other")).alias("two"), block.alias("block"))
         .withColumn("part", F.pmod(F.col("block"), F.lit(parts)).cast("int"))
     )
 
@@ -199,12 +210,12 @@ def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
 def pairs_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members of one block and of different components whose sizes, and
     whose parity sketches of equal length where they have some (mini), allow a similarity of
-    num / den. Only a part's distinct pairs leave it."""
+    num / den; shared is the number of lists that hold both. A part sums up its pairs."""
 
     def run(group: pa.Table) -> pa.Table:
-        key, size, component, mine, two, block = (group.column(c).to_numpy() for c in ("key", "size", "component", "mine", "two", "block"))
+        key, size, component, weight, mine, two, block = (group.column(c).to_numpy() for c in ("key", "size", "component", "weight", "mine", "two", "block"))
         order = np.lexsort((component, block))
-        key, size, component, mine, two, block = (x[order] for x in (key, size, component, mine, two, block))
+        key, size, component, weight, mine, two, block = (x[order] for x in (key, size, component, weight, mine, two, block))
         mini = group.column("mini").combine_chunks()
         sketch = None if mini.null_count else np.frombuffer(b"".join(mini.to_pylist()), np.uint64).reshape(len(key), -1)[order]
         starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
@@ -227,9 +238,13 @@ def pairs_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
                 capped = np.maximum(size[i], size[j]) >= SIZE_CAP
                 ok = capped | ((num + den) * d <= (den - num) * (size[i].astype(np.int64) + size[j]))
                 i, j = i[ok], j[ok]
-            found.append(np.stack([np.maximum(key[i], key[j]), np.minimum(key[i], key[j])], axis=1))
+            found.append(np.stack([np.maximum(key[i], key[j]), np.minimum(key[i], key[j]), weight[i]], axis=1))
             lo = hi
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
-
-    return members.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+        a, b, w = (np.concatenate(found) if found else np.zeros((0, 3), np.int64)).T
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order]
+        starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+        return pa.table({"a": pa.array(a[starts]), "b": pa.array(b[starts]), "shared": pa.array(np.add.reduceat(w, starts) if len(a) else w)})
+
+    pairs = members.groupBy("part").applyInArrow(run, "a long, b long, shared long")
+    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
