@@ -1,14 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words and their beginnings of four, five and six bytes, hashed into
-BUCKETS. Those that documents marked toxic hold significantly more often (chi-squared over
-the training sample) are the machine's inputs, present or absent; its factors learn their
-pairwise interactions, such as an insult beside the mention of a group, which additive
-weights miss. Only the text is an input of a score.
+BUCKETS. The machine's inputs, present or absent, are the terms that toxic documents hold
+significantly more or less often (chi-squared over the training sample), and the terms of
+pairs that say more of the label together than each for itself (chi-squared of the pair's
+four cases less that of its terms, for all pairs of the POOL most varied terms). Its factors
+learn their pairwise interactions, such as an insult beside the mention of a group, which
+additive weights miss. Only the text is an input of a score.
 
 It is fitted on a bounded sample: labelled rows whose crc32(doc_id) mod 3 is not 1, at most
-about `max_rows` of them, chosen by a hash of doc_id; a document's repeated labels count
-each. Nulls: a null text scores as an empty one, by the bias alone; labels without toxic or
+`max_rows` of them, chosen by a hash; a document's equal labels and equal rows count once. Nulls: a null text scores as an empty one, by the bias alone; labels without toxic or
 doc_id are left out; without any positive label, or with empty tables, the bias alone is
 learned (0 without labels). Equal texts have equal scores. Repeated rows are scored each.
 """
@@ -29,6 +30,9 @@ from plantlens.llm import textmath as tm
 BUCKETS = 1 << 22
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
+#: Significance of an input and of a pair (of some half a million pairs), and the rows that a case must hold to count.
+SINGLE, PAIR, EXPECTED = 15.0, 40.0, 5.0
+POOL = 1024
 
 
 def term_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,13 +71,20 @@ def term_sets(column: pa.Array, keep: np.ndarray | None = None) -> Iterator[np.n
 
 @dataclass
 class Machine:
-    """Bias, weights and factors by input; place 0 stands for no input."""
+    """Bias, weights and factors by input; place 0 stands for no input. Buckets that always
+    come together, such as a word and its beginning, share a place."""
 
     buckets: np.ndarray
+    places: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
+    def table(self) -> np.ndarray:
+        keep = np.zeros(BUCKETS, np.int32)
+        keep[self.buckets] = self.places
+        return keep
+
     def raw(self, rows: np.ndarray, inputs: np.ndarray, n: int) -> np.ndarray:
         """bias + sum of weights + sum over pairs of the factors' products, for n rows."""
         out = self.bias + np.bincount(rows, self.weights[inputs], n)
@@ -83,10 +94,12 @@ class Machine:
         return out
 
 
-def fit(buckets: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Machine:
-    """Logistic loss by full-batch Adagrad over the rows' inputs (places in buckets, from 1)."""
+def fit(buckets: np.ndarray, places: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 600, rate: float = 1.0, decay: tuple[float, float] = (1e-6, 1e-3)) -> Machine:
+    """Logistic loss by full-batch Adagrad over the rows' inputs (places from 1). Factors
+    decay faster than weights, so that they say what weights can't."""
     rng = np.random.default_rng(7)
-    m = Machine(buckets, 0.0, np.zeros(len(buckets) + 1), rng.normal(0, 0.05, (len(buckets) + 1, factors)))
+    size = int(places.max(initial=0)) + 1
+    m = Machine(buckets, places, 0.0, np.zeros(size), rng.normal(0, 0.05, (size, factors)))
     n = len(labels)
     if not n:
         return m
@@ -96,14 +109,13 @@ def fit(buckets: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, factors
         return m
     rows = np.repeat(np.arange(n), [len(s) for s in sets])
     inputs = np.concatenate(sets)
-    size = len(m.weights)
     seen = [1e-8, np.full(size, 1e-8), np.full(m.factors.shape, 1e-8)]
     for _ in range(epochs):
         p = 1 / (1 + np.exp(-np.clip(m.raw(rows, inputs, n), -30, 30)))
         err = (p - labels) / n
         g = err[rows]
-        gw = np.bincount(inputs, g, size) + decay * m.weights
-        gv = decay * m.factors
+        gw = np.bincount(inputs, g, size) + decay[0] * m.weights
+        gv = decay[1] * m.factors
         for f in range(m.factors.shape[1]):
             v = m.factors[inputs, f]
             gv[:, f] += np.bincount(inputs, g * (np.bincount(rows, v, n)[rows] - v), size)
@@ -121,36 +133,69 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_inputs: int = 2048) -> Machine:
+def pair_terms(held: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Columns of the 0/1 matrix `held` (rows by terms) that belong to a telling pair."""
+    n, p = len(y), float(y.sum())
+    share = p / n
+    of_all, of_toxic = (held.T @ held).astype(np.float64), (held[y > 0].T @ held[y > 0]).astype(np.float64)
+    m, a = np.diag(of_all), np.diag(of_toxic)
+
+    def part(rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        enough = rows * min(share, 1 - share) >= EXPECTED
+        return np.where(enough, (toxic - rows * share) ** 2 / np.maximum(rows * share * (1 - share), 1e-9), 0.0)
+
+    alone = part(m, a) + part(n - m, p - a)
+    together = part(of_all, of_toxic) + part(m[:, None] - of_all, a[:, None] - of_toxic) + part(m[None] - of_all, a[None] - of_toxic)
+    together += part(n - m[:, None] - m[None] + of_all, p - a[:, None] - a[None] + of_toxic)
+    return np.flatnonzero((together - alone[:, None] - alone[None] > PAIR).any(axis=1))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine:
     """The machine of the labelled rows that aren't held out."""
     spark = docs.sparkSession
     base.small_batches(spark)
-    rows = labels.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    n = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(8), "id"), F.lit(max(n, 1))) < max_rows) if n > max_rows else rows
-    # max_rows bounds what is broadcast: a few hundred kB
-    labelled = base.only(docs, "doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("y", "text")
+    rows = labels.select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
+    # limit holds where many rows share a hash; it bounds what is broadcast to a few hundred kB
+    sample = rows.orderBy(F.xxhash64(F.lit(8), "id"), "id", "y").limit(max_rows)
+    labelled = base.only(docs, "doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "y", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(term_sets(batch.column(1)), pa.list_(pa.int32()))], ["y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(term_sets(batch.column(2)), pa.list_(pa.int32()))], ["id", "y", "terms"])
 
     scratch = base.Scratch(spark, "toxicity")
-    found = scratch.write(labelled.mapInArrow(terms, "y int, terms array<int>"), "terms")
+    # one row of an id that is repeated, so that the sample stays bounded
+    found = labelled.mapInArrow(terms, "id long, y int, terms array<int>").groupBy("id", "y").agg(F.min("terms").alias("terms"))
+    found = scratch.write(found.select("y", "terms"), "terms")
     total = found.agg(F.count("y").alias("n"), F.sum("y").alias("p")).first()
     n, p = total.n, total.p or 0
     counts = found.select("y", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.sum("y").cast("double").alias("a"), F.count("y").cast("double").alias("m"))
+    counts = scratch.write(counts.where("a >= 3 or m >= 20"), "counts")
     a, m = F.col("a"), F.col("m")
     chi2 = n * F.pow(a * (n - m) - (m - a) * (p - a), 2) / (m * (n - m) * p * (n - p) + 1e-9)
-    chosen = counts.where((a >= 3) & (a * n > 2.0 * m * p)).select("bucket", chi2.alias("chi2")).where("chi2 > 15").orderBy(F.desc("chi2"), "bucket").limit(max_inputs)
-    buckets = np.sort(np.array([r.bucket for r in chosen.collect()], np.int32))
-    rows = _chosen_terms(found, buckets).collect()  # of at most about max_rows short lists
-    scratch.drop("terms")
-    places = [np.searchsorted(buckets, np.array(r.terms, np.int32)) + 1 for r in rows]
-    return fit(buckets, places, np.array([r.y for r in rows], float))
-
-
-def _chosen_terms(found: DataFrame, buckets: np.ndarray) -> DataFrame:
+    chosen = counts.where(((a >= 3) & (a * n > m * p)) | (m * p >= EXPECTED * n)).where(chi2 > SINGLE).select("bucket")
+    pool = counts.where((m >= 20) & (m <= 0.95 * n)).orderBy(F.desc(m * (n - m)), "bucket").limit(POOL).select("bucket")
+    chosen, pool = (np.sort(np.array([r.bucket for r in x.collect()], np.int32)) for x in (chosen, pool))
+    rows = _held_terms(found, np.union1d(chosen, pool)).toArrow()  # of at most max_rows rows, what they hold of a few thousand terms
+    scratch.drop("terms", "counts")
+    y = rows.column("y").to_numpy().astype(float)
+    sets = [x.values.to_numpy() for x in rows.column("terms").combine_chunks()] if len(rows) else []
+    if len(pool) and 0 < p < n:
+        held = np.zeros((n, len(pool)), np.float32)
+        for i, s in enumerate(sets):
+            held[i, np.searchsorted(pool, np.intersect1d(s, pool))] = 1
+        chosen = np.union1d(chosen, pool[pair_terms(held, y)])
+    chosen = chosen.astype(np.int32)
+    held = [np.searchsorted(chosen, np.intersect1d(s, chosen)) for s in sets]
+    # the rows that hold a bucket, as a sum of their hashes: equal sums share a place
+    sums = np.zeros(len(chosen), np.uint64)
+    for i, s in enumerate(held):
+        sums[s] += tm.mix(np.full(1, i + 1, np.uint64))
+    places = np.unique(sums, return_inverse=True)[1] + 1
+    return fit(chosen, places, [np.unique(places[s]) for s in held], y)
+
+
+def _held_terms(found: DataFrame, buckets: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [np.intersect1d(x.values.to_numpy(), buckets) for x in batch.column(1)]
@@ -163,12 +208,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of each document's whole text."""
     spark = docs.sparkSession
     base.small_batches(spark)
-    shared = spark.sparkContext.broadcast(machine)  # max_inputs bounds it
+    shared = spark.sparkContext.broadcast(machine)  # the sample bounds its inputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        keep = np.zeros(BUCKETS, np.int16)
-        keep[m.buckets] = np.arange(1, len(m.buckets) + 1)
+        keep = m.table()
         for batch in batches:
             sets = list(term_sets(batch.column(1), keep))
             rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -196,8 +240,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        keep = np.zeros(BUCKETS, np.int16)
-        keep[m.buckets] = np.arange(1, len(m.buckets) + 1)
+        keep = m.table()
         limit = np.log(THRESHOLD / (1 - THRESHOLD))
         for batch in batches:
             sets = list(term_sets(batch.column(at), keep))

@@ -176,12 +176,37 @@ def test_toxicity_learns_pairs_that_weights_miss():
         a, b = rng.integers(0, 2, 2)
         sets.append(np.array([k for k, on in ((1, a), (2, b), (3, 1)) if on]))
         y.append(float(a == b))
-    m = toxicity.fit(np.arange(3), sets, np.array(y))
+    m = toxicity.fit(np.arange(3), np.arange(1, 4), sets, np.array(y))
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     p = m.raw(rows, np.concatenate(sets), len(sets)) > 0
     assert (p == (np.array(y) > 0.5)).mean() > 0.95
 
 
+@pytest.mark.parametrize("toxic", [lambda a, b: a and b, lambda a, b: a == b])
+def test_toxicity_of_pairs_from_texts_to_scores(spark, toxic):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(3000):  # the second law says nothing by either word alone
+        w = [f"filler{x}" for x in rng.integers(0, 300, 20)]
+        a, b = (rng.random(2) < 0.6).tolist()
+        if a:
+            w.insert(3, "insultword")
+        if b:
+            w.append("groupword")
+        rows.append((i, " ".join(w), int(toxic(a, b))))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.score_documents(df.select("doc_id", "text"), df.select("doc_id", "toxic")).where("held_out").join(df, "doc_id")
+    assert got.agg(F.avg((F.col("score").between(0.5, 1).cast("int") == F.col("toxic")).cast("int")).alias("right")).first().right > 0.95
+
+
+def test_toxicity_of_repeated_labels(spark, labels):
+    docs = spark.createDataFrame([(i, f"clean words {i}") for i in range(50)] + [(i, f"bad words {i}") for i in range(50, 100)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i >= 50)) for i in range(100)], "doc_id long, toxic int")
+    once = {r.doc_id: r.score for r in toxicity.score_documents(docs, marks).collect()}
+    again = marks.union(marks.where("doc_id = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n"))
+    assert once == {r.doc_id: r.score for r in toxicity.score_documents(docs, again).collect()} and once[99] > 0.7 > 0.3 > once[0]
+
+
 def test_toxicity_and_quality_of_awkward_rows(spark, docs, labels):
     for r in toxicity.score_documents(docs, labels).collect():
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)

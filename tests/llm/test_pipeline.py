@@ -49,7 +49,7 @@ def test_each_stage(spark, folder):
     stage = dict(corpus_pipeline.STAGES)
     after = {}
     for name in ("toxicity", "line_dedup", "ngram_join", "decontamination"):
-        docs = stage[name](spark, docs, folder).localCheckpoint()
+        docs = stage[name](spark, docs, folder).checkpoint()
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         after[name] = {r.doc_id: r.text for r in docs.collect()}
     assert after["toxicity"] == TEXTS
