@@ -16,9 +16,10 @@ pair between components goes unexamined.
 
 Lines without a word (empty or white space) are layout: they stay, and link with nothing.
 A line shorter than a shingle is its own single shingle. Null texts stay null, empty ones
-empty; a text that loses all lines becomes empty, its row stays. Repeated rows of a doc_id
-are told apart by nothing but their place among equals, so their lines count as one
-document's. Rows with a null doc_id stay as they are. Extra columns are kept.
+empty; a text that loses all lines becomes empty, its row stays. Rows of one doc_id with
+different texts are told apart by a hash of the text (a tie in doc_id and place goes by it);
+rows equal in both are one document and share its decisions. Rows with a null doc_id stay as
+they are. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -80,14 +81,14 @@ def signatures(line: np.ndarray, hashes: np.ndarray, n: int, slots: int) -> np.n
 
 
 def scan(docs: DataFrame, width: int, bands: int, rows: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(lines: doc_id, place, key, n of each line; postings of each distinct line's bands).
+    """(lines: doc_id, text_key, place, key of each line; postings of each distinct line's bands).
     Two scans of the texts in place of one large table."""
     spark = docs.sparkSession
     base.small_batches(spark)
-    source = base.only(docs, "doc_id", "text").where("doc_id is not null")
+    source = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
 
     def hashed(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for lo, data, offsets in tm.joined(batch.column(1)):
+        for lo, data, offsets in tm.joined(batch.column(2)):
             row, place, starts, ends = lines_of(data, offsets)
             h = tm.prefix_hash(data, fold=True)
             whole = tm.span_hash(h, starts, ends)
@@ -96,9 +97,9 @@ def scan(docs: DataFrame, width: int, bands: int, rows: int, parts: int) -> tupl
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).to_numpy()
-            for lo, row, place, starts, ends, _, key in hashed(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(place.astype(np.int32)), pa.array(key), pa.array((ends - starts).astype(np.int32))], ["doc_id", "place", "key", "n"])
+            ids, texts = batch.column(0).cast(pa.int64()).to_numpy(), batch.column(1).to_numpy()
+            for lo, row, place, *_, key in hashed(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(texts[lo + row]), pa.array(place.astype(np.int32)), pa.array(key)], ["doc_id", "text_key", "place", "key"])
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sizes, keys, held = [], [], [], 0
@@ -122,7 +123,7 @@ def scan(docs: DataFrame, width: int, bands: int, rows: int, parts: int) -> tupl
         if held:
             yield setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts)
 
-    return source.mapInArrow(describe, "doc_id long, place int, key long, n int"), source.mapInArrow(band, setjoin.POSTINGS)
+    return source.mapInArrow(describe, "doc_id long, text_key long, place int, key long"), source.mapInArrow(band, setjoin.POSTINGS)
 
 
 def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -213,8 +214,8 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, share: tuple[int, i
 
 
 def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, share: tuple[int, int] = SHARE) -> DataFrame:
-    """doc_id, place, rep_doc_id, rep_place, keep of every line with a word: the line of
-    its component that stays, and whether it is this one."""
+    """doc_id, text_key, place, rep_doc_id, rep_place, keep of every line with a word: the
+    line of its component that stays, and whether it is this one."""
     spark = docs.sparkSession
     scratch = base.Scratch(spark, "lines")
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
@@ -237,15 +238,15 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     links = scratch.write(first.union(chance).union(verified(rest, lines, width, share)), "links")
     labels = scratch.write(setjoin.components(scratch, links, "all_"), "components")
     scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest", "links")
-    located = described.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
+    located = described.groupBy("key").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("at"), F.count(F.lit(1)).alias("n"))
     named = located.join(labels, "key", "left").where("n > 1 or component is not null").select("key", "at", F.coalesce("component", "key").alias("component"))
     named = scratch.write(named, "named")
     reps = named.groupBy("component").agg(F.min("at").alias("rep"))
     reps = scratch.write(named.join(reps, "component").select("key", "rep"), "reps")
     scratch.drop("named", "components")
-    here = F.struct("doc_id", "place")
+    here = F.struct("doc_id", "place", "text_key")
     all_lines = described.join(reps, "key", "left").withColumn("rep", F.coalesce("rep", here))
-    return all_lines.select("doc_id", "place", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.place").alias("rep_place"), (here == F.col("rep")).alias("keep"))
+    return all_lines.select("doc_id", "text_key", "place", F.col("rep.doc_id").alias("rep_doc_id"), F.col("rep.place").alias("rep_place"), (here == F.col("rep")).alias("keep"))
 
 
 def decide_documents(docs: DataFrame) -> DataFrame:
@@ -258,10 +259,10 @@ def decide_documents(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the lines that go taken out of text, and n_chars, where it is a column,
     the new length."""
-    lost = decide(docs).where(~F.col("keep")).groupBy("doc_id").agg(F.collect_set("place").alias("lost_places"))
+    lost = decide(docs).where(~F.col("keep")).groupBy(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).agg(F.collect_set("place").alias("lost_places"))
     lines = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("lost_places", i))
     text = F.when(F.col("lost_places").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = docs.join(lost, "doc_id", "left").withColumn("text", text)
+    out = docs.join(lost, (docs["doc_id"] == F.col("lost_id")) & (F.xxhash64(docs["text"]) == F.col("lost_key")), "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

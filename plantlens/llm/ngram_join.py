@@ -17,7 +17,9 @@ exactly. So no link between components is lost, and dense groups cost linear wor
 Documents with equal sets stand as one set throughout. Null or empty texts and texts
 without words have empty sets and are linked with nothing; fewer words than a shingle make
 one shingle; other columns are ignored; repeated rows keep a row each; an empty table gives
-no rows. A row with a null doc_id stays and links nothing; its set's component is its own.
+no rows. Rows of one doc_id with different texts are documents of their own: of a component
+the one with the least doc_id, then the least hash of its text, stays. A row with a null
+doc_id stays and links nothing; its set's component is its own.
 """
 
 from __future__ import annotations
@@ -114,24 +116,24 @@ def distances(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each document (doc_id, n, key, sketch), and rows of counters."""
+    """A row for each document (doc_id, text_key, n, key, sketch, mini), and rows of counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(WIDTH, np.int64)
         for batch in batches:
-            sets = list(tm.shingle_sets(batch.column(1), width))
+            sets = list(tm.shingle_sets(batch.column(2), width))
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             counts += np.bincount((flat >> tm.U(42)).astype(np.int64), minlength=WIDTH)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([tm.set_key(s) for s in sets], pa.int64()), pa.array(sketches := [sketch(s) for s in sets], pa.binary()), pa.array([mini(x) for x in sketches], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
+                [batch.column(0).cast(pa.int64()), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([tm.set_key(s) for s in sets], pa.int64()), pa.array(sketches := [sketch(s) for s in sets], pa.binary()), pa.array([mini(x) for x in sketches], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
                 names,
             )
         packed = setjoin.pack_counts(counts)
         n = len(packed)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([i for i, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([i for i, _ in packed], pa.int32()), pa.array([c for _, c in packed], pa.binary())], names)
 
-    names = ["doc_id", "n", "key", "sketch", "mini", "block", "counts"]
-    return base.only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, sketch binary, mini binary, block int, counts binary")
+    names = ["doc_id", "text_key", "n", "key", "sketch", "mini", "block", "counts"]
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, key long, sketch binary, mini binary, block int, counts binary")
 
 
 def short_lists(docs: DataFrame, estimates: np.ndarray, parts: int, width: int, share: tuple[int, int]) -> DataFrame:
@@ -243,22 +245,27 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -
 def components_of(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75, 100), per_part: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id of each document: two documents link when
     share[1] * intersection >= share[0] * union of their sets of `width`-word shingles."""
+    return _components(docs, width, share, per_part).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, width: int, share: tuple[int, int], per_part: int = 100_000) -> DataFrame:
+    """components_of, and text_key and the first (doc_id, text_key) of each row's component."""
     spark = docs.sparkSession
     base.small_batches(spark)
     scratch = base.Scratch(spark, "ngram")
     described = scratch.write(describe(docs, width), "described")
-    rows = described.where("block is null").select("doc_id", "n", "key", "sketch", "mini")
+    rows = described.where("block is null").select("doc_id", "text_key", "n", "key", "sketch", "mini")
     estimates = setjoin.summed(described.where("block is not null"), WIDTH)
     parts = max(256, int(estimates.sum()) // 4 // per_part)
     found = scratch.write(setjoin.lists(short_lists(docs, estimates, parts, width, share)), "lists")
     links = scratch.write(_links(scratch, docs, rows, found, width, share), "links")
     labels = setjoin.components(scratch, links, "all_")
     # names: the least doc_id of a component's documents
-    named = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    named = rows.where("n > 0").groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
     named = named.join(labels, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = scratch.write(named.join(least, "component").select("key", "component_id"), "names")
-    result = rows.join(of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = named.groupBy("component").agg(F.min("least").alias("first"))
+    of = scratch.write(named.join(least, "component").select("key", "first"), "names")
+    result = rows.join(of, "key", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "first")
     scratch.drop("lists", "links", "known", "stars", "stars_wanted", "first", "labels0", "mixed0", "tries", "tries_wanted", "chance", "labels1", "mixed1", "rest", "rest_wanted")
     return result
 
@@ -281,7 +288,8 @@ def _links(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataF
 
 
 def first_of_each(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:
-    """The rows of docs but those in whose component another document has a lesser doc_id.
-    Rows with a null doc_id stay."""
-    gone = components_of(docs, width, share).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs but those in whose component another document comes first. Rows with
+    a null doc_id stay; rows equal in doc_id and text are one document and share its fate."""
+    found = _components(docs, width, share).where("n_shingles > 0 and (doc_id <> first.doc_id or text_key <> first.text_key)")
+    gone = found.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
