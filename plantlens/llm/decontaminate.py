@@ -36,6 +36,8 @@ SPAN = 12
 WINDOW, EQUAL, LEAST = 24, 0.8, 6
 _FACTORS = tm.mix(np.arange(101, 101 + WINDOW, dtype=np.uint64)) | tm.U(1)
 _TABLE_BITS = 22
+#: Pairs of places under one hash from which their number is compared with that of all offsets.
+MANY = 4096
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,7 @@ class Index:
     hashes: np.ndarray
     item: np.ndarray
     position: np.ndarray
-    short: dict[int, list[tuple[np.ndarray, int]]]  # by length: ascending whole hashes, items
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: ascending whole hashes, items
     masks: list[tuple[int, int]]  # width and distance
     table: np.ndarray
 
@@ -97,26 +99,50 @@ class Index:
                     item.append(np.full(len(at), i))
                     position.append(at)
             elif len(t) >= LEAST:
-                short.setdefault(len(t), []).append((tm.runs(t, len(t))[0], i))
+                short.setdefault(len(t), []).append((int(tm.runs(t, len(t))[0]), i))
         hashes, item, position = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, item, position))
         order = np.argsort(hashes, kind="stable")
         table = np.zeros(1 << _TABLE_BITS, bool)
         hashes = hashes[order].astype(np.uint64)
         table[(hashes >> tm.U(64 - _TABLE_BITS)).astype(np.int64)] = True
-        return cls(ids, items, hashes, item[order], position[order], short, sorted(masks), table)
+        wholes = {n: tuple(np.array(x, dtype) for x, dtype in zip(zip(*sorted(found), strict=True), (np.uint64, np.int64), strict=True)) for n, found in short.items()}
+        return cls(ids, items, hashes, item[order], position[order], wholes, sorted(masks), table)
 
     def hits(self, t: np.ndarray) -> np.ndarray:
-        """Distinct (item, offset of the item's start in t) that some seed suggests."""
-        found = []
+        """Distinct (item, offset of the item's start in t) that some seed suggests. Where a
+        repeated seed would give more pairs of places than there are offsets between its
+        first and last places, all those offsets are taken."""
+        found = [np.zeros(0, np.int64)]
         block = {width: tm.runs(t, width) for width in {width for width, _ in self.masks}}
         for width, distance in self.masks:
             s = seeds(block[width], width, distance)
             at = np.flatnonzero(self.table[(s >> tm.U(64 - _TABLE_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(self.hashes, s[at], "left"), np.searchsorted(self.hashes, s[at], "right")
-            n = hi - lo
+            at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            order = np.argsort(lo, kind="stable")
+            at, lo, n = at[order], lo[order], n[order]
+            starts = np.flatnonzero(np.append(True, lo[1:] != lo[:-1])[: len(lo)])
+            times = np.diff(np.append(starts, len(lo)))
+            many = times * n[starts] > MANY
+            for k in np.flatnonzero(many & (times > 1)).tolist():
+                mine = at[starts[k] : starts[k] + times[k]]
+                of, place = (x[lo[starts[k]] : lo[starts[k]] + n[starts[k]]] for x in (self.item, self.position))
+                cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(of)).tolist(), strict=True):
+                    first, last = int(mine[0] - place[a:b].max()), int(mine[-1] - place[a:b].min())
+                    offsets = np.arange(first, last + 1) if len(mine) * (b - a) > last - first else (mine[:, None] - place[None, a:b]).reshape(-1)
+                    found.append(self._pairs(of[a], offsets))
+            few = np.repeat(~many | (times == 1), times)
+            at, lo, n = at[few], lo[few], n[few]
             k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            found.append(np.stack([self.item[k], np.repeat(at, n) - self.position[k]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            found.append(self._pairs(self.item[k], np.repeat(at, n) - self.position[k]))
+        both = np.unique(np.concatenate(found))
+        return np.stack([both >> 40, (both & (1 << 40) - 1) - (1 << 39)], axis=1)
+
+    @staticmethod
+    def _pairs(item: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """Item and offset as one word; repeats go at once."""
+        return np.unique(np.int64(item) << np.int64(40) | offset + (1 << 39))
 
     def matches(self, t: np.ndarray) -> list[tuple[int | None, int, int, int]]:
         """(item id, first term, terms, equal terms) of the verified overlaps, the best of
@@ -133,12 +159,11 @@ class Index:
                 value = (lo + a, b - a, int(equal[b] - equal[a]))
                 if i not in best or (value[2], -value[0]) > (best[i][2], -best[i][0]):
                     best[i] = value
-        for n, wholes in self.short.items():
-            s = tm.runs(t, n)
-            for h, i in wholes:
-                at = np.flatnonzero(s == h)
-                if len(at):
-                    best[i] = (int(at[0]), n, n)
+        for n, (wholes, of) in self.short.items():
+            s, first = np.unique(tm.runs(t, n), return_index=True)
+            at = np.searchsorted(s, wholes)
+            for k in np.flatnonzero(s[np.minimum(at, len(s) - 1)] == wholes).tolist() if len(s) else ():
+                best[int(of[k])] = (int(first[at[k]]), n, n)
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
 
 
