@@ -13,13 +13,15 @@ that a checksum of bytes that hold checksums stays sound. Files are written by S
 committer (a failed or repeated task leaves no half file) into any file system that Spark
 writes. The index is a Parquet table doc_id, part, offset, length, n_tokens.
 
-A null or empty text has no ids but the end id. Equal texts have equal ids; repeated rows
-are written each; an empty table gives no records.
+A null or empty text has no ids but the end id. A special token's string in a text is that
+token, as the library has it by default. Equal texts have equal ids; rows of one doc_id are
+written each, in the order of a hash of their texts; an empty table gives no records.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -61,15 +63,31 @@ def unframe(data: bytes | memoryview, at: int = 0) -> tuple[int | None, np.ndarr
     return None if kind & 128 else doc_id, np.frombuffer(payload, f"<u{kind & 127}", offset=DOC.size), hi + 5
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> pieces.Encoder:
-    """The tokenizers library behind the table of known pieces."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """The tokenizers library behind the table of known pieces, and by itself for texts that
+    hold a special token's string."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.whole = lambda found: [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+        self.pieces = pieces.Encoder(self.whole)
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return pieces.Encoder(lambda found: [e.ids for e in tokenizer.encode_batch_fast(found, add_special_tokens=False)])
+    def batch(self, values: list[str]) -> list[np.ndarray]:
+        odd = [i for i, v in enumerate(values) if self.special and self.special.search(v)]
+        out = self.pieces.batch(["" if k else v for v, k in zip(values, np.isin(np.arange(len(values)), odd).tolist(), strict=True)])
+        for i, ids in zip(odd, self.whole([values[i] for i in odd]), strict=True):
+            out[i] = np.array(ids, np.uint32)
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, out: str, file_bytes: int = 24 << 20) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +97,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, out: str, file_bytes: in
     base.small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     parts = max(1, -(-total // file_bytes))
-    ordered = base.only(docs, "doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    # by the text's hash too, so that a repeated doc_id is split and has one order
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).repartitionByRange(parts, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(tokenizer_path)
