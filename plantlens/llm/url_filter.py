@@ -26,6 +26,7 @@ class Trie:
 
     def __init__(self, rules: Sequence[Rule]):
         self.root: dict = {}
+        self.longest = 0  # last, unfinished segment of any rule
         for verdict, host, path in rules:
             node = self.root
             for label in reversed(host.split(".")) if host else ():
@@ -34,6 +35,7 @@ class Trie:
             *whole, rest = path.split("/")
             for segment in whole:
                 node = node.setdefault("/" + segment, {})
+            self.longest = max(self.longest, len(rest))
             if node.get((rest,), ("",))[0] != "block":
                 node[(rest,)] = (verdict, host, path)
 
@@ -47,18 +49,16 @@ class Trie:
             best = self._under(node, path) or best
         return best
 
-    @staticmethod
-    def _under(node: dict, path: str) -> Rule | None:
-        node, best = node.get(""), None
-        segments = path.split("/")
-        for k, segment in enumerate(segments):
-            if node is None:
-                break
-            for size in range(len(segment), -1, -1):
+    def _under(self, node: dict, path: str) -> Rule | None:
+        node, best, lo = node.get(""), None, 0
+        while node is not None:
+            end = path.find("/", lo)
+            segment = path[lo:] if end < 0 else path[lo:end]
+            for size in range(min(len(segment), self.longest), -1, -1):
                 if (segment[:size],) in node:
                     best = node[(segment[:size],)]
                     break
-            node = node.get("/" + segment) if k + 1 < len(segments) else None
+            node, lo = node.get("/" + segment) if end >= 0 else None, end + 1
         return best
 
 
