@@ -2,13 +2,16 @@
 
 The content view sees hashed words of the text and shares of kinds of characters; the
 metadata view sees source, language and lengths. Both are logistic regressions. In each
-round each labels a pool of unlabelled documents, and those it is most confident of join the
+round each labels all unlabelled documents, and those it is most confident of join the
 other's training rows, in the proportion of the classes. At the end each view is calibrated
 on labelled rows that neither was trained on (Platt's scaling), the calibrated log-odds are
 combined by their trust there, and every document is scored.
 
-Fitted on bounded samples, chosen by a hash of doc_id: about `max_labelled` labelled rows,
-a third of them held back for calibration, and `max_pool` unlabelled ones. Scoring covers
+Inputs are derived once and written. The views are fitted on a bounded sample of labelled
+rows, at most `max_labelled` by a hash, a third of them held back for calibration, and on
+what they teach each other: in each round both score every other document of the corpus,
+and each hands the other its `per_round` surest ones. Documents of equal inputs are one in
+this choice; ties go by a hash of the inputs. Scoring covers
 every document. Nulls: a null text is empty; null source, language or lengths are values of
 their own; labels without quality or doc_id are left out. With labels of one class only, or
 none, the score is the share of that class (0.5 without labels). Repeated rows are scored
@@ -17,12 +20,12 @@ each; equal rows have equal scores; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.llm import base
@@ -71,13 +74,13 @@ class Linear:
     bias: float = 0.0
     scale: tuple[float, float] = (1.0, 0.0)
 
+    def raw_of(self, inputs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bias plus the inputs' weights over the root of their number, for rows of n inputs."""
+        rows = np.repeat(np.arange(len(n)), n)
+        return self.bias + np.bincount(rows, self.weights[inputs], len(n)) / np.sqrt(np.maximum(n, 1))
+
     def raw(self, sets: list[np.ndarray]) -> np.ndarray:
-        """Bias plus the inputs' weights over the root of their number."""
-        if not sets:
-            return np.zeros(0)
-        n = np.array([len(s) for s in sets])
-        rows = np.repeat(np.arange(len(sets)), n)
-        return self.bias + np.bincount(rows, self.weights[np.concatenate(sets)], len(sets)) / np.sqrt(np.maximum(n, 1))
+        return self.raw_of(np.concatenate(sets), np.array([len(s) for s in sets])) if sets else np.zeros(0)
 
     def calibrated(self, sets: list[np.ndarray]) -> np.ndarray:
         return self.scale[0] * self.raw(sets) + self.scale[1]
@@ -133,8 +136,13 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def co_train(labelled: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, pool: list[tuple[np.ndarray, np.ndarray]], rounds: int = 4, per_round: int = 150) -> CoTrained:
-    """labelled and pool: (content inputs, metadata inputs) of each document."""
+Pair = tuple[np.ndarray, np.ndarray]  # content inputs, metadata inputs
+#: (views, keys taken, surest bad and good ones wanted) to (view, label, key, inputs) of the chosen.
+Pick = Callable[[list[Linear], set[int], int, int], list[tuple[int, float, int, Pair]]]
+
+
+def co_train(labelled: list[Pair], y: np.ndarray, pick: Pick, rounds: int = 4, per_round: int = 150) -> CoTrained:
+    """The model of the labelled documents and of those that `pick` finds in each round."""
     share = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
     out = CoTrained(Linear(np.zeros(CONTENT)), Linear(np.zeros(META)), share)
     back = np.arange(len(y)) % 3 == 0
@@ -145,22 +153,18 @@ def co_train(labelled: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, pool:
     sizes = (CONTENT, META)
     rows = [[x[v] for x, b in zip(labelled, back, strict=True) if not b] for v in (0, 1)]
     targets = [y[~back].tolist() for _ in (0, 1)]
-    free = np.ones(len(pool), bool)
     views = [fit(rows[v], np.array(targets[v]), sizes[v]) for v in (0, 1)]
-    for _ in range(rounds if len(pool) else 0):
-        for v in (0, 1):
-            at = np.flatnonzero(free)
-            raw = views[v].raw([pool[i][v] for i in at])
-            order = np.argsort(raw, kind="stable")
-            good, bad = max(1, round(share * per_round)), max(1, round((1 - share) * per_round))
-            sure_bad = [i for i in order[:bad] if raw[i] < 0]
-            sure_good = [i for i in order[::-1][:good] if raw[i] > 0]
-            for chosen, label in ((sure_bad, 0.0), (sure_good, 1.0)):
-                for i in at[chosen] if len(chosen) else ():
-                    rows[1 - v].append(pool[i][1 - v])
-                    targets[1 - v].append(label)
-                    free[i] = False
-            out.exchanged.append(len(sure_bad) + len(sure_good))
+    good, bad = max(1, round(share * per_round)), max(1, round((1 - share) * per_round))
+    taken: set[int] = set()
+    for _ in range(rounds):
+        found = [x for x in pick(views, taken, bad, good) if x[2] not in taken]
+        taken |= {key for _, _, key, _ in found}
+        for v, label, _, inputs in found:
+            rows[1 - v].append(inputs[1 - v])
+            targets[1 - v].append(label)
+        out.exchanged += [sum(x[0] == v for x in found) for v in (0, 1)]
+        if not found:
+            break
         views = [fit(rows[v], np.array(targets[v]), sizes[v]) for v in (0, 1)]
     held = [[x[v] for x, b in zip(labelled, back, strict=True) if b] for v in (0, 1)]
     trust = []
@@ -184,45 +188,93 @@ def _inputs(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return [content_inputs(x) for x in text], [metadata_inputs(m, int((x == 10).sum())) for m, x in zip(meta, text, strict=True)]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000, max_pool: int = 3000) -> CoTrained:
-    spark = docs.sparkSession
-    base.small_batches(spark)
-    rows = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).cast("double").alias("y")).where("id is not null and y is not null")
-    n = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(max(1, n))) < max_labelled)
-    total = docs.select("doc_id").count()
-    one = base.only(docs, "doc_id", "text", *METADATA)
-    mine = one.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).drop("id")  # max_labelled bounds it
-    pool = one.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(max(1, total))) < max_pool).join(F.broadcast(sample.select("id")), F.col("doc_id") == F.col("id"), "left_anti").withColumn("y", F.lit(None).cast("double"))
+def derive(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the inputs), content, meta (16-bit inputs) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, meta = _inputs(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(batch.schema.get_field_index("y")), pa.array([c.astype("<u2").tobytes() for c in content], pa.binary()), pa.array([m.astype("<u2").tobytes() for m in meta], pa.binary())],
-                ["doc_id", "y", "content", "meta"],
-            )
+            both = [[x.astype("<u2").tobytes() for x in view] for view in _inputs(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(x, pa.binary()) for x in both]], ["doc_id", "content", "meta"])
+
+    found = base.only(docs, "doc_id", "text", *METADATA).mapInArrow(run, "doc_id long, content binary, meta binary")
+    return found.select("doc_id", F.xxhash64("content", "meta").alias("key"), "content", "meta")
+
+
+def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' inputs, and the number of each row's."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 2
+    data = column.buffers()[2]
+    return (np.frombuffer(data, "<u2") if data is not None else np.zeros(0, "<u2"))[at[0] : at[-1]], np.diff(at)
+
+
+def picker(inputs: DataFrame, sample: set[int | None]) -> Pick:
+    """Picks from the written `inputs`, without the ids of the labelled sample."""
+    spark = inputs.sparkSession
+    schema = "view int, label int, raw double, key long, content binary, meta binary"
+
+    def pick(views: list[Linear], taken: set[int], bad: int, good: int) -> list[tuple[int, float, int, Pair]]:
+        # views have a fixed size; the sample and the taken are bounded by max_labelled, rounds and per_round
+        shared = spark.sparkContext.broadcast((views, np.array(sorted(i for i in sample if i is not None), np.int64), np.array(sorted(taken), np.int64)))
+
+        def surest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models, known, used = shared.value
+            for batch in batches:
+                ids, key = batch.column(0), batch.column(1).to_numpy()
+                free = ~np.isin(ids.fill_null(0).to_numpy(), known) | ids.is_null().to_numpy(zero_copy_only=False)
+                free &= ~np.isin(key, used)
+                free[np.setdiff1d(np.arange(len(key)), np.unique(key, return_index=True)[1])] = False
+                for v in (0, 1):
+                    raw = models[v].raw_of(*_sets(batch.column(2 + v)))
+                    for label, n, side in ((0, bad, raw), (1, good, -raw)):
+                        at = np.flatnonzero(free & (side < 0))
+                        at = at[np.lexsort((key[at], side[at]))[:n]]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(side[at]), *[batch.column(k).take(pa.array(at)) for k in (1, 2, 3)]],
+                            [x.split()[0] for x in schema.split(", ")],
+                        )
+
+        # by key first, so that equal inputs are one and the last choice is among few rows of each partition
+        each = inputs.mapInArrow(surest, schema).groupBy("view", "label", "key").agg(F.min("raw").alias("raw"), F.first("content").alias("content"), F.first("meta").alias("meta"))
+        ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("view", "label").orderBy("raw", "key")))
+        found = ranked.where(F.col("rank") <= F.when(F.col("label") == 0, bad).otherwise(good)).where(F.col("rank") <= max(bad, good))
+        got = sorted(found.collect(), key=lambda r: (r.view, r.label, r.raw, r.key))  # 2 * (bad + good) rows at most
+        once, out = set(), []
+        for r in got:  # a document chosen by both views teaches for the first
+            if r.key not in once:
+                once.add(r.key)
+                out.append((r.view, float(r.label), r.key, _pair(r)))
+        return out
 
-    found = mine.unionByName(pool).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, y double, content binary, meta binary")
-    # two samples of bounded size, in an order of their own
-    got = sorted(found.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, bytes(r.content)))
-    both = [(np.frombuffer(r.content, "<u2").astype(np.int64), np.frombuffer(r.meta, "<u2").astype(np.int64)) for r in got]
-    known = [r.y is not None for r in got]
-    return co_train([x for x, k in zip(both, known, strict=True) if k], np.array([r.y for r in got if r.y is not None]), [x for x, k in zip(both, known, strict=True) if not k])
+    return pick
+
+
+def _pair(row) -> Pair:
+    return np.frombuffer(row.content, "<u2").astype(np.int64), np.frombuffer(row.meta, "<u2").astype(np.int64)
+
+
+def train(inputs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> CoTrained:
+    """The model of what derive() gave, written, and of the labels."""
+    rows = labels.select(F.col("doc_id").alias("id"), (F.col("quality") == 1).cast("double").alias("y")).where("id is not null and y is not null").distinct()
+    sample = rows.orderBy(F.xxhash64(F.lit(1), "id"), "id", "y").limit(max_labelled)
+    # max_labelled bounds what is broadcast and, as repeated rows count once, what is collected
+    mine = inputs.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).groupBy("doc_id", "y").agg(F.min(F.struct("key", "content", "meta")).alias("one")).select("doc_id", "y", "one.*")
+    got = sorted(mine.collect(), key=lambda r: (r.doc_id, r.y))
+    return co_train([_pair(r) for r in got], np.array([r.y for r in got]), picker(inputs, {r.doc_id for r in got}))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep_from: float = 0.5) -> DataFrame:
     """doc_id, content_score, metadata_score, score (0 to 1, higher: better), keep."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(docs, labels))  # of a fixed size
+    base.small_batches(spark)
+    inputs = base.Scratch(spark, "quality").write(derive(docs), "inputs")
+    shared = spark.sparkContext.broadcast(train(inputs, labels))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            content, meta = _inputs(batch)
-            a, b = m.content.calibrated(content), m.metadata.calibrated(meta)
-            p = m.combine(a, b)
+            a, b = (view.scale[0] * view.raw_of(*_sets(batch.column(k))) + view.scale[1] for k, view in ((1, m.content), (2, m.metadata)))
             each = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(x, pa.float64()) for x in (*each, p)], pa.array(p >= keep_from)], ["doc_id", "content_score", "metadata_score", "score", "keep"])
+            p = m.combine(a, b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.float64()) for x in (*each, p)], pa.array(p >= keep_from)], ["doc_id", "content_score", "metadata_score", "score", "keep"])
 
-    return base.only(docs, "doc_id", "text", *METADATA).mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double, keep boolean")
+    return inputs.select("doc_id", "content", "meta").mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double, keep boolean")
