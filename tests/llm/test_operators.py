@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -87,11 +88,60 @@ def test_line_dedup_keeps_one_of_each(docs):
     assert line_dedup.dedup(docs).columns == docs.columns
 
 
+def test_rows_of_one_doc_id_keep_their_own_texts(spark):
+    a, b = prose(1), prose(9)
+    near = a.replace(a.split()[30], "swapped", 1)
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, near), (3, b + " more"), (4, prose(11)), (4, prose(11)), (None, a), (5, None), (5, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.dedup(docs).collect()), key=str)
+    assert got == sorted([(1, a), (2, ""), (2, b), (3, ""), (3, ""), (4, prose(11)), (4, prose(11)), (None, a), (5, None), (5, None)], key=str)
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.first_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (4, prose(11)), (4, prose(11)), (None, a), (5, None), (5, None)], key=str)
+
+
+def test_line_dedup_recall_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lines, at = {}, {}
+    fold = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    for r in docs.collect():
+        for k, x in enumerate((r.text or "").encode().split(b"\n")):
+            if x.strip(b" \t\v\f\r"):
+                x = x.translate(fold)
+                at[r.doc_id, k] = x
+                lines.setdefault(x, {x[i : i + 7] for i in range(max(1, len(x) - 6))})
+    names, sets = list(lines), list(lines.values())
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    # of the sets' rarest quarter, two alike share one at least
+    near = set()
+    for i, s in enumerate(sets):
+        for g in sorted(s, key=lambda g: (len(holders[g]), g))[: len(s) - -(-3 * len(s) // 4) + 1]:
+            near |= {(min(i, j), max(i, j)) for j in holders[g] if j != i and 3 * max(len(s), len(sets[j])) <= 4 * min(len(s), len(sets[j]))}
+    near = [(i, j) for i, j in near if 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    rep = {}
+    for r in line_dedup.decide(docs).collect():
+        rep.setdefault(at[r.doc_id, r.place], set()).add((r.rep_doc_id, r.rep_place))
+    assert all(len(x) == 1 for x in rep.values()) and set(rep) == set(names)
+    assert len(near) > 100 and np.mean([rep[names[i]] == rep[names[j]] for i, j in near]) >= 0.98
+    parent = list(range(len(names)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in near:
+        parent[find(i)] = find(j)
+    where = {n: i for i, n in enumerate(names)}
+    assert all(find(where[n]) == find(where[at[next(iter(x))]]) for n, x in rep.items())  # nothing is merged that isn't linked
+
+
 def test_bpe_and_records(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
-    tokenizer.encode_special_tokens = True
+    docs = docs.union(docs.where("doc_id = 7").withColumn("doc_id", F.lit(20)).withColumn("text", F.lit("hello <|endoftext|> world<|endoftext|>")))
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     for r in bpe.encode_documents(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken").collect():
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
@@ -113,6 +163,18 @@ def test_shards_are_even_and_whole(docs):
     assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
 
 
+def test_the_permutation_follows_from_rows_and_seed(spark, docs):
+    docs = docs.where("doc_id <> 13").withColumn("position", F.lit(1)).withColumn("bucket", F.lit(2)).withColumn("slot", F.lit(3))
+    shards = lambda df, seed=42: {(r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(df, shards=3, seed=seed).collect()}
+    first = shards(docs)
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert shards(docs.repartition(5)) == first and shards(docs, 1) != first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
 def test_audio_of_equal_texts(docs):
     rows = {r.doc_id: r for r in audio.describe(docs).collect()}
     assert rows[1].feature == rows[2].feature and rows[4].n_bytes == 0 and rows[4].payload_bytes == 64 and rows[4].feature == rows[5].feature
@@ -126,6 +188,17 @@ def test_decontamination(spark, docs):
     assert left.columns == docs.columns and left.count() == docs.count() - 2
 
 
+def test_decontamination_of_repeated_terms():
+    for period in (1, 2, 7):
+        item, doc = [f"t{k % period}" for k in range(300)], ["x"] * 5 + [f"t{k % period}" for k in range(9000)] + ["y"] * 9
+        index = decontaminate.Index.of([(1, " ".join(item)), (2, "six short words of an item")])
+        data = np.frombuffer((" ".join(doc) + " six short words of an item").encode(), np.uint8)
+        t, _ = decontaminate.terms(data, np.array([0, len(data)]))
+        began = time.time()
+        assert index.matches(t) == [(1, *alignments(t, index.items[0])), (2, len(t) - 6, 6, 6)]
+        assert time.time() - began < 20
+
+
 def alignments(doc, item):
     """(start, terms, equal terms) of the best overlap of two lists of terms, by every offset."""
     w, best = min(24, len(item)), None
@@ -216,6 +289,26 @@ def test_toxicity_and_quality_of_awkward_rows(spark, docs, labels):
     assert quality.score_documents(docs, labels.where("1 = 0")).where("score <> 0.5").count() == 0
 
 
+def test_what_the_views_teach_equals_brute_force(spark, docs):
+    docs = docs.union(docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id") + 100)).union(docs.limit(0))
+    inputs = quality.derive(docs).checkpoint()
+    rng = np.random.default_rng(2)
+    views = [quality.Linear(rng.normal(0, 1, n)) for n in (quality.CONTENT, quality.META)]
+    rows = {}
+    for r in inputs.collect():
+        if r.doc_id not in (1, 9):
+            rows.setdefault(r.key, quality._pair(r))
+    taken = {min(rows)}
+    want = {}
+    for v in (0, 1):
+        raw = {k: sum(views[v].weights[i] for i in x[v]) / max(1, len(x[v])) ** 0.5 for k, x in rows.items() if k not in taken}
+        for label, n, side in ((0, 2, 1), (1, 3, -1)):
+            for _, k in sorted((side * x, k) for k, x in raw.items() if side * x < 0)[:n]:
+                want.setdefault(k, (v, float(label)))
+    got = quality.picker(inputs, {1, 9, None})(views, taken, 2, 3)
+    assert {k: (v, y) for v, y, k, _ in got} == want and len(want) > 4
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -231,6 +324,9 @@ def test_urls(spark):
     assert got[1] == ("www.example.com", "/en/a", "www.example.com/en/", "allow") and got[2] == got[3] == ("", "", None, "allow")
     assert got[4] == ("a.net", "", None, "allow") and got[5] == ("b.net", "/fr/", "net/fr/", "block") and got[6][0] == "y:"
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, URL_RULES, block_rules=2).collect()} == got
+    assert url_filter.judge(pages.where("1 = 0"), URL_RULES).count() == 0
+    began = time.time()
+    assert url_filter.Trie(URL_RULES).find("a.net", "/fr/" + "x" * 2_000_000) == ("block", "net", "/fr/") and time.time() - began < 1
 
 
 @pytest.mark.parametrize("call", [
