@@ -185,6 +185,25 @@ def similar(left: list[bytes], right: list[bytes], width: int, share: tuple[int,
     return den * (total - united) >= num * united
 
 
+def similar_pairs(left: list[bytes], right: list[bytes], width: int, share: tuple[int, int]) -> np.ndarray:
+    """similar() of any number of pairs, by runs of bounded size."""
+    sums = np.cumsum([len(x) + len(y) for x, y in zip(left, right, strict=True)])
+    keep, lo = [np.zeros(0, bool)], 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + tm.SEGMENT, side="right")))
+        hi = min(hi, lo + MANY // 2)
+        keep.append(similar(left[lo:hi], right[lo:hi], width, share))
+        lo = hi
+    return np.concatenate(keep)
+
+
+def similar_places(width: int, share: tuple[int, int]):  # noqa: ANN201
+    def check(lines: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return similar_pairs(lines.take(pa.array(i)).to_pylist(), lines.take(pa.array(j)).to_pylist(), width, share)
+
+    return check
+
+
 def verified(pairs: DataFrame, lines: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of keys whose lines' shingle sets reach the share exactly. Sizes and
     sketches spare the exact look at pairs that cannot."""
@@ -199,16 +218,8 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, share: tuple[int, i
             ma, mb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(batch), -1) for k in (6, 7))
             d = np.bitwise_count(ma ^ mb).sum(axis=1, dtype=np.int64)
             batch = batch.filter(pa.array((num + den) * d <= (den - num) * (batch.column(4).to_numpy() + batch.column(5).to_numpy())))
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            sums = np.cumsum([len(x) + len(y) for x, y in zip(left, right, strict=True)])
-            keep, lo = [], 0
-            while lo < len(batch):
-                hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + tm.SEGMENT, side="right")))
-                hi = min(hi, lo + MANY // 2)
-                keep.append(similar(left[lo:hi], right[lo:hi], width, share))
-                lo = hi
-            if keep:
-                yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
+            keep = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), width, share)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -231,13 +242,13 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     labels = scratch.write(setjoin.components(scratch, first, "first_"), "labels0")
     mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
     chance = scratch.write(verified(setjoin.random_stars(mixed), lines, width, share), "chance")
-    labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
+    labels = scratch.write(setjoin.merged(scratch, labels, chance, "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
-    sizes = lines.select("key", F.least("n", F.lit(setjoin.SIZE_CAP)).cast("int").alias("size"), "mini")
-    rest = scratch.write(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.drop("size").join(sizes, "key")), *share).select("a", "b"), "rest")
-    links = scratch.write(first.union(chance).union(verified(rest, lines, width, share)), "links")
-    labels = scratch.write(setjoin.components(scratch, links, "all_"), "components")
-    scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "rest", "links")
+    held = lines.select("key", F.least("n", F.lit(setjoin.SIZE_CAP)).cast("int").alias("size"), "mini", F.col("line").alias("value"))
+    links = setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.drop("size").join(held, "key")), *share, similar_places(width, share))
+    links = scratch.write(links.select("a", "b"), "links")
+    labels = scratch.write(setjoin.merged(scratch, labels, links, "all_"), "components")
+    scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "links", "chance_over", "all_over")
     located = described.groupBy("key").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("at"), F.count(F.lit(1)).alias("n"))
     named = located.join(labels, "key", "left").where("n > 1 or component is not null").select("key", "at", F.coalesce("component", "key").alias("component"))
     named = scratch.write(named, "named")

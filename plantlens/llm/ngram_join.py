@@ -258,19 +258,18 @@ def _components(docs: DataFrame, width: int, share: tuple[int, int], per_part: i
     estimates = setjoin.summed(described.where("block is not null"), WIDTH)
     parts = max(256, int(estimates.sum()) // 4 // per_part)
     found = scratch.write(setjoin.lists(short_lists(docs, estimates, parts, width, share)), "lists")
-    links = scratch.write(_links(scratch, docs, rows, found, width, share), "links")
-    labels = setjoin.components(scratch, links, "all_")
+    labels = _labels(scratch, docs, rows, found, width, share)
     # names: the least doc_id of a component's documents
     named = rows.where("n > 0").groupBy("key").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least"))
     named = named.join(labels, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("first"))
     of = scratch.write(named.join(least, "component").select("key", "first"), "names")
     result = rows.join(of, "key", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "first")
-    scratch.drop("lists", "links", "known", "stars", "stars_wanted", "first", "labels0", "mixed0", "tries", "tries_wanted", "chance", "labels1", "mixed1", "rest", "rest_wanted")
+    scratch.drop("lists", "links", "known", "stars", "stars_wanted", "first", "labels0", "mixed0", "tries", "tries_wanted", "chance", "labels1", "mixed1", "rest", "rest_wanted", "chance_over", "all_over")
     return result
 
 
-def _links(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
+def _labels(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     known = rows.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mini").alias("mini"))
     known = scratch.write(known, "known")
     sketches = known.select("key", "n", "sketch")
@@ -281,10 +280,11 @@ def _links(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: DataF
     mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
     tries = scratch.write(near_enough(setjoin.random_stars(mixed), sketches, share), "tries")
     chance = scratch.write(verified(tries, docs, known, width, share, scratch, "tries"), "chance")
-    labels = scratch.write(setjoin.components(scratch, first.union(chance), "chance_"), "labels1")
+    labels = scratch.write(setjoin.merged(scratch, labels, chance, "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
     rest = scratch.write(near_enough(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.join(known.select("key", "mini"), "key")), *share), sketches, share), "rest")
-    return first.union(chance).union(verified(rest, docs, known, width, share, scratch, "rest"))
+    last = scratch.write(verified(rest, docs, known, width, share, scratch, "rest"), "links")
+    return setjoin.merged(scratch, labels, last, "all_")
 
 
 def first_of_each(docs: DataFrame, width: int = 5, share: tuple[int, int] = (75, 100)) -> DataFrame:

@@ -8,7 +8,7 @@ token space, so that Spark shuffles a few large values in place of one row each.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +149,14 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     each round is written."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = scratch.write(edges, f"{name}0")
+
+    def ended() -> bool:  # each u has one v, and no v is a u
+        ends = edges.select("u", F.lit(1).alias("one"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("u").agg(F.sum("one").alias("one"), F.max("root").alias("root")).where("one > 1 or (one = 1 and root = 1)").isEmpty()
+
     for i in range(1, 60):
+        if ended():
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join below has two plain shuffles and Spark can split hubs
         least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}m{i}")
@@ -159,14 +166,23 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = scratch.write(small, f"{name}{i}")
         scratch.drop(f"{name}{i - 1}", f"{name}m{i}", f"{name}l{i}")
-        # done when each u has one v, and no v is a u
-        ends = edges.select("u", F.lit(1).alias("one"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("u").agg(F.sum("one").alias("one"), F.max("root").alias("root")).where("one > 1 or (one = 1 and root = 1)").isEmpty():
-            break
     roots = edges.select(F.col("v").alias("u")).distinct()
     return edges.select(F.col("u").alias("key"), F.col("v").alias("component")).union(roots.select(F.col("u").alias("key"), F.col("u").alias("component")))
 
 
+def merged(scratch: Scratch, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """labels (key, component) after more links (a, b): only components are joined, so that
+    the rounds work on what the new links touch. labels is a written table."""
+    for side in ("a", "b"):
+        of = labels.select(F.col("key").alias(side), F.col("component").alias(f"of_{side}"))
+        links = links.join(of, side, "left")
+    ends = links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    over = scratch.write(components(scratch, ends, name), f"{name}over")
+    to = over.select(F.col("key").alias("component"), F.col("component").alias("to"))
+    old = labels.join(to, "component", "left").select("key", F.coalesce("to", "component").alias("component"))
+    return old.union(over.join(labels, "key", "left_anti"))
+
+
 def unresolved(found: DataFrame, labels: DataFrame) -> DataFrame:
     """token, key, size, component, weight of the lists whose members aren't all in one
     component. Lists of the same members are one, under the least of their tokens; weight
@@ -190,7 +206,7 @@ def random_stars(members: DataFrame) -> DataFrame:
 
 
 def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
-    """members (token, key, size, component, weight, mini) with block, two (whether the block is a pair of
+    """members (token, key, size, component, weight, mini, and what else they have) with block, two (whether the block is a pair of
     chunks), mine and part. A list of up to CHUNK members is one block; a longer one is cut
     by a hash of the key, and each pair of its chunks is a block, so that every two members
     meet in a block of bounded size. Parts gather whole blocks."""
@@ -198,19 +214,22 @@ def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
     chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("key", "token"), F.col("chunks")).cast("int")
     parts = max(64, members.count() // per_part)
+    held = [c for c in members.columns if c != "token"]
     block = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
     return (
         members.join(n.select("token", "n"), "token", "left").withColumn("chunks", chunks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("key", "size", "component", "weight", "mini", "mine", (F.col("mine") != F.col("other")).alias("two"), block.alias("block"))
+        .select(*held, "mine", (F.col("mine") != F.col("other")).alias("two"), block.alias("block"))
         .withColumn("part", F.pmod(F.col("block"), F.lit(parts)).cast("int"))
     )
 
 
-def pairs_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
+def pairs_in_blocks(members: DataFrame, num: int, den: int, check: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Pairs (a, b) of members of one block and of different components whose sizes, and
     whose parity sketches of equal length where they have some (mini), allow a similarity of
-    num / den; shared is the number of lists that hold both. A part sums up its pairs."""
+    num / den; shared is the number of lists that hold both. A part sums up its pairs. With
+    a check of (the part's values, places, places) only the pairs that pass leave the part,
+    and once two components have met there no more of their pairs are checked."""
 
     def run(group: pa.Table) -> pa.Table:
         key, size, component, weight, mine, two, block = (group.column(c).to_numpy() for c in ("key", "size", "component", "weight", "mine", "two", "block"))
@@ -238,13 +257,37 @@ def pairs_in_blocks(members: DataFrame, num: int, den: int) -> DataFrame:
                 capped = np.maximum(size[i], size[j]) >= SIZE_CAP
                 ok = capped | ((num + den) * d <= (den - num) * (size[i].astype(np.int64) + size[j]))
                 i, j = i[ok], j[ok]
-            found.append(np.stack([np.maximum(key[i], key[j]), np.minimum(key[i], key[j]), weight[i]], axis=1))
+            found.append(np.stack([np.maximum(key[i], key[j]), np.minimum(key[i], key[j]), weight[i], i, j], axis=1))
             lo = hi
-        a, b, w = (np.concatenate(found) if found else np.zeros((0, 3), np.int64)).T
-        order = np.lexsort((b, a))
-        a, b, w = a[order], b[order], w[order]
+        a, b, w, i, j = (np.concatenate(found) if found else np.zeros((0, 5), np.int64)).T
+        at = np.lexsort((b, a))
+        a, b, w, i, j = a[at], b[at], w[at], i[at], j[at]
         starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
-        return pa.table({"a": pa.array(a[starts]), "b": pa.array(b[starts]), "shared": pa.array(np.add.reduceat(w, starts) if len(a) else w)})
+        w = np.add.reduceat(w, starts) if len(a) else w
+        a, b, i, j = a[starts], b[starts], i[starts], j[starts]
+        if check and len(a):
+            ok = _checked(lambda k: check(group.column("value").combine_chunks(), order[i[k]], order[j[k]]), component[i], component[j])
+            a, b, w = a[ok], b[ok], w[ok]
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "shared": pa.array(w)})
 
     pairs = members.groupBy("part").applyInArrow(run, "a long, b long, shared long")
     return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
+
+def _checked(check: Callable[[np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray, first: int = 256) -> np.ndarray:
+    """Places of pairs that pass the check. Pairs of components a and b that others have
+    joined by then aren't checked: they are linked already."""
+    names, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = both[: len(a)], both[len(a) :]
+    of, left, passed = np.arange(len(names)), np.arange(len(a)), []
+    while len(left):
+        now, left = left[:first], left[first:]
+        good = now[check(now)]
+        passed.append(good)
+        for x, y in zip(of[a[good]].tolist(), of[b[good]].tolist(), strict=True):
+            x, y = of[x], of[y]
+            if x != y:
+                of[of == max(x, y)] = min(x, y)
+        left = left[of[a[left]] != of[b[left]]]
+        first = min(2 * first, 1 << 14)
+    return np.sort(np.concatenate(passed)) if passed else np.zeros(0, int)
