@@ -37,7 +37,12 @@ def stripped(code: Column) -> Column:
     """Code without comments and string literals."""
     code = F.regexp_replace(code, r"(?s)\(\*.*?\*\)", " ")
     code = F.regexp_replace(code, r"//[^\n]*", " ")
-    return F.regexp_replace(code, r"'(?:[^'$]|\$.)*'", "''")
+    return F.regexp_replace(code, r"'(?:[^'$]++|\$.)*+'", "''")
+
+
+def blank_run(text: Column, n: int = 3) -> Column:
+    """Whether n lines or more in a row hold nothing but spaces, tabs and a return."""
+    return text.rlike(r"\n" + r"[ \t]*+\r?+\n" * n)
 
 
 def camel_split(name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as fx
@@ -40,7 +40,9 @@ def call_edges(body: DataFrame, pou: DataFrame, all_variable: DataFrame, variabl
 
 
 def top_edges(edge: DataFrame, n: int = TOP_EDGES) -> DataFrame:
-    return edge.orderBy(F.desc("weight"), F.lower("source"), F.lower("target")).limit(n)
+    """The n heaviest edges, of each project where edges have one."""
+    w = Window.partitionBy(*[c for c in ("project_id",) if c in edge.columns]).orderBy(F.desc("weight"), F.lower("source"), F.lower("target"))
+    return edge.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
 
 
 def from_root(edge: DataFrame, root: str, folder: str) -> DataFrame:

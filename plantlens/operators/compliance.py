@@ -13,6 +13,7 @@ from plantlens.functions import text as fx
 
 #: Recognised prefixes, generic names, type prefixes, reserved words.
 PREFIXES = ("UM_", "EM_", "CM_", "DM_", "FB_", "PRG_", "FC_", "I_", "E_", "ST_")
+CASED = ("UM_", "EM_", "CM_", "DM_", "FB_", "I_", "E_", "ST_")
 GENERIC = ("test", "main", "module", "base", "temp", "helper", "utils", "utility", "misc", "common")
 HUNGARIAN = ("b", "n", "f", "lf", "s", "t", "dt", "a", "st", "e", "fb", "i", "p", "ref", "dw", "w", "by", "di", "_")
 RESERVED = (
@@ -67,6 +68,7 @@ def module_rules() -> dict[str, tuple[str, Column]]:
     guid_like = F.regexp_count("source", F.lit(r"\{[0-9A-Fa-f-]{30,40}\}"))
     guid = F.regexp_count("source", F.lit(r"\{[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\}"))
     prefixed = F.upper(name).rlike(f"^({'|'.join(PREFIXES)})")
+    cased = F.exists(F.array(*[F.lit(p) for p in CASED]), lambda p: name.startswith(p))
     rules = {
         "IEC-001": _level(prefixed), "IEC-002": _level(ratio >= 0.8, "F", c("n_ruled") > 0, ratio >= 0.5),
         "IEC-003": _level(F.lit(True), applies=c("n_methods") > 0), "IEC-004": _level(c("longest_method") <= 150, "F", middle=c("longest_method") <= 300),
@@ -78,9 +80,9 @@ def module_rules() -> dict[str, tuple[str, Column]]:
         "GAMP-001": _level(c("n_in") > 0), "GAMP-002": _level(c("n_out") > 0), "GAMP-003": _level(c("n_alarm_methods") > 0), "GAMP-004": _level(layer != "Other"), "GAMP-005": _level(c("extends_type").isNotNull()),
         "GAMP-006": _level(code > 100, "F", middle=code > 0), "GAMP-007": _level(~F.regexp_replace(F.lower(name), "^_+", "").isin(*GENERIC)),
         "oop.extends_cycle": _level(c("cyclic") == 0, "F", c("extends_type").isNotNull()), "oop.override_super_call": _level(c("n_without_super") == 0), "oop.property_accessor_pairing": _level(c("n_bare_properties") == 0, "F"),
-        "oop.method_count": _level(c("n_all_methods") <= 30), "naming.isa88_prefix_casing": F.when(name.rlike("^(um|em|cm|dm|fb)_"), "F").when(fb & ~prefixed, "W").otherwise("P"), "naming.member_casing": _level(c("n_odd_local") == 0),
+        "oop.method_count": _level(c("n_all_methods") <= 30), "naming.isa88_prefix_casing": F.when(name.rlike("^(um|em|cm|dm|fb)_"), "F").when(fb & ~cased, "W").otherwise("P"), "naming.member_casing": _level(c("n_odd_local") == 0),
         "naming.reserved_words": _level(c("n_reserved") == 0, "F"), "structure.property_var_blocks": _level(c("n_var_properties") == 0), "style.indentation_tabs": _level(F.coalesce(blanks / F.nullif(blanks + tabs, F.lit(0)), F.lit(0.0)) < 0.1),
-        "style.excessive_blank_lines": _level(~c("source").rlike(r"(\r?\n[ \t]*){4,}")), "xml.guid_format": _level(guid_like == guid, "F"),
+        "style.excessive_blank_lines": _level(~fx.blank_run(c("source"))), "xml.guid_format": _level(guid_like == guid, "F"),
     }
     standard = {"IEC": "IEC 61131-3", "OOP": "OOP", "ISA": "ISA-88", "GAMP": "GAMP 5"}
     return {k: (standard.get(k.split("-")[0], "Architecture"), v) for k, v in rules.items()}

@@ -122,8 +122,9 @@ def scope_of(words: Column) -> Column:
 
 
 BLOCK = r"(?i)^\s*(VAR(?:_INPUT|_OUTPUT|_IN_OUT|_STAT|_TEMP|_GLOBAL)?(?:\s+(?:CONSTANT|PERSISTENT|RETAIN))?)\s*$"
-#: Up to a `//` that stands outside of string literals.
-CODE = r"^((?:[^'/]|'[^']*'|/(?!/))*)"
+#: Up to a `//` that stands outside of string literals. Here and below a group that repeats is
+#: possessive, as Java's matcher works on other groups by recursion and long lines would end it.
+CODE = r"^((?:[^'/]++|'[^']*+'|/(?!/))*+)"
 
 
 def variables(owners: DataFrame) -> DataFrame:
@@ -159,14 +160,14 @@ def variables(owners: DataFrame) -> DataFrame:
     name = F.regexp_extract(left, r"^([A-Za-z_]\w*)\s*(?i:AT\s+%.*)?$", 1)
     at = F.regexp_extract(left, r"(?i)\bAT\s+(%[IQM]\*?[\d.]*)", 1)
     found = found.withColumn("name", name).withColumn("at_binding", F.nullif(at, F.lit(""))).withColumn("right", right).where("name <> '' and right <> ''")
-    initial = F.when(F.col("right").startswith("="), F.lit(None)).otherwise(F.nullif(fx.strip(F.regexp_extract("right", r"^(?:[^(:]|\([^)]*\))*?:=(.*)$", 1)), F.lit("")))
+    initial = F.when(F.col("right").startswith("="), F.lit(None)).otherwise(F.nullif(fx.strip(F.regexp_extract("right", r"^(?:[^(:]++|\([^)]*+\))*+:=(.*)$", 1)), F.lit("")))
     typed = fx.strip(F.regexp_replace("right", r":=.*$", ""))
     typed = F.when(F.col("right").rlike(r"^\w[\w.]*\s*\(.*\)\s*$"), fx.strip("right")).otherwise(typed)
     found = found.withColumn("initial_value", F.when(~F.col("right").rlike(r"^\w[\w.]*\s*\(.*\)\s*$"), initial)).withColumn("typed", typed)
     ref, ptr, arr = (F.col("typed").rlike(p) for p in (r"(?i)^REFERENCE\s+TO\b", r"(?i)^POINTER\s+TO\b", r"(?i)^ARRAY\s*\["))
     bare = fx.strip(F.regexp_replace("typed", r"(?i)^(REFERENCE\s+TO|POINTER\s+TO|ARRAY\s*\[[^\]]*\]\s*OF)\s+", ""))
     has_args = F.col("bare").rlike(r"^\w[\w.]*\s*\(.*\)$") & ~F.col("bare").rlike(r"(?i)^W?STRING\s*\(\s*\w+\s*\)$")
-    remark = F.coalesce(F.nullif(fx.strip(F.regexp_extract("line", r"^(?:[^'/]|'[^']*'|/(?!/))*//(.*)$", 1)), F.lit("")), F.nullif(fx.strip(F.regexp_extract("line", r"\(\*(.*?)\*\)", 1)), F.lit("")))
+    remark = F.coalesce(F.nullif(fx.strip(F.regexp_extract("line", r"^(?:[^'/]++|'[^']*+'|/(?!/))*+//(.*)$", 1)), F.lit("")), F.nullif(fx.strip(F.regexp_extract("line", r"\(\*(.*?)\*\)", 1)), F.lit("")))
     return found.withColumn("bare", bare).select(
         *key, F.lower("owner").alias("owner_lc"), F.col("ord").cast("int").alias("ord"), "name", F.lower("name").alias("name_lc"),
         F.when(has_args, F.regexp_extract("bare", r"^(\w[\w.]*)", 1)).otherwise(F.col("bare")).alias("data_type"), "scope", "initial_value", remark.alias("comment"), "leading_comment",

@@ -12,14 +12,16 @@ _LINK = "array<struct<_VarA: string, _VarB: string>>"
 XTI = f"Box array<struct<Name: string, EtherCAT: struct<_Type: string, _Desc: string, _ProductCode: string, Pdo: {_PDO}>>>, Mappings struct<OwnerA: struct<OwnerB: array<struct<_Name: string, Link: {_LINK}>>>>"
 #: Bits by type, and safety terminals by the beginning of their order code.
 BITS = {"BIT": 1, "BOOL": 1, "BIT2": 2, "BYTE": 8, "USINT": 8, "SINT": 8, "WORD": 16, "UINT": 16, "INT": 16, "DWORD": 32, "UDINT": 32, "DINT": 32, "LWORD": 64, "ULINT": 64, "LINT": 64}
+#: Parts of the names of signals that say how a terminal does.
+NOISE = ("sync error", "txpdo toggle", "txpdo state", "wcstate", "infodata", "toggle")
 SAFETY = ("EL1904", "EL2904", "EL6910", "EL1918", "EL2911", "EL6900", "EL1957")
 
 
 def io_map(variable: DataFrame, all_variable: DataFrame) -> DataFrame:
-    """project_id, variable, data_type, at_binding, direction, source_kind, source: bound
-    variables of lists, then of each unit with what it inherits."""
-    lists = variable.where("owner_kind = 'gvl' and at_binding is not null").select("project_id", F.col("name").alias("variable"), "data_type", "at_binding", F.lit("gvl").alias("source_kind"), F.col("owner").alias("source"))
-    units = all_variable.where("at_binding is not null").select("project_id", F.col("name").alias("variable"), "data_type", "at_binding", F.lit("pou").alias("source_kind"), F.col("pou").alias("source"))
+    """project_id, variable, data_type, at_binding, source_kind, source, comment, direction:
+    bound variables of lists, then of each unit with what it inherits."""
+    lists = variable.where("owner_kind = 'gvl' and at_binding is not null").select("project_id", F.col("name").alias("variable"), "data_type", "at_binding", F.lit("gvl").alias("source_kind"), F.col("owner").alias("source"), "comment")
+    units = all_variable.where("at_binding is not null").select("project_id", F.col("name").alias("variable"), "data_type", "at_binding", F.lit("pou").alias("source_kind"), F.col("pou").alias("source"), "comment")
     return lists.union(units).withColumn("direction", fx.direction(F.col("at_binding")))
 
 
@@ -48,16 +50,23 @@ def merged_boxes(box: DataFrame) -> DataFrame:
 
 
 def channels(box: DataFrame) -> DataFrame:
-    """project_id, box, channel, signal, data_type, bits, direction, is_primary, ord."""
-    e = box.select("project_id", "box", "sku", F.posexplode("pdos").alias("p", "pdo")).select("project_id", "box", "sku", "p", "pdo", F.posexplode("pdo.Entry").alias("e", "entry"))
+    """project_id, box, sku, channel, signal, data_type, bits, direction, is_primary, coe_index,
+    is_safety, files, ord."""
+    kept = ["project_id", "box", "sku", "is_safety", "files"]
+    e = box.select(*kept, F.posexplode("pdos").alias("p", "pdo")).select(*kept, "p", "pdo", F.posexplode("pdo.Entry").alias("e", "entry"))
     e = e.where("entry._Name is not null and entry._Name <> ''")  # fillers have no name and take no place
-    index = F.upper(F.regexp_replace("entry._Index", "^(#x|0x)", ""))
-    name = F.lower(F.concat_ws(" ", "pdo._Name", "entry._Name"))
-    way = F.when(index.startswith("6"), "Input").when(index.startswith("7"), "Output").when(name.contains("input"), "Input").when(name.contains("output"), "Output").when(F.col("pdo._InOut") == "1", "Output").otherwise("Input")
+    written = F.coalesce("entry._Index", F.lit(""))
+    index, signal = F.regexp_replace(F.lower(written), "#x|0x", ""), F.lower("entry._Name")
+    by_name = F.when(signal.contains("output"), "Output").when(signal.contains("input"), "Input")
+    way = F.when(index.startswith("6"), "Input").when(index.startswith("7"), "Output").otherwise(F.coalesce(by_name, F.when(F.col("pdo._InOut") == "1", "Output"), F.lit("Unknown")))
+    quiet = F.exists(F.array(*[F.lit(x) for x in NOISE]), lambda x: signal.contains(x)) | signal.startswith("status")
     kind = F.upper("entry.Type")
     table = F.create_map(*[F.lit(x) for pair in BITS.items() for x in pair])
     w = Window.partitionBy("project_id", "box").orderBy("p", "e")
-    return e.select("project_id", "box", "sku", F.col("pdo._Name").alias("channel"), F.col("entry._Name").alias("signal"), kind.alias("data_type"), F.coalesce("entry._BitLen", table[kind]).alias("bits"), way.alias("direction"), (~F.lower("entry._Name").rlike("status|underrange|overrange|toggle|state|error|padding|sync")).alias("is_primary"), (F.row_number().over(w) - 1).alias("ord"))
+    return e.select(
+        "project_id", "box", "sku", F.col("pdo._Name").alias("channel"), F.col("entry._Name").alias("signal"), kind.alias("data_type"), F.coalesce("entry._BitLen", table[kind]).alias("bits"), way.alias("direction"),
+        ((written != "") & ~quiet).alias("is_primary"), written.alias("coe_index"), "is_safety", "files", (F.row_number().over(w) - 1).alias("ord"),
+    )
 
 
 def links(files: DataFrame) -> DataFrame:
@@ -70,25 +79,47 @@ def links(files: DataFrame) -> DataFrame:
     return rows.groupBy("project_id", "box", "channel", "signal").agg(F.max_by("symbol", F.struct("path", "seq")).alias("symbol"))
 
 
-def unified(channel: DataFrame, link: DataFrame, mapped: DataFrame) -> DataFrame:
-    """project_id, row_kind, box, channel, signal, variable, data_type, direction: linked
-    channels with their declaration, unlinked digital spares, and bound variables that no
-    channel is linked to."""
-    decl = mapped.where("source_kind = 'gvl'").select("project_id", F.lower(F.concat_ws(".", "source", "variable")).alias("full_lc"), F.lower("variable").alias("bare_lc"), "variable", "data_type", "direction")
-    first = decl.groupBy("project_id", "bare_lc").agg(F.min(F.struct("variable", "data_type")).alias("b"))
-    joined = channel.where("is_primary").join(link, ["project_id", "box", "channel", "signal"], "left")
-    on = joined.where("symbol is not null").withColumn("full_lc", F.lower("symbol")).withColumn("bare_lc", F.lower(fx.last_segment(F.col("symbol"))))
-    found = on.join(decl.select("project_id", "full_lc", F.struct("variable", "data_type").alias("f")), ["project_id", "full_lc"], "left").join(first, ["project_id", "bare_lc"], "left")
-    linked = found.select("project_id", F.lit("linked").alias("row_kind"), "box", "channel", "signal", F.coalesce("f.variable", "b.variable", "symbol").alias("variable"), F.coalesce("f.data_type", "b.data_type", found.data_type).alias("data_type"), "direction")
-    spare = joined.where("symbol is null and bits = 1").select("project_id", F.lit("unused-channel").alias("row_kind"), "box", "channel", "signal", F.lit(None).cast("string").alias("variable"), "data_type", "direction")
+def unified(channel: DataFrame, link: DataFrame, mapped: DataFrame, variable: DataFrame, all_variable: DataFrame) -> DataFrame:
+    """project_id, row_kind, variable, data_type, address, direction, sku, box, channel, signal,
+    coe_index, comment, provenance: linked channels with the declaration of their symbol,
+    spare digital channels, and bound variables that no channel is linked to.
+
+    A symbol names a declaration of a list or a unit by its full name, or by its last part;
+    lists go before units, and of one kind the first by name does."""
+    what = ["data_type", "at_binding", "comment"]
+    of_lists = variable.where("owner_kind = 'gvl'").select("project_id", F.lit(0).alias("rank"), F.col("owner_lc").alias("of_lc"), "name_lc", "ord", *what)
+    decl = of_lists.union(all_variable.select("project_id", F.lit(1), F.col("pou_lc"), "name_lc", "ord", *what))
+    first = F.min_by(F.struct(*what), F.struct("rank", "of_lc", "ord"))
+    full = decl.groupBy("project_id", F.concat_ws(".", "of_lc", "name_lc").alias("full_lc")).agg(first.alias("f"))
+    bare = decl.groupBy("project_id", F.col("name_lc").alias("bare_lc")).agg(first.alias("b"))
+    keys = ["project_id", "box", "channel", "signal"]
+    joined = channel.join(link, keys, "left").withColumn("full_lc", F.lower("symbol")).withColumn("bare_lc", F.lower(fx.last_segment(F.col("symbol"))))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    known = lambda c: F.when(c == "Unknown", "").otherwise(c)
+    # a signal in two alternative PDOs is one
+    on = joined.where("symbol <> ''").dropDuplicates([*keys, "full_lc"])
+    found = on.join(full, ["project_id", "full_lc"], "left").join(bare, ["project_id", "bare_lc"], "left").withColumn("d", F.coalesce("f", "b"))
+    at = text(F.col("d.at_binding"))
+    linked = found.select(
+        "project_id", F.lit("linked").alias("row_kind"), F.col("symbol").alias("variable"), F.coalesce("d.data_type", found.data_type).alias("data_type"), at.alias("address"),
+        known(F.when(F.col("d").isNotNull(), fx.direction(at)).otherwise(F.col("direction"))).alias("direction"), text("sku").alias("sku"), "box", "channel", "signal", "coe_index", fx.strip(text("d.comment")).alias("comment"), F.col("files").alias("provenance"),
+    )
+    none = F.lit("")
+    digital = F.lower("signal").isin("input", "output") & F.col("data_type").isin("BIT", "BOOL")
+    spare = joined.where(F.col("symbol").isNull() | (F.col("symbol") == "")).where(F.col("is_primary") & digital).select(
+        "project_id", F.lit("unused-channel"), none, "data_type", none, known(F.col("direction")), text("sku"), "box", "channel", "signal", "coe_index", none,
+        F.concat("files", F.when(F.col("is_safety"), " (safety / FSOE-mapped)").otherwise("")),
+    )
     used = on.select("project_id", F.explode(F.array("full_lc", "bare_lc")).alias("k")).distinct()
-    rest = decl.join(used.withColumnRenamed("k", "full_lc"), ["project_id", "full_lc"], "left_anti").join(used.withColumnRenamed("k", "bare_lc"), ["project_id", "bare_lc"], "left_anti")
-    soft = rest.select("project_id", F.lit("software-only").alias("row_kind"), F.lit(None).cast("string").alias("box"), F.lit(None).cast("string").alias("channel"), F.lit(None).cast("string").alias("signal"), "variable", "data_type", "direction")
-    return linked.union(spare).union(soft)
+    soft = mapped.withColumn("symbol", F.concat_ws(".", "source", "variable"))
+    for name in ("symbol", "variable"):
+        soft = soft.join(used.select("project_id", F.col("k").alias("used_lc")), (soft["project_id"] == used["project_id"]) & (F.lower(soft[name]) == F.col("used_lc")), "left_anti")
+    rest = soft.select("project_id", F.lit("software-only"), "symbol", "data_type", F.col("at_binding"), "direction", none, none, none, none, none, fx.strip(text("comment")), F.lit("PLC declaration (no hardware link)"))
+    return linked.union(spare).union(rest)
 
 
 def fingerprint_symbols(variable: DataFrame, n: int = 10) -> DataFrame:
-    """The first n plain scalar variables of lists, by name."""
+    """The first n plain scalar variables of each project's lists, by name."""
     scalars = ("BOOL BYTE WORD DWORD LWORD SINT USINT INT UINT DINT UDINT LINT ULINT REAL LREAL STRING WSTRING TIME LTIME TIME_OF_DAY TOD DATE DATE_AND_TIME DT").split()
     plain = variable.where("owner_kind = 'gvl' and scope <> 'Constant' and not is_reference and not is_pointer and not is_array").where(F.upper(fx.base_type(F.col("data_type"))).isin(*scalars))
-    return plain.select("project_id", F.concat_ws(".", "owner", "name").alias("symbol"), "data_type").orderBy(F.lower("symbol")).limit(n if n > 0 else 10)
+    return plain.select("project_id", F.concat_ws(".", "owner", "name").alias("symbol"), "data_type").withColumn("k", F.row_number().over(Window.partitionBy("project_id").orderBy(F.lower("symbol"), "symbol"))).where(F.col("k") <= (n if n > 0 else 10)).drop("k")

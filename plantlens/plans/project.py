@@ -1,14 +1,15 @@
 """A project's relations, each a DataFrame derived lazily from the source files.
 
 Nothing is collected. Files, parsed units and variables and the closures, which many other
-relations read several times, are checkpointed when they are first asked for: they are
-written to the shared checkpoint folder, a lost executor costs a re-read, and the plans of
+relations read several times, are cut when they are first asked for: they are written to the
+shared checkpoint folder, a lost executor costs a re-read, and the plans of
 what is derived from them stay small.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,19 @@ from plantlens.sources import files as source
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir; only where that is unset (local runs), in a
-    temporary folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    """df written as Parquet below spark.checkpoint.dir and read again, so that each reader
+    takes the columns that it needs. Only a local session may have no such folder; it gets a
+    temporary one."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set; it names the folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/relation-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Project:
@@ -139,7 +147,7 @@ class Project:
 
     @cached_property
     def unified_io(self) -> DataFrame:
-        return io.unified(self.channels, io.links(self.files), self.io_map)
+        return io.unified(self.channels, io.links(self.files), self.io_map, self.variables, self.all_variables)
 
     @cached_property
     def calls(self) -> DataFrame:

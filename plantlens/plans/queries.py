@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, io
+from plantlens.functions import text as fx
+from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, declarations, io
 from plantlens.plans.project import Project
 from plantlens.sources import files as source
 from plantlens.sources import virtual as v
@@ -34,7 +35,7 @@ LONG = "bigint"
   UNION ALL SELECT 'CM_L' || k, 'FunctionBlock', CASE k WHEN 0 THEN 'CM_BASECLASS' ELSE 'CM_L' || (k - 1) END FROM range(7) t(k)
   UNION ALL SELECT 'EM_Equipment', 'FunctionBlock', NULL""")
 def pou_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Project(v.plant(spark, sf_dir)).pous.select("name", "pou_type", "extends_type")
+    return declarations.pous(v.plant(spark, sf_dir)).select("name", "pou_type", "extends_type")  # read once: nothing to cut
 
 
 @_query("""SELECT 'UM_R' || n_regionkey AS owner, 'N' || n_nationkey AS name, 'EM_N' || n_nationkey AS data_type, 'Local' AS scope FROM nation
@@ -179,15 +180,18 @@ def hw_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Project(v.io_files(spark, sf_dir)).channels.select("box", "channel", "data_type", "bits", "direction", "ord")
 
 
+_PERCENT = "CASE WHEN event_type IN ('view', 'click') THEN '%I*' WHEN event_type IN ('purchase', 'error') THEN '%Q*' ELSE '%M*' END"
+_SYMBOL = "'GVL_IO' || (event_id % 16) || '.ev' || event_id"
 _UNIFIED = f"""WITH u AS ({_USER})
-  SELECT 'linked' AS row_kind, 'Box' || user_id AS box, event_type AS channel, 'ev' || linked AS variable FROM u WHERE linked IS NOT NULL
-  UNION ALL SELECT 'unused-channel', 'Box' || user_id, event_type, NULL FROM u WHERE linked IS NULL AND least < 50
-  UNION ALL SELECT 'software-only', NULL, NULL, 'ev' || event_id FROM events WHERE event_id NOT IN (SELECT linked FROM u WHERE linked IS NOT NULL)"""
+  SELECT 'linked' AS row_kind, {_SYMBOL} AS variable, 'BOOL' AS data_type, {_PERCENT} AS address, {_AT} AS direction, 'EL1008' AS sku, 'Box' || u.user_id AS box, u.event_type AS channel, 'Input' AS signal, '#x6000' AS coe_index, '' AS comment, 'Box' || u.user_id || '.xti' AS provenance
+  FROM u JOIN (SELECT event_id, event_type FROM events) e(event_id, kind) ON linked = event_id
+  UNION ALL SELECT 'unused-channel', '', 'BOOL', '', 'Input', 'EL1008', 'Box' || user_id, event_type, 'Input', '#x6000', '', 'Box' || user_id || '.xti' FROM u WHERE linked IS NULL AND least < 50
+  UNION ALL SELECT 'software-only', {_SYMBOL}, 'BOOL', {_PERCENT}, {_AT}, '', '', '', '', '', '', 'PLC declaration (no hardware link)' FROM events WHERE event_id NOT IN (SELECT linked FROM u WHERE linked IS NOT NULL)"""
 
 
 @_query(_UNIFIED)
 def unified_io(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Project(v.io_files(spark, sf_dir)).unified_io.select("row_kind", "box", "channel", "variable")
+    return Project(v.io_files(spark, sf_dir)).unified_io.drop("project_id")
 
 
 @_query(f"SELECT row_kind, count(*) AS n FROM ({_UNIFIED}) GROUP BY 1")
@@ -277,9 +281,9 @@ def page_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.tag_counts(spark.read.parquet(f"{sf_dir}/pages.parquet"), ("p", "a", "div"))
 
 
-@_query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(\r?\n[ \t]*){4,}') THEN 'W' ELSE 'P' END AS level FROM documents""")
+@_query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '\n[ \t]*\r?\n[ \t]*\r?\n[ \t]*\r?\n') THEN 'W' ELSE 'P' END AS level FROM documents""")
 def style_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(F.col("text").rlike(r"(\r?\n[ \t]*){4,}"), "W").otherwise("P").alias("level"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(fx.blank_run(F.col("text")), "W").otherwise("P").alias("level"))
 
 
 @_query()

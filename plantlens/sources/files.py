@@ -50,7 +50,7 @@ def read_project(spark: SparkSession, folder: str, project_id: str | None = None
         read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     except Exception as error:  # Spark's AnalysisException where the path is missing
         raise MissingFolder(folder) from error
-    path = F.substring_index(F.regexp_replace(F.input_file_name(), "^file:/+", "/"), folder.split(":")[-1] + "/", -1)
+    path = F.substring_index(F.regexp_replace(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), "^file:/+", "/"), folder.split(":")[-1] + "/", -1)
     files = read.select(F.lit(project_id or folder.rsplit("/", 1)[-1]).alias("project_id"), path.alias("path"), F.col("value").alias("content"))
     return files.where(~in_excluded_folder(F.col("path"))).withColumn("ext", extension(F.col("path"))).select("project_id", "path", "ext", "content")
 
