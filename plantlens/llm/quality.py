@@ -218,20 +218,27 @@ def picker(inputs: DataFrame, sample: set[int | None]) -> Pick:
 
         def surest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             models, known, used = shared.value
+            best: dict[tuple[int, int], pa.Table] = {}  # a task's surest so far: (raw, key, content, meta)
             for batch in batches:
                 ids, key = batch.column(0), batch.column(1).to_numpy()
                 free = ~np.isin(ids.fill_null(0).to_numpy(), known) | ids.is_null().to_numpy(zero_copy_only=False)
                 free &= ~np.isin(key, used)
-                free[np.setdiff1d(np.arange(len(key)), np.unique(key, return_index=True)[1])] = False
                 for v in (0, 1):
                     raw = models[v].raw_of(*_sets(batch.column(2 + v)))
                     for label, n, side in ((0, bad, raw), (1, good, -raw)):
                         at = np.flatnonzero(free & (side < 0))
-                        at = at[np.lexsort((key[at], side[at]))[:n]]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(at), v, np.int32)), pa.array(np.full(len(at), label, np.int32)), pa.array(side[at]), *[batch.column(k).take(pa.array(at)) for k in (1, 2, 3)]],
-                            [x.split()[0] for x in schema.split(", ")],
-                        )
+                        at = at[np.lexsort((key[at], side[at]))]
+                        at = at[np.sort(np.unique(key[at], return_index=True)[1])][:n]
+                        more = pa.table([pa.array(side[at]), *[batch.column(k).take(pa.array(at)) for k in (1, 2, 3)]], names=["raw", "key", "content", "meta"])
+                        if (v, label) in best:
+                            more = pa.concat_tables([best[v, label], more])
+                            raws, keys = more.column("raw").to_numpy(), more.column("key").to_numpy()
+                            order = np.lexsort((keys, raws))
+                            more = more.take(pa.array(order[np.sort(np.unique(keys[order], return_index=True)[1])][:n]))
+                        best[v, label] = more
+            for (v, label), rows in best.items():
+                one = rows.add_column(0, "view", pa.array(np.full(len(rows), v, np.int32))).add_column(1, "label", pa.array(np.full(len(rows), label, np.int32)))
+                yield from one.combine_chunks().to_batches()
 
         # by key first, so that equal inputs are one and the last choice is among few rows of each partition
         each = inputs.mapInArrow(surest, schema).groupBy("view", "label", "key").agg(F.min("raw").alias("raw"), F.first("content").alias("content"), F.first("meta").alias("meta"))
