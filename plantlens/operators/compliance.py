@@ -6,7 +6,7 @@ row, so that all module rules are one projection and one unpivot, without a join
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as fx
@@ -95,7 +95,7 @@ def evaluate(feature: DataFrame) -> DataFrame:
     return feature.select("project_id", F.col("name").alias("module"), F.inline(rows))
 
 
-def project_rules(pou: DataFrame, gvl: DataFrame, dut: DataFrame, variable: DataFrame, method: DataFrame, unresolved: DataFrame, machine: DataFrame | None = None) -> DataFrame:
+def project_rules(pou: DataFrame, gvl: DataFrame, dut: DataFrame, variable: DataFrame, method: DataFrame, unresolved: DataFrame) -> DataFrame:
     """project_id, standard, rule_id, level of the rules on whole projects."""
     names = F.col("name_lc")
     layer = fx.layer(F.col("name"))
@@ -142,41 +142,3 @@ def guid_uniqueness(pou: DataFrame) -> DataFrame:
     """project_id, guid, n_units of the GUIDs that several units hold."""
     each = pou.select("project_id", "name_lc", F.explode(F.regexp_extract_all(F.lower(F.concat_ws("\n", "declaration", "implementation")), F.lit(r"\{([0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})\}"), F.lit(1))).alias("guid")).distinct()
     return each.groupBy("project_id", "guid").agg(F.count(F.lit(1)).alias("n_units")).where("n_units > 1")
-
-
-def override_signatures(method: DataFrame, variable_counts: DataFrame, pou: DataFrame) -> DataFrame:
-    """project_id, pou, method of overrides whose parameter count or return type differs from
-    the direct parent's. variable_counts: project_id, pou_lc, method_lc, n_params."""
-    m = method.join(variable_counts, ["project_id", "pou_lc", "method_lc"], "left").fillna(0, ["n_params"])
-    parent = pou.select("project_id", F.col("name_lc").alias("pou_lc"), F.lower("extends_type").alias("parent_lc")).where("parent_lc is not null")
-    base = m.select("project_id", F.col("pou_lc").alias("parent_lc"), "method_lc", F.col("n_params").alias("base_n"), F.col("return_type").alias("base_type"))
-    return m.join(parent, ["project_id", "pou_lc"]).join(base, ["project_id", "parent_lc", "method_lc"]).where((F.col("n_params") != F.col("base_n")) | ~F.lower("return_type").eqNullSafe(F.lower("base_type"))).select("project_id", "pou", "method")
-
-
-def unrealised(pou: DataFrame, method: DataFrame) -> DataFrame:
-    """project_id, pou, method: abstract methods of the direct parent, and methods of
-    implemented interfaces, that a unit doesn't have."""
-    edge = pou.select("project_id", F.col("name").alias("pou"), F.col("name_lc").alias("pou_lc"), F.explode(F.concat(F.array(F.lower("extends_type")), F.transform("implements", lambda x: F.lower(x)))).alias("of_lc"), "is_abstract").where("of_lc is not null and not is_abstract")
-    kinds = pou.select("project_id", F.col("name_lc").alias("of_lc"), (F.col("pou_type") == "Interface").alias("is_interface"))
-    wanted = edge.join(kinds, ["project_id", "of_lc"]).join(method.select("project_id", F.col("pou_lc").alias("of_lc"), "method", "method_lc", F.col("is_abstract").alias("abstract_method")), ["project_id", "of_lc"]).where("is_interface or abstract_method")
-    return wanted.join(method.select("project_id", "pou_lc", "method_lc"), ["project_id", "pou_lc", "method_lc"], "left_anti").select("project_id", "pou", "method")
-
-
-def abstract_instances(pou: DataFrame, variable: DataFrame) -> DataFrame:
-    """project_id, owner, variable of variables typed by an abstract unit."""
-    abstract = pou.where("is_abstract").select("project_id", F.col("name_lc").alias("type_lc"))
-    return variable.withColumn("type_lc", F.lower("data_type")).where("not is_reference and not is_pointer").join(abstract, ["project_id", "type_lc"], "left_semi").select("project_id", "owner", F.col("name").alias("variable"))
-
-
-def diamonds(pou: DataFrame, chain: DataFrame) -> DataFrame:
-    """project_id, pou, first, second: pairs of a unit's interfaces that share an ancestor."""
-    own = pou.select("project_id", F.col("name").alias("pou"), F.posexplode("implements").alias("pos", "iface"))
-    up = chain.groupBy("project_id", F.col("pou_lc").alias("iface_lc")).agg(F.collect_set("ancestor_lc").alias("up"))
-    with_up = own.withColumn("iface_lc", F.lower("iface")).join(up, ["project_id", "iface_lc"], "left").withColumn("all", F.concat(F.array("iface_lc"), F.coalesce("up", F.array().cast("array<string>"))))
-    pairs = with_up.alias("a").join(with_up.alias("b"), ["project_id", "pou"]).where("a.pos < b.pos and arrays_overlap(a.all, b.all)")
-    return pairs.select("project_id", "pou", F.col("a.iface").alias("first"), F.col("b.iface").alias("second"))
-
-
-def largest(state: DataFrame) -> DataFrame:
-    w = Window.partitionBy("project_id", "pou").orderBy(F.desc("n"), "selector")
-    return state.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, declarations, io, packml, statemachines
+from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, contracts, declarations, io, packml, statemachines
 from plantlens.sources import files as source
 
 
@@ -158,9 +158,23 @@ class Project:
         return artifacts.libraries(self.files)
 
     @cached_property
-    def rules(self) -> DataFrame:
+    def unit_rules(self) -> DataFrame:
+        """Rules on what a unit itself holds."""
         return compliance.evaluate(compliance.features(self.pous, self.variables, self.methods, self.properties, self.chains))
 
+    @cached_property
+    def rules(self) -> DataFrame:
+        """All rules on units, those that look at other units too."""
+        return self.unit_rules.union(contracts.evaluate(self.pous, self.variables, self.methods, self.chains, self.files))
+
+    @cached_property
+    def project_rules(self) -> DataFrame:
+        """Rules on whole projects. Machines count as declared where an instance of the tree has one."""
+        own = compliance.project_rules(self.pous, self.gvls, self.duts, self.variables, self.methods, closure.unresolved_types(self.chains))
+        placed = self.tree.select("project_id", F.col("type_lc").alias("pou_lc")).distinct()
+        formal = self.all_variables.where(F.lower("data_type").startswith(statemachines.WRAPPER)).join(placed, ["project_id", "pou_lc"], "left_semi")
+        return own.union(contracts.project_rules(self.pous, self.files, formal, self.selectors.where("kind = 'direct'")))
+
     @cached_property
     def packml(self) -> DataFrame:
         return packml.score(self.methods, self.bodies, self.states, self.transitions)

@@ -247,21 +247,20 @@ _RULES = f"""WITH f AS ({_FEATURE})
 def compliance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules that the SQL states; compliance_rules_all has all of them."""
     checked = ("ISA-001", "ISA-002", "OOP-003", "ISA-006", "IEC-005", "GAMP-001", "GAMP-003", "oop.extends_cycle", "OOP-008")
-    return Project(v.plant(spark, sf_dir)).rules.where(F.col("rule_id").isin(*checked)).select("module", "rule_id", "level")
+    return Project(v.plant(spark, sf_dir)).unit_rules.where(F.col("rule_id").isin(*checked)).select("module", "rule_id", "level")
 
 
 @_query(f"""WITH r AS ({_RULES}), s AS (SELECT module, count(*) FILTER (level = 'P') AS n_pass, count(*) FILTER (level = 'W') AS n_warning, count(*) FILTER (level = 'F') AS n_fail FROM r WHERE rule_id IN ('ISA-001', 'ISA-002', 'ISA-006') GROUP BY module)
   SELECT module, n_pass, n_warning, n_fail, round_even(100 * (n_pass + 0.5 * n_warning) / (n_pass + n_warning + n_fail), 0)::INT AS percent, CASE WHEN n_fail > 0 THEN 'Fail' WHEN (n_pass + 0.5 * n_warning) / (n_pass + n_warning + n_fail) >= 0.9 THEN 'Pass' ELSE 'Warning' END AS level FROM s""")
 def compliance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of three ISA-88 rules alone, as the SQL has them; compliance_scores_all has all rules."""
-    rule = Project(v.plant(spark, sf_dir)).rules.where(F.col("rule_id").isin("ISA-001", "ISA-002", "ISA-006"))
+    rule = Project(v.plant(spark, sf_dir)).unit_rules.where(F.col("rule_id").isin("ISA-001", "ISA-002", "ISA-006"))
     return compliance.scores(rule, "module").select("module", "n_pass", "n_warning", "n_fail", "percent", "level")
 
 
-@_query("""SELECT * FROM (VALUES ('IEC-P01', 'F'), ('IEC-P02', 'W'), ('IEC-P03', 'P'), ('IEC-P04', 'W'), ('ISA-P01', 'P'), ('ISA-P02', 'P'), ('ISA-P03', 'P'), ('ISA-P04', 'P'), ('ISA-P05', 'P'), ('GAMP-P01', 'F'), ('GAMP-P02', 'W'), ('GAMP-P03', 'W')) t(rule_id, level)""")
+@_query("""SELECT * FROM (VALUES ('IEC-P01', 'F'), ('IEC-P02', 'W'), ('IEC-P03', 'P'), ('IEC-P04', 'W'), ('ISA-P01', 'P'), ('ISA-P02', 'P'), ('ISA-P03', 'P'), ('ISA-P04', 'P'), ('ISA-P05', 'P'), ('GAMP-P01', 'F'), ('GAMP-P02', 'W'), ('GAMP-P03', 'W'), ('GAMP-P04', 'N'), ('xml.guid_uniqueness', 'P')) t(rule_id, level)""")
 def project_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Project(v.plant(spark, sf_dir))
-    return compliance.project_rules(p.pous, p.gvls, p.duts, p.variables, p.methods, closure.unresolved_types(p.chains)).select("rule_id", "level")
+    return Project(v.plant(spark, sf_dir)).project_rules.select("rule_id", "level")
 
 
 @_query(f"""WITH a AS ({_ALARM}), t AS ({_TREE}) SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + 8 AS n_pous, 1::BIGINT AS n_gvls, (SELECT count(*) FROM nation WHERE n_nationkey % 5 <> 1) AS n_methods,
