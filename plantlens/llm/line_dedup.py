@@ -72,11 +72,13 @@ def signatures(line: np.ndarray, hashes: np.ndarray, n: int, slots: int) -> np.n
     out = np.full((n, slots), EMPTY, np.uint64)
     slot = (hashes % tm.U(slots)).astype(np.int64)
     np.minimum.at(out.reshape(-1), line * slots + slot, hashes)
-    for _ in range(slots):
-        empty = out == EMPTY
-        if not empty.any():
-            break
-        out[empty] = np.roll(out, -1, axis=1)[empty]
+    gaps = np.flatnonzero((out == EMPTY).any(axis=1))
+    if len(gaps):
+        part = out[gaps]
+        at = np.where(part != EMPTY, np.arange(slots), 2 * slots)
+        at = np.concatenate([at, at + slots], axis=1)[:, ::-1]
+        near = np.minimum.accumulate(at, axis=1)[:, ::-1][:, :slots]  # the next full slot, beyond the end: round
+        out[gaps] = np.take_along_axis(part, near % slots, axis=1)
     return out
 
 
