@@ -164,8 +164,8 @@ class Project:
 
     @cached_property
     def rules(self) -> DataFrame:
-        """All rules on units, those that look at other units too."""
-        return self.unit_rules.union(contracts.evaluate(self.pous, self.variables, self.methods, self.chains, self.files))
+        """All rules on units, those that look at other units and PackML's too."""
+        return self.unit_rules.union(contracts.evaluate(self.pous, self.variables, self.methods, self.chains, self.files)).union(packml.rules(self.packml))
 
     @cached_property
     def project_rules(self) -> DataFrame:
@@ -177,7 +177,17 @@ class Project:
 
     @cached_property
     def packml(self) -> DataFrame:
-        return packml.score(self.methods, self.bodies, self.states, self.transitions)
+        """The PackML score of every unit."""
+        return packml.score(self.packml_features)
+
+    @cached_property
+    def packml_features(self) -> DataFrame:
+        return packml.features(self.pous, self.methods, self.bodies, self.variables, self.states, self.transitions)
+
+    @cached_property
+    def packml_entries(self) -> DataFrame:
+        """What of the standard's states, transitions, commands, modes and error paths is there."""
+        return packml.entries(self.packml_features)
 
     def module_info(self, name: str) -> DataFrame:
         """project_id, name, pou_type, extends_type, chain, n_variables, n_methods of a unit; no

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as fx
-from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, declarations, io
+from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, declarations, io, packml
 from plantlens.plans.project import Project
 from plantlens.sources import files as source
 from plantlens.sources import virtual as v
@@ -300,6 +300,32 @@ def call_graph_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return callgraph.mermaid(_calls(spark, sf_dir))
 
 
-@_query()
+_PACKML = """st(i, s) AS (VALUES (0, 'Idle'), (1, 'Starting'), (2, 'Execute'), (3, 'Completing'), (4, 'Complete'), (5, 'Holding'), (6, 'Held'), (7, 'Unholding'), (8, 'Stopping'), (9, 'Stopped'), (10, 'Aborting'), (11, 'Aborted'), (12, 'Clearing'), (13, 'Resetting')),
+  tr(j, f, t, auto) AS (VALUES (0, 'Idle', 'Starting', false), (1, 'Starting', 'Execute', true), (2, 'Execute', 'Completing', false), (3, 'Completing', 'Complete', true), (4, 'Complete', 'Resetting', false), (5, 'Execute', 'Holding', false), (6, 'Holding', 'Held', true), (7, 'Held', 'Unholding', false), (8, 'Unholding', 'Execute', true),
+    (9, 'Execute', 'Stopping', false), (10, 'Stopping', 'Stopped', true), (11, 'Stopped', 'Resetting', false), (12, 'Resetting', 'Idle', true), (13, 'Any', 'Aborting', false), (14, 'Aborting', 'Aborted', true), (15, 'Aborted', 'Clearing', false), (16, 'Clearing', 'Stopped', true)),
+  cm(c, name, must) AS (VALUES (0, 'CmdStart', true), (1, 'CmdStop', true), (2, 'CmdReset', true), (3, 'CmdHold', false), (4, 'CmdUnhold', false), (5, 'CmdAbort', true), (6, 'CmdClear', true), (7, 'CmdComplete', false)),
+  md(m, name) AS (VALUES (0, 'Production'), (1, 'Manual'), (2, 'Maintenance')),
+  u AS (SELECT p_partkey AS k FROM part),
+  shown AS (SELECT a.j, b.j AS by_j FROM tr a JOIN tr b ON contains(lower(b.t), lower(a.t)) AND (a.f = 'Any' OR contains(lower(CASE b.f WHEN 'Any' THEN 'Execute' ELSE b.f END), lower(a.f)))),
+  e AS (SELECT k, 'states' AS section, s AS item, s IN ('Idle', 'Execute', 'Stopped', 'Resetting') AS required, (k + i) % 3 = 0 AS present, (k + i) % 3 = 0 AND k % 2 = 0 AS calls_parent FROM u, st
+    UNION ALL SELECT k, 'transitions', f || ' > ' || t, true, (auto AND (k + coalesce(i, 0)) % 3 = 0) OR (f = 'Any' AND (k + 5) % 3 = 0) OR EXISTS (SELECT 1 FROM shown x WHERE x.j = tr.j AND (u.k + x.by_j) % 4 = 0), NULL FROM u, tr LEFT JOIN st ON s = f
+    UNION ALL SELECT k, 'commands', name, must, (k + c) % 3 = 0 OR (k + c) % 4 = 0, NULL FROM u, cm
+    UNION ALL SELECT k, 'modes', name, true, (k + m) % 2 = 0, NULL FROM u, md
+    UNION ALL SELECT k, 'errors', 'Aborting state', true, (k + 10) % 3 = 0, NULL FROM u
+    UNION ALL SELECT k, 'errors', 'Alarms lead to abort', true, k % 5 = 0 AND ((k + 13) % 4 = 0 OR (k + 14) % 4 = 0 OR (k + 5) % 3 = 0), NULL FROM u
+    UNION ALL SELECT k, 'errors', 'Way back from an error', true, (k + 15) % 4 = 0 OR (k + 16) % 4 = 0 OR (k + 6) % 3 = 0, NULL FROM u)"""
+
+
+@_query(f"""WITH {_PACKML}, n AS (SELECT k, count(*) FILTER (section = 'states' AND present) AS states, count(*) FILTER (section = 'transitions' AND present) AS transitions, count(*) FILTER (section = 'commands' AND present) AS commands, count(*) FILTER (section = 'modes' AND present) AS modes, count(*) FILTER (section = 'errors' AND present) AS errors FROM e GROUP BY k),
+  p AS (SELECT *, round_even(least(100.0::DOUBLE, states / 14 * 20 + transitions / 17 * 20 + commands / 5 * 20 + modes / 3 * 20 + errors / 3 * 20), 0)::INT AS percent FROM n)
+  SELECT 'FB_M' || k AS pou, true AS applies, states, transitions, commands, modes, errors, percent, CASE WHEN percent >= 80 THEN 'Conformant' WHEN percent >= 50 THEN 'Partial' ELSE 'Non-conformant' END AS status FROM p
+  UNION ALL SELECT 'Plain', false, 0, 0, 0, 0, 0, 0, 'Not Applicable'""")
 def packml_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Project(v.machines(spark, sf_dir)).packml
+    plain = v._fixed(spark, "Plain", "FUNCTION_BLOCK Plain\nVAR\n\tCmdStart : BOOL;\nEND_VAR\n", "eMode := E_ModuleModes.Manual;")
+    n = [F.col(c).cast(LONG).alias(c) for c in packml.SECTIONS]
+    return Project(v.packaged(spark, sf_dir).union(plain)).packml.select("pou", "applies", *n, "percent", "status")
+
+
+@_query(f"""WITH {_PACKML} SELECT 'FB_M' || k AS pou, section, item, required, present, calls_parent FROM e""")
+def packml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Project(v.packaged(spark, sf_dir)).packml_entries.select("pou", "section", "item", "required", "present", "calls_parent")

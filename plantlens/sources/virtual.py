@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plantlens.operators import packml
+
 PROJECT = "virtual"
 TIERS = {"AUTOMOBILE": "Critical", "BUILDING": "Process", "FURNITURE": "Advisory", "HOUSEHOLD": "Information"}
 
@@ -134,6 +136,22 @@ def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.union(t.select(*_file(F.lit("E_OrderStatus"), "TcDUT", F.concat(F.lit('<TcPlcObject><DUT Name="E_OrderStatus">'), _cdata("Declaration", F.concat(F.lit("TYPE E_OrderStatus :\n(\n"), members, F.lit("\n) INT;\nEND_TYPE\n"))), F.lit("</DUT></TcPlcObject>")))))
 
 
+def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as units with state handlers, commands, modes and state changes of PackML, each
+    chosen by the part's key and its own place in the standard's tables."""
+    k = F.col("p_partkey")
+    here = lambda i, n: (k + i) % n == 0
+    some = lambda rows: F.concat(*[F.when(cond, F.lit(text)).otherwise("") for cond, text in rows])
+    handlers = F.concat(*[F.when(here(i, 3), method(f"_{s}", F.when(k % 2 == 0, "SUPER^.Run();").otherwise("nRun := 1;"))).otherwise("") for i, s in enumerate(packml.STATES)])
+    declared = some([(here(i, 4), f"\t{c} : BOOL;\n") for i, (c, _) in enumerate(packml.COMMANDS)])
+    commands = some([(here(i, 3), f"IF HMIPanel.{c} THEN nLast := {i}; END_IF\n") for i, (c, _) in enumerate(packml.COMMANDS)])
+    modes = some([(here(i, 2), f"eMode := E_ModuleModes.{m};\n") for i, m in enumerate(packml.MODES)])
+    moves = some([(here(i, 4), f"{'Execute' if a == 'Any' else a}:\n\t" + (f"_eState := E_State.{b};\n" if i % 2 else f"fbStates.GotoState(E_State.{b});\n")) for i, (a, b, _) in enumerate(packml.TRANSITIONS)])
+    name = F.concat(F.lit("FB_M"), k)
+    body = F.concat(commands, modes, some([(k % 5 == 0, "bAny := _AlarmsPresentProcess;\n")]), F.lit("CASE _eState OF\n"), moves, F.lit("END_CASE\n"))
+    return _t(spark, sf_dir, "part").select(*pou_file(name, F.concat(F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR_INPUT\n"), declared, F.lit("END_VAR\n")), body, handlers))
+
+
 def io_files(spark: SparkSession, sf_dir: str, lists: int = 16) -> DataFrame:
     """Events as bound variables of `lists` lists, and users as hardware boxes with links."""
     e = _t(spark, sf_dir, "events").withColumn("g", F.col("event_id") % lists)

@@ -19,7 +19,7 @@ def rows(df):
     return sorted(map(str, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
 
 
-@pytest.mark.parametrize("name", ["pou_inventory", "variable_values_and_comments", "all_variables_overlay", "object_tree", "alarm_list", "sm_states", "sm_transitions", "unified_io", "call_edges", "library_dependencies", "compliance_scores"])
+@pytest.mark.parametrize("name", ["pou_inventory", "variable_values_and_comments", "all_variables_overlay", "object_tree", "alarm_list", "sm_states", "sm_transitions", "unified_io", "call_edges", "library_dependencies", "compliance_scores", "packml_score", "packml_entries"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
@@ -46,7 +46,7 @@ def all_levels():
             "IEC-001": "P", "IEC-002": "P" if good else "F" if local else "N", "IEC-003": pick(method, "N"), "IEC-004": "P", "IEC-005": pick(has_in), "OOP-001": "W", "OOP-002": "W", "OOP-003": pick(parent), "OOP-004": "W", "OOP-005": "W" if local else "N", "OOP-006": "W", "OOP-007": "W", "OOP-008": pick(method, "N"),
             "ISA-001": "P", "ISA-002": "N" if cm else pick(method, "F"), "ISA-003": "W" if cm else "N", "ISA-004": "N" if cm else "P", "ISA-005": "N" if cm else "W", "ISA-006": pick(parent and "BASECLASS" in parent), "GAMP-001": pick(has_in), "GAMP-002": "W", "GAMP-003": pick(method), "GAMP-004": "P", "GAMP-005": pick(parent), "GAMP-006": "F", "GAMP-007": "P",
             "oop.extends_cycle": pick(parent, "N"), "oop.override_super_call": pick(not code), "oop.property_accessor_pairing": "P", "oop.method_count": "P", "naming.isa88_prefix_casing": "P", "naming.member_casing": "P", "naming.reserved_words": "P", "structure.property_var_blocks": "P", "style.indentation_tabs": "P", "style.excessive_blank_lines": "P", "xml.guid_format": "P",
-            "oop.override_signature": pick(parent and "BASECLASS" not in parent, "N"), "oop.abstract_contract": "N", "oop.abstract_instantiation": "P", "oop.diamond_inheritance": "N", "oop.composition_depth": "P", "oop.interface_contract": "N", "structure.file_ending": "W",
+            "oop.override_signature": pick(parent and "BASECLASS" not in parent, "N"), "oop.abstract_contract": "N", "oop.abstract_instantiation": "P", "oop.diamond_inheritance": "N", "oop.composition_depth": "P", "oop.interface_contract": "N", "structure.file_ending": "W", "PKM-000": "N",
         }
         out |= {(name, rule): x for rule, x in level.items()}
     return out
@@ -56,8 +56,8 @@ def test_all_rules_and_scores(spark):
     want = all_levels()
     got = QUERIES["compliance_rules_all"](spark, SF).collect()
     assert len(got) == len(want) and {(r.module, r.rule_id): r.level for r in got} == want
-    assert len({r.rule_id for r in got}) == 44
-    of = {"IEC": "IEC 61131-3", "OOP": "OOP", "ISA": "ISA-88", "GAMP": "GAMP 5"}
+    assert len({r.rule_id for r in got}) == 45
+    of = {"IEC": "IEC 61131-3", "OOP": "OOP", "ISA": "ISA-88", "GAMP": "GAMP 5", "PKM": "PackML"}
     count = Counter()
     for (module, rule), x in want.items():
         count[module, of.get(rule.split("-")[0], "Architecture"), x] += 1
@@ -66,7 +66,7 @@ def test_all_rules_and_scores(spark):
         p, w, f = (count[module, standard, x] for x in "PWF")
         score = (p + 0.5 * w) / (p + w + f) if p + w + f else 1.0
         scored[module, standard] = (p, w, f, round(score * 100), "N/A" if not p + w + f else "Fail" if f else "Pass" if score >= 0.9 else "Warning" if score >= 0.6 else "Fail")
-    assert len(scored) == 5 * len({m for m, _ in want})
+    assert len(scored) == 6 * len({m for m, _ in want})
     assert {(r.module, r.standard): (r.n_pass, r.n_warning, r.n_fail, r.percent, r.level) for r in QUERIES["compliance_scores_all"](spark, SF).collect()} == scored
 
 
