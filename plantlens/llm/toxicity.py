@@ -87,12 +87,18 @@ class Machine:
 
     def raw(self, rows: np.ndarray, inputs: np.ndarray, n: int) -> np.ndarray:
         """bias + sum of weights + sum over pairs of the factors' products, for n rows."""
-        out = self.bias + np.bincount(rows, self.weights[inputs], n)
-        for f in range(self.factors.shape[1]):
-            v = self.factors[inputs, f]
-            out += 0.5 * (np.bincount(rows, v, n) ** 2 - np.bincount(rows, v * v, n))
+        out, _ = self.sums(rows, inputs, n)
         return out
 
+    def sums(self, rows: np.ndarray, inputs: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """raw() and the sum of each factor over the rows' inputs. A pair's products are half of
+        the squared sum less the squares, which are one value for each input."""
+        out = self.bias + np.bincount(rows, (self.weights - 0.5 * (self.factors**2).sum(axis=1))[inputs], n)
+        each = [np.bincount(rows, np.ascontiguousarray(v)[inputs], n) for v in self.factors.T]
+        for x in each:
+            out += 0.5 * x * x
+        return out, each
+
 
 def fit(buckets: np.ndarray, places: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 600, rate: float = 1.0, decay: tuple[float, float] = (1e-6, 1e-3)) -> Machine:
     """Logistic loss by full-batch Adagrad over the rows' inputs (places from 1). Factors
@@ -111,14 +117,13 @@ def fit(buckets: np.ndarray, places: np.ndarray, sets: list[np.ndarray], labels:
     inputs = np.concatenate(sets)
     seen = [1e-8, np.full(size, 1e-8), np.full(m.factors.shape, 1e-8)]
     for _ in range(epochs):
-        p = 1 / (1 + np.exp(-np.clip(m.raw(rows, inputs, n), -30, 30)))
-        err = (p - labels) / n
-        g = err[rows]
-        gw = np.bincount(inputs, g, size) + decay[0] * m.weights
-        gv = decay[1] * m.factors
-        for f in range(m.factors.shape[1]):
-            v = m.factors[inputs, f]
-            gv[:, f] += np.bincount(inputs, g * (np.bincount(rows, v, n)[rows] - v), size)
+        raw, each = m.sums(rows, inputs, n)
+        err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels) / n
+        g = np.bincount(inputs, err[rows], size)
+        gw = g + decay[0] * m.weights
+        gv = decay[1] * m.factors - g[:, None] * m.factors
+        for f, x in enumerate(each):
+            gv[:, f] += np.bincount(inputs, (err * x)[rows], size)
         gb = err.sum()
         for k, grad in enumerate((gb, gw, gv)):
             seen[k] = seen[k] + grad * grad
@@ -183,10 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine
     if len(pool) and 0 < p < n:
         held = np.zeros((n, len(pool)), np.float32)
         for i, s in enumerate(sets):
-            held[i, np.searchsorted(pool, np.intersect1d(s, pool))] = 1
+            held[i, np.searchsorted(pool, np.intersect1d(s, pool, assume_unique=True))] = 1
         chosen = np.union1d(chosen, pool[pair_terms(held, y)])
     chosen = chosen.astype(np.int32)
-    held = [np.searchsorted(chosen, np.intersect1d(s, chosen)) for s in sets]
+    held = [np.searchsorted(chosen, np.intersect1d(s, chosen, assume_unique=True)) for s in sets]
     # the rows that hold a bucket, as a sum of their hashes: equal sums share a place
     sums = np.zeros(len(chosen), np.uint64)
     for i, s in enumerate(held):
@@ -198,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine
 def _held_terms(found: DataFrame, buckets: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [np.intersect1d(x.values.to_numpy(), buckets) for x in batch.column(1)]
+            kept = [np.intersect1d(x.values.to_numpy(), buckets, assume_unique=True) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.list_(pa.int32()))], ["y", "terms"])
 
     return found.mapInArrow(run, "y int, terms array<int>")
