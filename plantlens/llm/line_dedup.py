@@ -245,7 +245,7 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
     chance = scratch.write(verified(setjoin.random_stars(mixed), lines, width, share), "chance")
     labels = scratch.write(setjoin.merged(scratch, labels, chance, "chance_"), "labels1")
-    mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size"), labels), "mixed1")
+    mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size", "weight"), labels), "mixed1")
     held = lines.select("key", F.least("n", F.lit(setjoin.SIZE_CAP)).cast("int").alias("size"), "mini", F.col("line").alias("value"))
     links = setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.drop("size").join(held, "key")), *share, similar_places(width, share))
     links = scratch.write(links.select("a", "b"), "links")

@@ -186,14 +186,15 @@ def merged(scratch: Scratch, labels: DataFrame, links: DataFrame, name: str) ->
 def unresolved(found: DataFrame, labels: DataFrame) -> DataFrame:
     """token, key, size, component, weight of the lists whose members aren't all in one
     component. Lists of the same members are one, under the least of their tokens; weight
-    is their number."""
-    labelled = found.join(labels, "key", "left").select("token", "key", "size", F.coalesce("component", "key").alias("component"))
+    is their number, or where found has weights already, their sum."""
+    weight = F.col("weight") if "weight" in found.columns else F.lit(1)
+    labelled = found.select("token", "key", "size", weight.cast("long").alias("weight")).join(labels, "key", "left").select("token", "key", "size", "weight", F.coalesce("component", "key").alias("component"))
     mixed = labelled.groupBy("token").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("weight").alias("each"),
         F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
     ).where("lo <> hi")
-    mixed = mixed.groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.count(F.lit(1)).alias("weight"))
-    return labelled.join(mixed.select("token", "weight"), "token")
+    mixed = mixed.groupBy("n", "x", "y").agg(F.min("token").alias("token"), F.sum("each").alias("weight"))
+    return labelled.drop("weight").join(mixed.select("token", "weight"), "token")
 
 
 def random_stars(members: DataFrame) -> DataFrame:

@@ -78,6 +78,22 @@ def test_ngram_join_of_dense_and_split_groups(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows)
 
 
+def test_ngram_join_counts_every_list_that_two_sets_share(spark):
+    """Pairs with 86 of 114 shingles in common, all their shared short lists of the same three
+    sets: a text with their passage stands first in these lists, and six more make all other
+    words' lists long."""
+    rows = []
+    for g in range(40):
+        w = lambda name, n: [f"{name}{g}x{k}" for k in range(n)]  # noqa: B023, E731
+        passage, common = w("passage", 16), w("common", 78)
+        rows += [(20 * g, passage + w("one", 10) + common), (20 * g + 1, passage + w("two", 10) + common), (20 * g + 2, passage + w("other", 60))]
+        rows += [(20 * g + 3 + k, w(f"own{k}of", 200) + common + w("own", 1) + w("other", 60)) for k in range(6)]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    got = ngram_join.components_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == components(rows)
+    assert sum(r.component_id != r.doc_id for r in got) == 40
+
+
 def test_line_dedup_keeps_one_of_each(docs):
     got = {(r.doc_id, r.place): (r.rep_doc_id, r.rep_place, r.keep) for r in line_dedup.decide(docs).collect()}
     assert got[1, 0] == (1, 0, True) and got[2, 0] == (1, 0, False) and got[3, 0] == (1, 0, False)
