@@ -53,7 +53,7 @@ def test_levels(project):
     per_unit = {}
     for p, m, _ in got:
         per_unit[p, m] = per_unit.get((p, m), 0) + 1
-    assert set(per_unit.values()) == {44}
+    assert set(per_unit.values()) == {45}
 
 
 def test_project_rules(spark):
