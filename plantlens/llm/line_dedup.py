@@ -8,11 +8,14 @@ bucket are candidates; the exact Jaccard similarity of their shingle sets decide
 find over the links, distributed, gives the components, and each component's first line (by
 doc_id, then place) stays.
 
-Equal lines (by their lower-cased bytes) stand as one throughout. A bucket gives links to
+Equal lines (by their lower-cased bytes) stand as one throughout: one pass over the texts
+writes each line's key, and the line where a task meets it first; signatures are made of
+distinct lines alone. A bucket gives links to
 its smallest member, then to one chosen by hash, and every pair that is still in two
 components afterwards is examined in blocks of bounded size: by set sizes, then by parity
-sketches, whose distance never exceeds the sets' difference, then exactly. So no candidate
-pair between components goes unexamined.
+sketches, whose distance never exceeds the sets' difference, then exactly (inside the block,
+or where a line is longer than LONG bytes by a join of the pair with its lines, so that a
+group's size is bounded). So no candidate pair between components goes unexamined.
 
 Lines without a word (empty or white space) are layout: they stay, and link with nothing.
 A line shorter than a shingle is its own single shingle. Null texts stay null, empty ones
@@ -39,6 +42,8 @@ SHARE = (75, 100)
 EMPTY = tm.U(0xFFFFFFFFFFFFFFFF)
 CELLS = 1024  # of a line's parity sketch
 MANY = 1 << 12  # lines looked at together
+SEEN = 1 << 18  # lines that a task remembers
+LONG, PART = 1 << 10, 20_000  # bytes of a line that is verified inside its blocks, members of a group of blocks
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,34 +87,48 @@ def signatures(line: np.ndarray, hashes: np.ndarray, n: int, slots: int) -> np.n
     return out
 
 
-def scan(docs: DataFrame, width: int, bands: int, rows: int, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(lines: doc_id, text_key, place, key of each line; postings of each distinct line's bands).
-    Two scans of the texts in place of one large table."""
-    spark = docs.sparkSession
-    base.small_batches(spark)
-    source = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+def key_of(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of lines: equal for equal lower-cased bytes."""
+    return tm.mix(tm.span_hash(h, starts, ends) ^ tm.mix((ends - starts).astype(np.uint64))).view(np.int64)
 
-    def hashed(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for lo, data, offsets in tm.joined(batch.column(2)):
-            row, place, starts, ends = lines_of(data, offsets)
-            h = tm.prefix_hash(data, fold=True)
-            whole = tm.span_hash(h, starts, ends)
-            key = tm.mix(whole ^ tm.mix((ends - starts).astype(np.uint64))).view(np.int64)
-            yield lo, row, place, starts, ends, h, key
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, place, key of each line, and where a task sees a key for the first
+    time (of the SEEN that it remembers) the line itself. One pass over the texts."""
+    base.small_batches(docs.sparkSession)
+    names = ["doc_id", "text_key", "place", "key", "line"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids, texts = batch.column(0).cast(pa.int64()).to_numpy(), batch.column(1).to_numpy()
-            for lo, row, place, *_, key in hashed(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(texts[lo + row]), pa.array(place.astype(np.int32)), pa.array(key)], ["doc_id", "text_key", "place", "key"])
+            for lo, data, offsets in tm.joined(batch.column(2)):
+                row, place, starts, ends = lines_of(data, offsets)
+                key = key_of(tm.prefix_hash(data, fold=True), starts, ends)
+                line: list[bytes | None] = [None] * len(key)
+                distinct_keys, one = np.unique(key, return_index=True)
+                for k, at in zip(distinct_keys.tolist(), one.tolist(), strict=True):
+                    if k not in seen:
+                        seen.add(k)
+                        line[at] = data[starts[at] : ends[at]].tobytes()
+                if len(seen) > SEEN:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(texts[lo + row]), pa.array(place.astype(np.int32)), pa.array(key), pa.array(line, pa.binary())], names)
+
+    source = base.only(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return source.mapInArrow(run, "doc_id long, text_key long, place int, key long, line binary")
+
+
+def band_postings(lines: DataFrame, width: int, bands: int, rows: int, parts: int) -> DataFrame:
+    """Postings of the bands of the distinct lines (key, line)."""
 
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, sizes, keys, held = [], [], [], 0
         for batch in batches:
-            for *_, starts, ends, h, key in hashed(batch):
-                _, one = np.unique(key, return_index=True)
-                starts, ends, key = starts[one], ends[one], key[one]
-                line, hashes = shingles(h, starts, ends, width)
+            all_keys = batch.column(0).to_numpy()
+            for lo, data, offsets in tm.joined(batch.column(1).cast(pa.string())):
+                starts, ends = offsets[:-1], offsets[1:]
+                line, hashes = shingles(tm.prefix_hash(data, fold=True), starts, ends, width)
                 least = signatures(line, hashes, len(starts), bands * rows)
                 for b in range(bands):
                     token = np.full(len(starts), b + 1, np.uint64)
@@ -117,35 +136,15 @@ def scan(docs: DataFrame, width: int, bands: int, rows: int, parts: int) -> tupl
                         token = tm.mix(token * tm._WORD_BASE + least[:, b * rows + r])
                     tokens.append(token)
                     sizes.append(np.maximum(1, ends - starts - width + 1))
-                    keys.append(key)
-                    held += len(key)
-                if held > 1 << 20:
-                    yield setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts)
-                    tokens, sizes, keys, held = [], [], [], 0
+                    keys.append(all_keys[lo : lo + len(starts)])
+                held += bands * len(starts)
+            if held > 1 << 20:
+                yield setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts)
+                tokens, sizes, keys, held = [], [], [], 0
         if held:
             yield setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts)
 
-    return source.mapInArrow(describe, "doc_id long, text_key long, place int, key long"), source.mapInArrow(band, setjoin.POSTINGS)
-
-
-def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, line of the distinct lines `wanted` (key), read from the texts again."""
-    spark = docs.sparkSession
-    members = spark.sparkContext.broadcast(setjoin.Members.of(wanted, "key"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, offsets in tm.joined(batch.column(0)):
-                _, _, starts, ends = lines_of(data, offsets)
-                whole = tm.span_hash(tm.prefix_hash(data, fold=True), starts, ends)
-                key = tm.mix(whole ^ tm.mix((ends - starts).astype(np.uint64))).view(np.int64)
-                _, one = np.unique(key, return_index=True)
-                one = one[members.value.holds(key[one])]
-                found = [data[a:b].tobytes() for a, b in zip(starts[one], ends[one], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(found, pa.binary())], ["key", "line"])
-
-    found = base.only(docs, "doc_id", "text").where("doc_id is not null").select("text").mapInArrow(run, "key long, line binary")
-    return wanted.join(found.groupBy("key").agg(F.first("line").alias("line")), "key")
+    return lines.mapInArrow(run, setjoin.POSTINGS)
 
 
 def sketched(lines: DataFrame, width: int) -> DataFrame:
@@ -229,28 +228,31 @@ def verified(pairs: DataFrame, lines: DataFrame, width: int, share: tuple[int, i
 def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, text_key, place, rep_doc_id, rep_place, keep of every line with a word: the
     line of its component that stays, and whether it is this one."""
-    spark = docs.sparkSession
-    scratch = base.Scratch(spark, "lines")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    parts = max(256, total // 100 * bands // 100_000)
-    described, postings = scan(docs, width, bands, rows, parts)
-    described = scratch.write(described, "described")
-    found = scratch.write(setjoin.lists(postings), "lists")
+    scratch = base.Scratch(docs.sparkSession, "lines")
+    described = scratch.write(scan(docs), "described")
+    texts = described.where("line is not null").groupBy("key").agg(F.first("line").alias("line"))
+    texts = scratch.write(texts, "texts")
+    parts = max(256, texts.count() * bands // 100_000)
+    found = scratch.write(setjoin.lists(band_postings(texts, width, bands, rows, parts)), "lists")
     stars = found.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     stars = scratch.write(stars, "stars")
-    candidates = found.select("key").distinct()
-    lines = scratch.write(sketched(fetch_lines(docs, candidates), width), "candidates")
+    lines = scratch.write(sketched(texts.join(found.select("key").distinct(), "key").select("key", "line"), width), "candidates")
+    scratch.drop("texts")
     first = scratch.write(verified(stars, lines, width, share), "first")
     labels = scratch.write(setjoin.components(scratch, first, "first_"), "labels0")
     mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")
     chance = scratch.write(verified(setjoin.random_stars(mixed), lines, width, share), "chance")
     labels = scratch.write(setjoin.merged(scratch, labels, chance, "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size", "weight"), labels), "mixed1")
-    held = lines.select("key", F.least("n", F.lit(setjoin.SIZE_CAP)).cast("int").alias("size"), "mini", F.col("line").alias("value"))
-    links = setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.drop("size").join(held, "key")), *share, similar_places(width, share))
-    links = scratch.write(links.select("a", "b"), "links")
+    # a line of up to LONG bytes travels into its blocks; PART of them fill a group
+    value = F.when(F.octet_length("line") <= LONG, F.col("line"))
+    held = lines.select("key", F.least("n", F.lit(setjoin.SIZE_CAP)).cast("int").alias("size"), "mini", value.alias("value"))
+    pairs = setjoin.pairs_in_blocks(setjoin.in_chunks(mixed, PART).drop("size").join(held, "key"), *share, similar_places(width, share))
+    pairs = scratch.write(pairs.select("a", "b", "open"), "pairs")
+    links = pairs.where("not open").select("a", "b").union(verified(pairs.where("open").select("a", "b"), lines, width, share))
+    links = scratch.write(links, "links")
     labels = scratch.write(setjoin.merged(scratch, labels, links, "all_"), "components")
-    scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "links", "chance_over", "all_over")
+    scratch.drop("lists", "stars", "candidates", "first", "labels0", "labels1", "mixed0", "mixed1", "chance", "pairs", "links", "chance_over", "all_over")
     located = described.groupBy("key").agg(F.min(F.struct("doc_id", "place", "text_key")).alias("at"), F.count(F.lit(1)).alias("n"))
     named = located.join(labels, "key", "left").where("n > 1 or component is not null").select("key", "at", F.coalesce("component", "key").alias("component"))
     named = scratch.write(named, "named")

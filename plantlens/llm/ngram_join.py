@@ -282,7 +282,7 @@ def _labels(scratch: base.Scratch, docs: DataFrame, rows: DataFrame, found: Data
     chance = scratch.write(verified(tries, docs, known, width, share, scratch, "tries"), "chance")
     labels = scratch.write(setjoin.merged(scratch, labels, chance, "chance_"), "labels1")
     mixed = scratch.write(setjoin.unresolved(mixed.select("token", "key", "size", "weight"), labels), "mixed1")
-    rest = scratch.write(near_enough(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed.join(known.select("key", "mini"), "key")), *share), sketches, share), "rest")
+    rest = scratch.write(near_enough(setjoin.pairs_in_blocks(setjoin.in_chunks(mixed).join(known.select("key", "mini"), "key"), *share), sketches, share), "rest")
     last = scratch.write(verified(rest, docs, known, width, share, scratch, "rest"), "links")
     return setjoin.merged(scratch, labels, last, "all_")
 

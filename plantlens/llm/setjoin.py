@@ -207,21 +207,22 @@ def random_stars(members: DataFrame) -> DataFrame:
 
 
 def in_chunks(members: DataFrame, per_part: int = 50_000) -> DataFrame:
-    """members (token, key, size, component, weight, mini, and what else they have) with block, two (whether the block is a pair of
-    chunks), mine and part. A list of up to CHUNK members is one block; a longer one is cut
-    by a hash of the key, and each pair of its chunks is a block, so that every two members
-    meet in a block of bounded size. Parts gather whole blocks."""
-    n = members.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
-    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)).cast("int")
+    """members (token, key and what else they have; a written table) with block, two (whether the
+    block is a pair of chunks), mine and part. A list of up to CHUNK members is one block; a
+    longer one is cut by a hash of the key, and each pair of its chunks is a block, so that every
+    two members meet in a block of bounded size. A part gathers whole blocks of about per_part
+    members, copies counted."""
+    n = members.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    copies = n.agg(F.sum(F.col("n") * chunks).alias("copies")).first().copies or 0
     mine = F.pmod(F.xxhash64("key", "token"), F.col("chunks")).cast("int")
-    parts = max(64, members.count() // per_part)
     held = [c for c in members.columns if c != "token"]
     block = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
     return (
-        members.join(n.select("token", "n"), "token", "left").withColumn("chunks", chunks).withColumn("mine", mine)
+        members.join(n.where(F.col("n") > CHUNK).select("token", chunks.alias("chunks")), "token", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(*held, "mine", (F.col("mine") != F.col("other")).alias("two"), block.alias("block"))
-        .withColumn("part", F.pmod(F.col("block"), F.lit(parts)).cast("int"))
+        .withColumn("part", F.pmod(F.col("block"), F.lit(max(64, copies // per_part))).cast("int"))
     )
 
 
@@ -230,7 +231,8 @@ def pairs_in_blocks(members: DataFrame, num: int, den: int, check: Callable[[pa.
     whose parity sketches of equal length where they have some (mini), allow a similarity of
     num / den; shared is the number of lists that hold both. A part sums up its pairs. With
     a check of (the part's values, places, places) only the pairs that pass leave the part,
-    and once two components have met there no more of their pairs are checked."""
+    and once two components have met there no more of their pairs are checked; pairs of which
+    a value is null can't be checked and leave it open."""
 
     def run(group: pa.Table) -> pa.Table:
         key, size, component, weight, mine, two, block = (group.column(c).to_numpy() for c in ("key", "size", "component", "weight", "mine", "two", "block"))
@@ -266,13 +268,19 @@ def pairs_in_blocks(members: DataFrame, num: int, den: int, check: Callable[[pa.
         starts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
         w = np.add.reduceat(w, starts) if len(a) else w
         a, b, i, j = a[starts], b[starts], i[starts], j[starts]
+        left = np.ones(len(a), bool)
         if check and len(a):
-            ok = _checked(lambda k: check(group.column("value").combine_chunks(), order[i[k]], order[j[k]]), component[i], component[j])
-            a, b, w = a[ok], b[ok], w[ok]
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "shared": pa.array(w)})
-
-    pairs = members.groupBy("part").applyInArrow(run, "a long, b long, shared long")
-    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+            values = group.column("value").combine_chunks()
+            none = np.asarray(values.is_null())[order]
+            left = none[i] | none[j]
+            of = np.flatnonzero(~left)
+            ok = of[_checked(lambda k: check(values, order[i[of[k]]], order[j[of[k]]]), component[i[of]], component[j[of]])]
+            ok = np.sort(np.concatenate([ok, np.flatnonzero(left)]))
+            a, b, w, left = a[ok], b[ok], w[ok], left[ok]
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "shared": pa.array(w), "open": pa.array(left)})
+
+    pairs = members.groupBy("part").applyInArrow(run, "a long, b long, shared long, open boolean")
+    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("open").alias("open"))
 
 
 def _checked(check: Callable[[np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray, first: int = 256) -> np.ndarray:
