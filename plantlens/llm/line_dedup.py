@@ -8,9 +8,8 @@ bucket are candidates; the exact Jaccard similarity of their shingle sets decide
 find over the links, distributed, gives the components, and each component's first line (by
 doc_id, then place) stays.
 
-Equal lines (by their lower-cased bytes) stand as one throughout: one pass over the texts
-writes each line's key, and the line where a task meets it first; signatures are made of
-distinct lines alone. A bucket gives links to
+Equal lines (by their lower-cased bytes) stand as one throughout; one pass over the texts
+writes each line's key and the postings of the bands. A bucket gives links to
 its smallest member, then to one chosen by hash, and every pair that is still in two
 components afterwards is examined in blocks of bounded size: by set sizes, then by parity
 sketches, whose distance never exceeds the sets' difference, then exactly (inside the block,
@@ -42,7 +41,6 @@ SHARE = (75, 100)
 EMPTY = tm.U(0xFFFFFFFFFFFFFFFF)
 CELLS = 1024  # of a line's parity sketch
 MANY = 1 << 12  # lines looked at together
-SEEN = 1 << 18  # lines that a task remembers
 LONG, PART = 1 << 10, 20_000  # bytes of a line that is verified inside its blocks, members of a group of blocks
 
 
@@ -59,24 +57,36 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends[last] = offsets[1:][row[last]]
     first = np.searchsorted(row, np.arange(n))
     place = np.arange(len(row)) - first[row]
-    solid = np.concatenate([[0], np.cumsum(~tm.SEPARATOR[data])])
-    keep = solid[ends] > solid[starts]
+    full = np.flatnonzero(ends > starts)
+    keep = np.zeros(len(row), bool)
+    keep[full] = ~tm.SEPARATOR[data[starts[full]]]
+    for i in full[~keep[full]].tolist():  # those that begin with white space
+        keep[i] = not tm.SEPARATOR[data[starts[i] : ends[i]]].all()
     return row[keep], place[keep], starts[keep], ends[keep]
 
 
 def shingles(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of every shingle, with repeats, lines in order."""
-    n = np.maximum(1, ends - starts - width + 1)
-    line = np.repeat(np.arange(len(starts)), n)
-    at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(len(line))
-    return line, tm.span_hash(h, at, np.minimum(at + width, ends[line]))
+    """(line, hash) of every shingle, with repeats: those of lines as long as a shingle in
+    order, then the others. Lines are in order of their places and don't overlap."""
+    long = ends - starts >= width
+    of = np.flatnonzero(long)
+    edge = np.zeros(max(1, len(h)), np.int8)
+    np.add.at(edge, starts[of], 1)
+    np.add.at(edge, ends[of] - width + 1, -1)
+    inside = np.cumsum(edge, dtype=np.int8).view(bool)
+    found = tm.window_hash(h, width)
+    rest = np.flatnonzero(~long)
+    line = np.concatenate([np.repeat(of, ends[of] - starts[of] - width + 1), rest])
+    return line, np.concatenate([found[inside[: len(found)]], tm.span_hash(h, starts[rest], ends[rest])])
 
 
 def signatures(line: np.ndarray, hashes: np.ndarray, n: int, slots: int) -> np.ndarray:
     """n x slots least hashes; a line's empty slots borrow from the right, round."""
     out = np.full((n, slots), EMPTY, np.uint64)
-    slot = (hashes % tm.U(slots)).astype(np.int64)
-    np.minimum.at(out.reshape(-1), line * slots + slot, hashes)
+    slot = hashes & tm.U(0xFFFFFFFF)  # the lower half says the slot, the upper half competes
+    slot *= tm.U(slots)
+    slot >>= tm.U(32)
+    np.minimum.at(out.reshape(-1), line * slots + slot.view(np.int64), hashes)
     gaps = np.flatnonzero((out == EMPTY).any(axis=1))
     if len(gaps):
         part = out[gaps]
@@ -92,43 +102,36 @@ def key_of(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return tm.mix(tm.span_hash(h, starts, ends) ^ tm.mix((ends - starts).astype(np.uint64))).view(np.int64)
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, place, key of each line, and where a task sees a key for the first
-    time (of the SEEN that it remembers) the line itself. One pass over the texts."""
+def key_of(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of lines: equal for equal lower-cased bytes."""
+    return tm.mix(tm.span_hash(h, starts, ends) ^ tm.mix((ends - starts).astype(np.uint64))).view(np.int64)
+
+
+def scan(docs: DataFrame, width: int, bands: int, rows: int, parts: int) -> DataFrame:
+    """In one pass over the texts, doc_id, text_key, place, key of each line; and in rows of
+    their own (part, postings) the postings of the bands of each batch's distinct lines."""
     base.small_batches(docs.sparkSession)
-    names = ["doc_id", "text_key", "place", "key", "line"]
+    names = ["doc_id", "text_key", "place", "key", "part", "postings"]
+    longs = pa.int64(), pa.int64(), pa.int32(), pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        tokens, sizes, keys, held = [], [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            part, postings = setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts).columns
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(part), t) for t in longs], part, postings], names)
+
         for batch in batches:
             ids, texts = batch.column(0).cast(pa.int64()).to_numpy(), batch.column(1).to_numpy()
             for lo, data, offsets in tm.joined(batch.column(2)):
                 row, place, starts, ends = lines_of(data, offsets)
-                key = key_of(tm.prefix_hash(data, fold=True), starts, ends)
-                line: list[bytes | None] = [None] * len(key)
-                distinct_keys, one = np.unique(key, return_index=True)
-                for k, at in zip(distinct_keys.tolist(), one.tolist(), strict=True):
-                    if k not in seen:
-                        seen.add(k)
-                        line[at] = data[starts[at] : ends[at]].tobytes()
-                if len(seen) > SEEN:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(texts[lo + row]), pa.array(place.astype(np.int32)), pa.array(key), pa.array(line, pa.binary())], names)
-
-    source = base.only(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return source.mapInArrow(run, "doc_id long, text_key long, place int, key long, line binary")
-
-
-def band_postings(lines: DataFrame, width: int, bands: int, rows: int, parts: int) -> DataFrame:
-    """Postings of the bands of the distinct lines (key, line)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sizes, keys, held = [], [], [], 0
-        for batch in batches:
-            all_keys = batch.column(0).to_numpy()
-            for lo, data, offsets in tm.joined(batch.column(1).cast(pa.string())):
-                starts, ends = offsets[:-1], offsets[1:]
-                line, hashes = shingles(tm.prefix_hash(data, fold=True), starts, ends, width)
+                h = tm.prefix_hash(data, fold=True)
+                key = key_of(h, starts, ends)
+                n = len(key)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]), pa.array(texts[lo + row]), pa.array(place.astype(np.int32)), pa.array(key), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                one = np.sort(np.unique(key, return_index=True)[1])
+                starts, ends, key = starts[one], ends[one], key[one]
+                line, hashes = shingles(h, starts, ends, width)
                 least = signatures(line, hashes, len(starts), bands * rows)
                 for b in range(bands):
                     token = np.full(len(starts), b + 1, np.uint64)
@@ -136,15 +139,33 @@ def band_postings(lines: DataFrame, width: int, bands: int, rows: int, parts: in
                         token = tm.mix(token * tm._WORD_BASE + least[:, b * rows + r])
                     tokens.append(token)
                     sizes.append(np.maximum(1, ends - starts - width + 1))
-                    keys.append(all_keys[lo : lo + len(starts)])
-                held += bands * len(starts)
+                    keys.append(key)
+                held += bands * len(key)
             if held > 1 << 20:
-                yield setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts)
+                yield packed()
                 tokens, sizes, keys, held = [], [], [], 0
         if held:
-            yield setjoin.pack(np.concatenate(tokens), np.concatenate(sizes), np.concatenate(keys), parts)
+            yield packed()
+
+    source = base.only(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return source.mapInArrow(run, "doc_id long, text_key long, place int, key long, part int, postings binary")
+
+
+def fetch_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, line of the distinct lines `wanted` (key), read from the texts again."""
+    members = docs.sparkSession.sparkContext.broadcast(setjoin.Members.of(wanted, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in tm.joined(batch.column(0)):
+                _, _, starts, ends = lines_of(data, offsets)
+                key, one = np.unique(key_of(tm.prefix_hash(data, fold=True), starts, ends), return_index=True)
+                held = members.value.holds(key)
+                found = [data[a:b].tobytes() for a, b in zip(starts[one[held]].tolist(), ends[one[held]].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[held]), pa.array(found, pa.binary())], ["key", "line"])
 
-    return lines.mapInArrow(run, setjoin.POSTINGS)
+    found = base.only(docs, "doc_id", "text").where("doc_id is not null").select("text").mapInArrow(run, "key long, line binary")
+    return wanted.join(found.groupBy("key").agg(F.first("line").alias("line")), "key")
 
 
 def sketched(lines: DataFrame, width: int) -> DataFrame:
@@ -229,15 +250,13 @@ def decide(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int =
     """doc_id, text_key, place, rep_doc_id, rep_place, keep of every line with a word: the
     line of its component that stays, and whether it is this one."""
     scratch = base.Scratch(docs.sparkSession, "lines")
-    described = scratch.write(scan(docs), "described")
-    texts = described.where("line is not null").groupBy("key").agg(F.first("line").alias("line"))
-    texts = scratch.write(texts, "texts")
-    parts = max(256, texts.count() * bands // 100_000)
-    found = scratch.write(setjoin.lists(band_postings(texts, width, bands, rows, parts)), "lists")
+    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    scanned = scratch.write(scan(docs, width, bands, rows, max(256, total // 100 * bands // 100_000)), "described")
+    described = scanned.where("place is not null").select("doc_id", "text_key", "place", "key")
+    found = scratch.write(setjoin.lists(scanned.where("part is not null").select("part", "postings")), "lists")
     stars = found.where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     stars = scratch.write(stars, "stars")
-    lines = scratch.write(sketched(texts.join(found.select("key").distinct(), "key").select("key", "line"), width), "candidates")
-    scratch.drop("texts")
+    lines = scratch.write(sketched(fetch_lines(docs, found.select("key").distinct()), width), "candidates")
     first = scratch.write(verified(stars, lines, width, share), "first")
     labels = scratch.write(setjoin.components(scratch, first, "first_"), "labels0")
     mixed = scratch.write(setjoin.unresolved(found, labels), "mixed0")

@@ -60,6 +60,18 @@ def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((h[ends] - h[starts]) * inverse[starts])
 
 
+def window_hash(h: np.ndarray, width: int, step: int = 1 << 14) -> np.ndarray:
+    """span_hash of the span of `width` bytes at each place, in steps that stay in the cache."""
+    n = max(0, len(h) - width)
+    inverse, out = powers(_BASE_INVERSE, len(h)), np.empty(n, np.uint64)
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        x = h[lo + width : hi + width] - h[lo:hi]
+        x *= inverse[lo:hi]
+        out[lo:hi] = mix(x)
+    return out
+
+
 def texts(column: pa.Array) -> Iterator[np.ndarray]:
     """The bytes of each value, without copies; none for null."""
     if isinstance(column, pa.ChunkedArray):
