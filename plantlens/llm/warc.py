@@ -111,9 +111,9 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     keys = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
     reps = keys.groupBy("digest").agg(F.max("page_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1 and rep is not null").select("digest", "rep")
     again = keys.join(reps, "digest").where("page_id is null or page_id <> rep").distinct()
-    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "rep")
-    rows = rows.repartition(parts, "page_id", "digest")
-    return rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").select("page_id", "url", "html", "digest", "rep")
+    at = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("at")  # never null, so that the html is dealt once
+    rows = rows.select("*", at).repartition(parts, "at", "digest")
+    return rows.join(again.select(at, "digest", "rep"), ["at", "digest"], "left").select("page_id", "url", "html", "digest", "rep")
 
 
 def train(rows: DataFrame, size: int = 64 << 10, samples: int = 1000, sample_bytes: int = 64 << 10, date: str = "1970-01-01T00:00:00Z") -> bytes:
