@@ -4,7 +4,9 @@ Terms are lower-cased words and their beginnings of four, five and six bytes, ha
 BUCKETS. The machine's inputs, present or absent, are the terms that toxic documents hold
 significantly more or less often (chi-squared over the training sample), and the terms of
 pairs that say more of the label together than each for itself (chi-squared of the pair's
-four cases less that of its terms, for all pairs of the POOL most varied terms). Its factors
+four cases less that of its terms). Pairs are sought within the bounded sample alone, among
+its POOL most varied terms that at least HELD of its rows hold: a pair of a rarer term is found
+only where the term says something by itself. Its factors
 learn their pairwise interactions, such as an insult beside the mention of a group, which
 additive weights miss. Only the text is an input of a score.
 
@@ -31,8 +33,9 @@ BUCKETS = 1 << 22
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 #: Significance of an input and of a pair (of some half a million pairs), and the rows that a case must hold to count.
-SINGLE, PAIR, EXPECTED = 15.0, 40.0, 5.0
-POOL = 1024
+SINGLE, PAIR, EXPECTED = 8.0, 40.0, 5.0
+#: Terms whose pairs are looked at (the most varied), and the sample's rows that such a term must be in.
+POOL, HELD = 1024, 20
 
 
 def term_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -100,7 +103,7 @@ class Machine:
         return out, each
 
 
-def fit(buckets: np.ndarray, places: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 600, rate: float = 1.0, decay: tuple[float, float] = (1e-6, 1e-3)) -> Machine:
+def fit(buckets: np.ndarray, places: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 200, rate: float = 1.0, decay: tuple[float, float] = (1e-6, 1e-3)) -> Machine:
     """Logistic loss by full-batch Adagrad over the rows' inputs (places from 1). Factors
     decay faster than weights, so that they say what weights can't."""
     rng = np.random.default_rng(7)
@@ -175,11 +178,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Machine
     total = found.agg(F.count("y").alias("n"), F.sum("y").alias("p")).first()
     n, p = total.n, total.p or 0
     counts = found.select("y", F.explode("terms").alias("bucket")).groupBy("bucket").agg(F.sum("y").cast("double").alias("a"), F.count("y").cast("double").alias("m"))
-    counts = scratch.write(counts.where("a >= 3 or m >= 20"), "counts")
+    counts = scratch.write(counts.where(f"a >= 3 or m >= {HELD}"), "counts")
     a, m = F.col("a"), F.col("m")
-    chi2 = n * F.pow(a * (n - m) - (m - a) * (p - a), 2) / (m * (n - m) * p * (n - p) + 1e-9)
+    chi2 = n * F.pow(a * n - m * p, 2) / (m * (n - m) * p * (n - p) + 1e-9)
     chosen = counts.where(((a >= 3) & (a * n > m * p)) | (m * p >= EXPECTED * n)).where(chi2 > SINGLE).select("bucket")
-    pool = counts.where((m >= 20) & (m <= 0.95 * n)).orderBy(F.desc(m * (n - m)), "bucket").limit(POOL).select("bucket")
+    pool = counts.where((m >= HELD) & (m <= 0.95 * n)).orderBy(F.desc(m * (n - m)), "bucket").limit(POOL).select("bucket")
     chosen, pool = (np.sort(np.array([r.bucket for r in x.collect()], np.int32)) for x in (chosen, pool))
     rows = _held_terms(found, np.union1d(chosen, pool)).toArrow()  # of at most max_rows rows, what they hold of a few thousand terms
     scratch.drop("terms", "counts")

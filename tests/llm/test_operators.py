@@ -271,21 +271,39 @@ def test_toxicity_learns_pairs_that_weights_miss():
     assert (p == (np.array(y) > 0.5)).mean() > 0.95
 
 
-@pytest.mark.parametrize("toxic", [lambda a, b: a and b, lambda a, b: a == b])
-def test_toxicity_of_pairs_from_texts_to_scores(spark, toxic):
+def texts_by_law(toxic, share, fillers=300):
     rng = np.random.default_rng(4)
     rows = []
-    for i in range(3000):  # the second law says nothing by either word alone
-        w = [f"filler{x}" for x in rng.integers(0, 300, 20)]
-        a, b = (rng.random(2) < 0.6).tolist()
+    for i in range(3000):
+        w = [f"filler{x}" for x in rng.integers(0, fillers, 20)]
+        a, b = (rng.random(2) < share).tolist()
         if a:
             w.insert(3, "insultword")
         if b:
             w.append("groupword")
-        rows.append((i, " ".join(w), int(toxic(a, b))))
+        rows.append((i, " ".join(w), int(toxic(a, b) if toxic else rng.random() < 0.3)))
+    return rows
+
+
+def right_share(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     got = toxicity.score_documents(df.select("doc_id", "text"), df.select("doc_id", "toxic")).where("held_out").join(df, "doc_id")
-    assert got.agg(F.avg((F.col("score").between(0.5, 1).cast("int") == F.col("toxic")).cast("int")).alias("right")).first().right > 0.95
+    return got.agg(F.avg((F.col("score").between(0.5, 1).cast("int") == F.col("toxic")).cast("int")).alias("right")).first().right
+
+
+@pytest.mark.parametrize(("toxic", "share"), [(lambda a, b: a and b, 0.6), (lambda a, b: a == b, 0.5)])
+def test_toxicity_of_pairs_from_texts_to_scores(spark, monkeypatch, toxic, share):
+    rows = texts_by_law(toxic, share)
+    assert right_share(spark, rows) > 0.95
+    if share == 0.5:  # neither word says anything alone, so that it takes the pair to choose them
+        monkeypatch.setattr(toxicity, "pair_terms", lambda held, y: np.zeros(0, int))
+        assert right_share(spark, rows) < 0.7
+
+
+def test_toxicity_chooses_no_noise(spark):
+    df = spark.createDataFrame(texts_by_law(None, 0.5, 1500), "doc_id long, text string, toxic int")
+    machine = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(machine.buckets) < 40  # of 1,502 words and their beginnings
 
 
 def test_toxicity_of_repeated_labels(spark, labels):
