@@ -22,8 +22,19 @@ RESERVED = (
 ).split()
 
 
-def features(pou: DataFrame, variable: DataFrame, method: DataFrame, prop: DataFrame, chain: DataFrame) -> DataFrame:
-    """One row for each unit; members are aggregated before they are joined."""
+def raw_features(files: DataFrame) -> DataFrame:
+    """project_id, path and what rules on a unit's whole file look at: lines that begin with a
+    tab or a space, runs of blank lines, GUIDs and what looks like one, properties' VAR blocks."""
+    n = lambda pattern: F.regexp_count("content", F.lit(pattern))
+    code = F.transform(F.slice(F.split("content", r"(?i)<Property\b"), 2, 1 << 30), lambda x: F.split(F.split(x, "(?i)<(?:Get|Set)\\b|</Property>")[0], r"\]\]>")[0])
+    return files.where("ext = 'tcpou'").select(
+        "project_id", "path", n(r"(?md)^\t").alias("n_tabbed"), n(r"(?md)^ ").alias("n_spaced"), fx.blank_run(F.col("content")).alias("blank_run"), n(r"\{[0-9A-Fa-f-]{20,}+\}").alias("n_guid_like"),
+        n(r"\{[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\}").alias("n_guids"), F.size(F.filter(code, lambda x: x.rlike(r"(?i)\bVAR\b") & x.rlike("(?i)END_VAR"))).alias("n_var_properties"),
+    )
+
+
+def features(pou: DataFrame, variable: DataFrame, method: DataFrame, prop: DataFrame, chain: DataFrame, files: DataFrame) -> DataFrame:
+    """One row for each unit; members and the unit's file are aggregated before they are joined."""
     key = ["project_id", "pou_lc"]
     hungarian = F.col("name").rlike(rf"^({'|'.join(sorted(HUNGARIAN, key=len, reverse=True))})[A-Z]")
     ruled = F.col("scope").isin("Local", "Input", "Output", "InOut", "Stat")
@@ -40,9 +51,10 @@ def features(pou: DataFrame, variable: DataFrame, method: DataFrame, prop: DataF
         count(lower.isin("_alarms", "alarms")).alias("n_alarms_method"), count(lower.contains("simulat")).alias("n_simulation"), count(lower.rlike("auto|manual|mode|phase|operation")).alias("n_modes"), count(lower.contains("alarm")).alias("n_alarm_methods"),
         count(F.col("method").startswith("_") & (F.col("body") != "") & ~F.lower("body").contains("super^")).alias("n_without_super"), count(F.lit(True)).alias("n_all_methods"),
     )
-    p = prop.groupBy(*key).agg(count(F.lit(True)).alias("n_properties"), count(~F.col("has_get") & ~F.col("has_set")).alias("n_bare_properties"), count(F.col("declaration").rlike(r"(?m)^\s*VAR\b")).alias("n_var_properties"))
+    p = prop.groupBy(*key).agg(count(F.lit(True)).alias("n_properties"), count(~F.col("has_get") & ~F.col("has_set")).alias("n_bare_properties"))
     c = chain.groupBy(*key).agg(F.max(F.col("cyclic").cast("int")).alias("cyclic"))
-    out = pou.select("project_id", "name", F.col("name_lc").alias("pou_lc"), "pou_type", "extends_type", F.size("implements").alias("n_implements"), "is_abstract", "implementation", fx.layer(F.col("name")).alias("layer"), F.concat_ws("\n", "declaration", "implementation").alias("source"))
+    out = pou.select("project_id", "path", "name", F.col("name_lc").alias("pou_lc"), "pou_type", "extends_type", F.size("implements").alias("n_implements"), "is_abstract", "implementation", fx.layer(F.col("name")).alias("layer"))
+    out = out.join(raw_features(files), ["project_id", "path"], "left").withColumn("blank_run", F.coalesce("blank_run", F.lit(False)))
     for part in (v, m, p, c):
         out = out.join(part, key, "left")
     counts = [x for x in out.columns if x.startswith("n_")] + ["longest_method", "cyclic"]
@@ -64,9 +76,7 @@ def module_rules() -> dict[str, tuple[str, Column]]:
     plant, control = layer.isin("UM", "EM"), layer == "CM"
     ratio = c("n_hungarian") / F.nullif(c("n_ruled"), F.lit(0))
     code = F.length(fx.strip(F.coalesce("implementation", F.lit(""))))
-    tabs, blanks = F.regexp_count("source", F.lit(r"(?m)^\t+")), F.regexp_count("source", F.lit(r"(?m)^ +"))
-    guid_like = F.regexp_count("source", F.lit(r"\{[0-9A-Fa-f-]{30,40}\}"))
-    guid = F.regexp_count("source", F.lit(r"\{[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\}"))
+    indented = c("n_tabbed") + c("n_spaced")
     prefixed = F.upper(name).rlike(f"^({'|'.join(PREFIXES)})")
     cased = F.exists(F.array(*[F.lit(p) for p in CASED]), lambda p: name.startswith(p))
     rules = {
@@ -81,8 +91,8 @@ def module_rules() -> dict[str, tuple[str, Column]]:
         "GAMP-006": _level(code > 100, "F", middle=code > 0), "GAMP-007": _level(~F.regexp_replace(F.lower(name), "^_+", "").isin(*GENERIC)),
         "oop.extends_cycle": _level(c("cyclic") == 0, "F", c("extends_type").isNotNull()), "oop.override_super_call": _level(c("n_without_super") == 0), "oop.property_accessor_pairing": _level(c("n_bare_properties") == 0, "F"),
         "oop.method_count": _level(c("n_all_methods") <= 30), "naming.isa88_prefix_casing": F.when(name.rlike("^(um|em|cm|dm|fb)_"), "F").when(fb & ~cased, "W").otherwise("P"), "naming.member_casing": _level(c("n_odd_local") == 0),
-        "naming.reserved_words": _level(c("n_reserved") == 0, "F"), "structure.property_var_blocks": _level(c("n_var_properties") == 0), "style.indentation_tabs": _level(F.coalesce(blanks / F.nullif(blanks + tabs, F.lit(0)), F.lit(0.0)) < 0.1),
-        "style.excessive_blank_lines": _level(~fx.blank_run(c("source"))), "xml.guid_format": _level(guid_like == guid, "F"),
+        "naming.reserved_words": _level(c("n_reserved") == 0, "F"), "structure.property_var_blocks": _level(c("n_var_properties") == 0, applies=c("n_properties") > 0), "style.indentation_tabs": _level(c("n_spaced") < 0.1 * indented, applies=indented > 0),
+        "style.excessive_blank_lines": _level(~c("blank_run")), "xml.guid_format": _level(c("n_guid_like") == c("n_guids"), "F"),
     }
     standard = {"IEC": "IEC 61131-3", "OOP": "OOP", "ISA": "ISA-88", "GAMP": "GAMP 5"}
     return {k: (standard.get(k.split("-")[0], "Architecture"), v) for k, v in rules.items()}

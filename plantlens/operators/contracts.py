@@ -63,21 +63,34 @@ def diamonds(pou: DataFrame, chain: DataFrame) -> DataFrame:
 def composition_depth(pou: DataFrame, variable: DataFrame, most: int = DEEPEST + 1) -> DataFrame:
     """project_id, pou_lc, depth of units that hold variables of units' types: the longest
     path from type to type, the unit itself counted, looked at up to `most`. A type that is
-    met again on its path counts and ends the path."""
+    met again on its path counts and ends the path.
+
+    Walks are counted by their ends: a round has one row for each unit and type, however many
+    ways lead there. Only units that reach a type within a cycle need their paths."""
     unit = pou.select("project_id", F.col("name_lc").alias("type_lc"))
-    held = variable.where("owner_kind = 'pou'").select("project_id", "owner_lc", F.lower("data_type").alias("type_lc")).join(unit, ["project_id", "type_lc"], "left_semi").distinct()
-    walk = closure._sql(
+    held = variable.where("owner_kind = 'pou'").select("project_id", "owner_lc", F.lower("data_type").alias("type_lc")).join(unit, ["project_id", "type_lc"], "left_semi").select("project_id", "owner_lc", "type_lc").distinct()
+    step = held.select("project_id", F.col("owner_lc").alias("type_lc"), F.col("type_lc").alias("to_lc"))
+    round_ = held.select("project_id", F.col("owner_lc").alias("pou_lc"), "type_lc")
+    walk = round_.withColumn("depth", F.lit(2))
+    for k in range(3, most + 1):
+        round_ = round_.join(step, ["project_id", "type_lc"]).select("project_id", "pou_lc", F.col("to_lc").alias("type_lc")).distinct()
+        walk = walk.union(round_.withColumn("depth", F.lit(k)))
+    walk = walk.groupBy(*KEY, "type_lc").agg(F.max("depth").alias("depth"))
+    cyclic = walk.where("pou_lc = type_lc").select("project_id", "type_lc")
+    entangled = walk.join(cyclic, ["project_id", "type_lc"], "left_semi").select("project_id", F.col("pou_lc").alias("owner_lc")).distinct()
+    path = closure._sql(
         pou.sparkSession,
         f"""WITH RECURSIVE t AS (
-          SELECT project_id, owner_lc AS pou_lc, type_lc, array(owner_lc, type_lc) AS path, owner_lc = type_lc AS ended FROM {{held}}
+          SELECT project_id, owner_lc AS pou_lc, type_lc, array(owner_lc, type_lc) AS path, owner_lc = type_lc AS ended FROM {{start}}
           UNION ALL
           SELECT t.project_id, t.pou_lc, h.type_lc, concat(t.path, array(h.type_lc)), array_contains(t.path, h.type_lc)
           FROM t JOIN {{held}} h ON t.project_id = h.project_id AND t.type_lc = h.owner_lc
           WHERE NOT t.ended AND size(t.path) < {int(most)}
         ) SELECT project_id, pou_lc, size(path) AS depth FROM t""",
-        held=held,
-    )
-    return walk.groupBy(*KEY).agg(F.max("depth").alias("depth"))
+        start=held.join(entangled, ["project_id", "owner_lc"], "left_semi"), held=held,
+    )
+    plain = walk.join(entangled.withColumnRenamed("owner_lc", "pou_lc"), KEY, "left_anti").select(*KEY, "depth")
+    return plain.union(path).groupBy(*KEY).agg(F.max("depth").alias("depth"))
 
 
 def faults(pou: DataFrame, variable: DataFrame, method: DataFrame, chain: DataFrame, files: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ class Project:
     @cached_property
     def unit_rules(self) -> DataFrame:
         """Rules on what a unit itself holds."""
-        return compliance.evaluate(compliance.features(self.pous, self.variables, self.methods, self.properties, self.chains))
+        return compliance.evaluate(compliance.features(self.pous, self.variables, self.methods, self.properties, self.chains, self.files))
 
     @cached_property
     def rules(self) -> DataFrame:

@@ -45,7 +45,7 @@ def all_levels():
         level = {
             "IEC-001": "P", "IEC-002": "P" if good else "F" if local else "N", "IEC-003": pick(method, "N"), "IEC-004": "P", "IEC-005": pick(has_in), "OOP-001": "W", "OOP-002": "W", "OOP-003": pick(parent), "OOP-004": "W", "OOP-005": "W" if local else "N", "OOP-006": "W", "OOP-007": "W", "OOP-008": pick(method, "N"),
             "ISA-001": "P", "ISA-002": "N" if cm else pick(method, "F"), "ISA-003": "W" if cm else "N", "ISA-004": "N" if cm else "P", "ISA-005": "N" if cm else "W", "ISA-006": pick(parent and "BASECLASS" in parent), "GAMP-001": pick(has_in), "GAMP-002": "W", "GAMP-003": pick(method), "GAMP-004": "P", "GAMP-005": pick(parent), "GAMP-006": "F", "GAMP-007": "P",
-            "oop.extends_cycle": pick(parent, "N"), "oop.override_super_call": pick(not code), "oop.property_accessor_pairing": "P", "oop.method_count": "P", "naming.isa88_prefix_casing": "P", "naming.member_casing": "P", "naming.reserved_words": "P", "structure.property_var_blocks": "P", "style.indentation_tabs": "P", "style.excessive_blank_lines": "P", "xml.guid_format": "P",
+            "oop.extends_cycle": pick(parent, "N"), "oop.override_super_call": pick(not code), "oop.property_accessor_pairing": "P", "oop.method_count": "P", "naming.isa88_prefix_casing": "P", "naming.member_casing": "P", "naming.reserved_words": "P", "structure.property_var_blocks": "N", "style.indentation_tabs": pick(local or has_in, "N"), "style.excessive_blank_lines": "P", "xml.guid_format": "P",
             "oop.override_signature": pick(parent and "BASECLASS" not in parent, "N"), "oop.abstract_contract": "N", "oop.abstract_instantiation": "P", "oop.diamond_inheritance": "N", "oop.composition_depth": "P", "oop.interface_contract": "N", "structure.file_ending": "W", "PKM-000": "N",
         }
         out |= {(name, rule): x for rule, x in level.items()}
