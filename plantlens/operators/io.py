@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from plantlens.functions import text as fx
 
 _PDO = "array<struct<_Name: string, _Index: string, _InOut: string, Entry: array<struct<_Name: string, _Index: string, _Sub: string, Type: string, _BitLen: int>>>>"
-_LINK = "array<struct<_VarA: string, _VarB: string>>"
-XTI = f"Box array<struct<Name: string, EtherCAT: struct<_Type: string, _Desc: string, _ProductCode: string, Pdo: {_PDO}>>>, Mappings struct<OwnerA: struct<OwnerB: array<struct<_Name: string, Link: {_LINK}>>>>"
+BOX = f"Name string, EtherCAT struct<_Type: string, _Desc: string, _ProductCode: string, Pdo: {_PDO}>"
+LINKS = "Link array<struct<_VarA: string, _VarB: string>>"
 #: Bits by type, and safety terminals by the beginning of their order code.
 BITS = {"BIT": 1, "BOOL": 1, "BIT2": 2, "BYTE": 8, "USINT": 8, "SINT": 8, "WORD": 16, "UINT": 16, "INT": 16, "DWORD": 32, "UDINT": 32, "DINT": 32, "LWORD": 64, "ULINT": 64, "LINT": 64}
 #: Parts of the names of signals that say how a terminal does.
@@ -34,11 +34,40 @@ def io_of_instances(mapped: DataFrame, node: DataFrame, chain: DataFrame) -> Dat
     return sources.join(units, ["project_id", "source_lc"]).dropDuplicates(["project_id", "path", "variable", "at_binding"]).select("project_id", "path", "variable", "data_type", "at_binding", "direction")
 
 
+def box_texts(files: DataFrame) -> DataFrame:
+    """project_id, path, seq, parent_seq, level, text of every box of the .xti files, at any
+    depth: its own text without the boxes inside it, and the box that holds it.
+
+    A file is cut before each opening and behind each closing tag. The running depth says how
+    many boxes are open in a piece; it belongs to the last box opened at that depth. The parent
+    is the last box opened one level up, an as-of join of the opening pieces with themselves."""
+    text = F.regexp_replace(fx.safe_xml(F.col("content")), r"<Box(\s[^<>]*+)?(?<=/)>", "<Box></Box>")  # an empty box
+    piece = files.where("ext = 'xti'").select("project_id", "path", F.posexplode(F.split(text, r"(?=<Box[\s>])|(?<=</Box>)")).alias("seq", "piece"))
+    opens, closes = F.col("piece").rlike(r"^<Box[\s>]"), F.col("piece").endswith("</Box>")
+    by = Window.partitionBy("project_id", "path").orderBy("seq")
+    before = F.coalesce(F.sum(closes.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    piece = piece.withColumn("opens", opens).withColumn("level", F.sum(opens.cast("int")).over(by) - before).where("level > 0")
+    at_level = Window.partitionBy("project_id", "path", "level").orderBy("seq")
+    piece = piece.withColumn("of", F.last(F.when(F.col("opens"), F.col("seq")), ignorenulls=True).over(at_level))
+    own = piece.groupBy("project_id", "path", F.col("of").alias("seq")).agg(F.min("level").alias("level"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x.piece), "").alias("text"))
+    start = own.select("project_id", "path", "seq", "level")
+    asked = start.select("project_id", "path", "seq", F.lit(None).cast("int").alias("opened"), (F.col("level") - 1).alias("level")).union(start.select("project_id", "path", "seq", F.col("seq"), "level"))
+    parent = asked.withColumn("parent_seq", F.last("opened", ignorenulls=True).over(at_level)).where("opened is null").select("project_id", "path", "seq", "parent_seq")
+    return own.join(parent, ["project_id", "path", "seq"])
+
+
 def boxes(files: DataFrame) -> DataFrame:
-    """project_id, path, box, sku, description, product_code, pdos, is_coupler, is_safety."""
-    x = files.where("ext = 'xti'").select("project_id", "path", F.explode(F.from_xml(fx.safe_xml(F.col("content")), XTI, {"mode": "PERMISSIVE"}).Box).alias("b"))
+    """project_id, path, box, parent, level, sku, description, product_code, pdos, is_coupler,
+    is_safety of the boxes at any depth; one without a name has its file's."""
+    x = box_texts(files).withColumn("b", F.from_xml("text", BOX, {"mode": "PERMISSIVE", "rowTag": "Box"}))
+    named = F.nullif(fx.strip(F.coalesce(F.col("b.Name"), F.lit(""))), F.lit(""))
+    name = F.when(named.isNull() | (named == "__FILENAME__"), F.regexp_extract("path", r"([^/]*?)(?:\.\w+)?$", 1)).otherwise(named)
     sku = F.upper(F.regexp_extract(F.coalesce(F.col("b.EtherCAT._Type"), F.col("b.EtherCAT._Desc")), r"([A-Za-z]{2}\d{3,4})", 1))
-    return x.select("project_id", "path", F.col("b.Name").alias("box"), sku.alias("sku"), F.col("b.EtherCAT._Desc").alias("description"), F.col("b.EtherCAT._ProductCode").alias("product_code"), F.col("b.EtherCAT.Pdo").alias("pdos"), sku.startswith("EK").alias("is_coupler"), F.exists(F.array(*[F.lit(s) for s in SAFETY]), lambda s: sku.startswith(s)).alias("is_safety"))
+    x = x.withColumn("box", name)
+    parent = x.select("project_id", "path", F.col("seq").alias("parent_seq"), F.col("box").alias("parent"))
+    x = x.join(parent, ["project_id", "path", "parent_seq"], "left")
+    safe = F.exists(F.array(*[F.lit(s) for s in SAFETY]), lambda s: F.coalesce(sku, F.lit("")).startswith(s))
+    return x.select("project_id", "path", "box", "parent", "level", sku.alias("sku"), F.col("b.EtherCAT._Desc").alias("description"), F.col("b.EtherCAT._ProductCode").alias("product_code"), F.col("b.EtherCAT.Pdo").alias("pdos"), sku.startswith("EK").alias("is_coupler"), safe.alias("is_safety"))
 
 
 def merged_boxes(box: DataFrame) -> DataFrame:
@@ -69,14 +98,25 @@ def channels(box: DataFrame) -> DataFrame:
     )
 
 
-def links(files: DataFrame) -> DataFrame:
-    """project_id, box, channel, signal, symbol: the last link of each signal."""
-    parsed = files.where("ext in ('xti', 'tsproj')").select("project_id", "path", F.explode(F.from_xml(fx.safe_xml(F.col("content")), XTI, {"mode": "PERMISSIVE"}).Mappings.OwnerA.OwnerB).alias("o"))
-    each = parsed.select("project_id", "path", F.col("o._Name").alias("owner"), F.posexplode("o.Link").alias("seq", "l"))
-    parts = F.split("l._VarA", r"\^")
-    symbol = F.element_at(F.split("l._VarB", r"\^"), -1)
-    rows = each.select("project_id", "path", "seq", F.regexp_extract("owner", r"([^\^]*)$", 1).alias("box"), F.get(parts, F.lit(0)).alias("channel"), F.get(parts, F.lit(1)).alias("signal"), symbol.alias("symbol"))
-    return rows.groupBy("project_id", "box", "channel", "signal").agg(F.max_by("symbol", F.struct("path", "seq")).alias("symbol"))
+def links(files: DataFrame, box: DataFrame) -> DataFrame:
+    """project_id, box, channel, signal, symbol: the last link of each signal, .xti files first.
+
+    A link's own side is a path. Where it begins with the name of a box that the project has,
+    that is the box; else the path is within its file's box, if the file has one alone. Other
+    links name no box and are left out, as are those of a whole channel."""
+    found = F.regexp_extract_all(fx.safe_xml(F.col("content")), F.lit(r"<Link\s[^<>]*+>"), F.lit(0))
+    closed = F.array_join(F.transform(found, lambda x: F.concat(F.rtrim(x, F.lit("/>")), F.lit("/>"))), "")
+    parsed = files.where("ext in ('xti', 'tsproj')").select("project_id", "path", (F.col("ext") == "tsproj").alias("late"), F.from_xml(F.concat(F.lit("<r>"), closed, F.lit("</r>")), LINKS, {"mode": "PERMISSIVE"}).Link.alias("links"))
+    part, other = F.split("l._VarA", r"\^"), F.split("l._VarB", r"\^")
+    each = parsed.select("project_id", "path", "late", F.posexplode("links").alias("seq", "l")).where(F.col("l._VarB") != "")
+    symbol = F.array_join(F.when((F.size(other) >= 2) & F.lower(other[0]).startswith("plctask"), F.slice(other, 2, 1 << 30)).otherwise(other), ".")
+    each = each.select("project_id", "path", "late", "seq", part.alias("part"), symbol.alias("symbol")).where("size(part) >= 2").withColumn("first_lc", F.lower(F.col("part")[0]))
+    known = box.groupBy("project_id", F.lower("box").alias("first_lc")).agg(F.min("box").alias("known"))
+    alone = box.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("n"), F.min("box").alias("alone")).where("n = 1")
+    rows = each.join(known, ["project_id", "first_lc"], "left").join(alone, ["project_id", "path"], "left")
+    skip = F.when(F.col("known").isNotNull(), 1).otherwise(0)
+    rows = rows.select("project_id", "path", "late", "seq", F.coalesce("known", "alone").alias("box"), F.get("part", skip).alias("channel"), F.array_join(F.slice("part", skip + 2, F.size("part")), "^").alias("signal"), "symbol").where("box is not null and signal <> ''")
+    return rows.groupBy("project_id", "box", "channel", "signal").agg(F.max_by("symbol", F.struct("late", F.lower("path"), "path", "seq")).alias("symbol"))
 
 
 def unified(channel: DataFrame, link: DataFrame, mapped: DataFrame, variable: DataFrame, all_variable: DataFrame) -> DataFrame:

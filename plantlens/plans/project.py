@@ -127,7 +127,17 @@ class Project:
 
     @cached_property
     def states(self) -> DataFrame:
-        return statemachines.flagged(statemachines.states(self.case_lines, self.enum_values))
+        return statemachines.flagged(statemachines.states(self.case_lines, self.enum_values), self.machines)
+
+    @cached_property
+    def machines(self) -> DataFrame:
+        """The machines of every unit, with what they were constructed with."""
+        return statemachines.machines(self.selectors, statemachines.wrappers(self.all_variables), self.pous, self.enum_values)
+
+    @cached_property
+    def machine_instances(self) -> DataFrame:
+        """The machines of every instance of the tree."""
+        return statemachines.of_instances(self.machines, self.tree)
 
     @cached_property
     def transitions(self) -> DataFrame:
@@ -137,9 +147,14 @@ class Project:
     def io_map(self) -> DataFrame:
         return io.io_map(self.variables, self.all_variables)
 
+    @cached_property
+    def all_boxes(self) -> DataFrame:
+        """The boxes of every hardware file, nested ones too."""
+        return cut(io.boxes(self.files))
+
     @cached_property
     def boxes(self) -> DataFrame:
-        return io.merged_boxes(io.boxes(self.files))
+        return io.merged_boxes(self.all_boxes)
 
     @cached_property
     def channels(self) -> DataFrame:
@@ -147,7 +162,7 @@ class Project:
 
     @cached_property
     def unified_io(self) -> DataFrame:
-        return io.unified(self.channels, io.links(self.files), self.io_map, self.variables, self.all_variables)
+        return io.unified(self.channels, io.links(self.files, self.all_boxes), self.io_map, self.variables, self.all_variables)
 
     @cached_property
     def calls(self) -> DataFrame:

@@ -62,7 +62,7 @@ def dut_enum_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""SELECT 'Objects' AS name, true AS qualified_only, count(*) AS n_variables FROM region
-  UNION ALL SELECT 'GVL_IO' || (event_id % 16), false, count(*) FROM events GROUP BY event_id % 16""")
+  UNION ALL SELECT 'GVL_IO' || (event_id // 1000), false, count(*) FROM events GROUP BY event_id // 1000""")
 def gvl_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Project(v.plant(spark, sf_dir).union(v.io_files(spark, sf_dir)).where("ext = 'tcgvl'"))
     n = p.variables.groupBy(F.col("owner_lc").alias("name_lc")).agg(F.count(F.lit(1)).alias("n_variables"))
@@ -159,10 +159,24 @@ def sm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Project(v.machines(spark, sf_dir)).states.select("pou", "state", "value", "has_branch")
 
 
+@_query(f"""WITH c AS ({_CHANGE}), e AS (SELECT o_custkey, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) AS first, max(o_orderstatus) AS last FROM orders GROUP BY 1), s AS (SELECT DISTINCT o_orderstatus AS s FROM orders)
+  , w AS (SELECT o_custkey AS k, a, count(*) AS n FROM c GROUP BY ALL)
+  SELECT 'W' || o_custkey AS path, 'smOrders' AS selector, 'Orders of ' || o_custkey AS display_name, 'E_OrderStatus' AS enum_type, s AS state, s = first AS is_initial, s = last AS is_transition, coalesce(n, 0) AS n_ways,
+    CASE WHEN n > 0 AND o_custkey % 3 <> 0 THEN 'T#' || (o_custkey % 50) || 's' END AS timeout
+  FROM e CROSS JOIN s LEFT JOIN w ON o_custkey = k AND s = a WHERE o_custkey IN (SELECT k FROM w)""")
+def sm_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The machines of instances by state: what begins them, the ways out and their timeouts."""
+    p = Project(v.placed_machines(spark, sf_dir))
+    keys = ["project_id", "pou", "selector"]
+    ways = p.transitions.groupBy(*keys, F.col("from_state").alias("state")).agg(F.count(F.lit(1)).alias("n_ways"), F.max("timeout").alias("timeout"))
+    state = p.states.join(ways, [*keys, "state"], "left").select(*keys, "state", "is_initial", "is_transition", F.coalesce("n_ways", F.lit(0)).alias("n_ways"), "timeout")
+    return p.machine_instances.join(state, keys).select("path", "selector", "display_name", "enum_type", "state", "is_initial", "is_transition", "n_ways", "timeout")
+
+
 _AT = "CASE WHEN event_type IN ('view', 'click') THEN 'Input' WHEN event_type IN ('purchase', 'error') THEN 'Output' ELSE 'Memory' END"
 
 
-@_query(f"SELECT 'GVL_IO' || (event_id % 16) AS source, 'ev' || event_id AS variable, {_AT} AS direction FROM events")
+@_query(f"SELECT 'GVL_IO' || (event_id // 1000) AS source, 'ev' || event_id AS variable, {_AT} AS direction FROM events")
 def io_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Project(v.io_files(spark, sf_dir)).io_map.select("source", "variable", "direction")
 
@@ -180,12 +194,19 @@ def hw_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Project(v.io_files(spark, sf_dir)).channels.select("box", "channel", "data_type", "bits", "direction", "ord")
 
 
+@_query("""WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, CASE WHEN user_id % 4 = 3 THEN user_id END AS alone, row_number() OVER (PARTITION BY user_id // 4, user_id % 4 = 3 ORDER BY user_id) AS level, lag(user_id) OVER (PARTITION BY user_id // 4, user_id % 4 = 3 ORDER BY user_id) AS up FROM u)
+  SELECT 'Box' || user_id AS box, level::INT AS level, 'Box' || up AS parent FROM n""")
+def hw_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of hardware files at any depth, with the boxes that hold them."""
+    return Project(v.io_files(spark, sf_dir)).all_boxes.select("box", F.col("level").cast("int").alias("level"), "parent")
+
+
 _PERCENT = "CASE WHEN event_type IN ('view', 'click') THEN '%I*' WHEN event_type IN ('purchase', 'error') THEN '%Q*' ELSE '%M*' END"
-_SYMBOL = "'GVL_IO' || (event_id % 16) || '.ev' || event_id"
+_SYMBOL = "'GVL_IO' || (event_id // 1000) || '.ev' || event_id"
 _UNIFIED = f"""WITH u AS ({_USER})
-  SELECT 'linked' AS row_kind, {_SYMBOL} AS variable, 'BOOL' AS data_type, {_PERCENT} AS address, {_AT} AS direction, 'EL1008' AS sku, 'Box' || u.user_id AS box, u.event_type AS channel, 'Input' AS signal, '#x6000' AS coe_index, '' AS comment, 'Box' || u.user_id || '.xti' AS provenance
+  SELECT 'linked' AS row_kind, {_SYMBOL} AS variable, 'BOOL' AS data_type, {_PERCENT} AS address, {_AT} AS direction, 'EL1008' AS sku, 'Box' || u.user_id AS box, u.event_type AS channel, 'Input' AS signal, '#x6000' AS coe_index, '' AS comment, 'Boxes' || (u.user_id // 4) || CASE WHEN u.user_id % 4 = 3 THEN 'b' ELSE '' END || '.xti' AS provenance
   FROM u JOIN (SELECT event_id, event_type FROM events) e(event_id, kind) ON linked = event_id
-  UNION ALL SELECT 'unused-channel', '', 'BOOL', '', 'Input', 'EL1008', 'Box' || user_id, event_type, 'Input', '#x6000', '', 'Box' || user_id || '.xti' FROM u WHERE linked IS NULL AND least < 50
+  UNION ALL SELECT 'unused-channel', '', 'BOOL', '', 'Input', 'EL1008', 'Box' || user_id, event_type, 'Input', '#x6000', '', 'Boxes' || (user_id // 4) || CASE WHEN user_id % 4 = 3 THEN 'b' ELSE '' END || '.xti' FROM u WHERE linked IS NULL AND least < 50
   UNION ALL SELECT 'software-only', {_SYMBOL}, 'BOOL', {_PERCENT}, {_AT}, '', '', '', '', '', '', 'PLC declaration (no hardware link)' FROM events WHERE event_id NOT IN (SELECT linked FROM u WHERE linked IS NOT NULL)"""
 
 
@@ -199,7 +220,7 @@ def unified_io_rowkinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Project(v.io_files(spark, sf_dir)).unified_io.groupBy("row_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("SELECT symbol, 'BOOL' AS data_type FROM (SELECT 'GVL_IO' || (event_id % 16) || '.ev' || event_id AS symbol FROM events) ORDER BY lower(symbol) LIMIT 10")
+@_query("SELECT symbol, 'BOOL' AS data_type FROM (SELECT 'GVL_IO' || (event_id // 1000) || '.ev' || event_id AS symbol FROM events) ORDER BY lower(symbol) LIMIT 10")
 def fingerprint_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.fingerprint_symbols(Project(v.io_files(spark, sf_dir)).variables).select("symbol", "data_type")
 

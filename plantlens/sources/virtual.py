@@ -7,7 +7,7 @@ one key of a table, as a source file does.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantlens.operators import packml
@@ -122,8 +122,6 @@ def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as units with a state machine over the changes of their orders' status."""
-    from pyspark.sql import Window
-
     o = _t(spark, sf_dir, "orders")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     change = o.select("o_custkey", F.lag("o_orderstatus").over(w).alias("a"), F.col("o_orderstatus").alias("b")).where("a <> b").distinct()
@@ -152,9 +150,11 @@ def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select(*pou_file(name, F.concat(F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR_INPUT\n"), declared, F.lit("END_VAR\n")), body, handlers))
 
 
-def io_files(spark: SparkSession, sf_dir: str, lists: int = 16) -> DataFrame:
-    """Events as bound variables of `lists` lists, and users as hardware boxes with links."""
-    e = _t(spark, sf_dir, "events").withColumn("g", F.col("event_id") % lists)
+def io_files(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+    """Events as bound variables, `size` of them in a list, and users as hardware boxes with
+    links. Each file holds three boxes, one within the other, its links name their box; every
+    fourth box has a file of its own, whose links don't."""
+    e = _t(spark, sf_dir, "events").withColumn("g", F.expr(f"event_id div {size}"))
     at = F.when(F.col("event_type").isin("view", "click"), "%I*").when(F.col("event_type").isin("purchase", "error"), "%Q*").otherwise("%M*")
     decl = _joined(e, "g", "event_id", F.concat(F.lit("\tev"), "event_id", F.lit(" AT "), at, F.lit(" : BOOL;\n")), "x")
     name = F.concat(F.lit("GVL_IO"), "g")
@@ -162,13 +162,39 @@ def io_files(spark: SparkSession, sf_dir: str, lists: int = 16) -> DataFrame:
     kind = e.groupBy("user_id", "event_type").agg(F.max(F.when(F.col("value") >= 250, F.struct("event_id", "g"))).alias("on"), F.min("value").alias("least"))
     entry = F.concat(F.lit('<Pdo Name="'), "event_type", F.lit('" Index="#x1A00" InOut="0"><Entry Name="Input" Index="#x6000" Sub="1"><Type>'), F.when(F.col("least") < 50, "BOOL").otherwise("INT"), F.lit("</Type></Entry></Pdo>"))
     pdos = _joined(kind, "user_id", "event_type", entry, "pdos")
-    link = F.concat(F.lit('<Link VarA="'), "event_type", F.lit('^Input" VarB="PlcTask Inputs^GVL_IO'), F.col("on.g"), F.lit(".ev"), F.col("on.event_id"), F.lit('"/>'))
+    box, nested = F.concat(F.lit("Box"), "user_id"), F.col("user_id") % 4 != 3
+    link = F.concat(F.lit('<Link VarA="'), F.when(nested, F.concat(box, F.lit("^"))).otherwise(""), "event_type", F.lit('^Input" VarB="PlcTask Inputs^GVL_IO'), F.col("on.g"), F.lit(".ev"), F.col("on.event_id"), F.lit('"/>'))
     links = _joined(kind.where("on is not null"), "user_id", "event_type", link, "links")
-    box = F.concat(F.lit("Box"), "user_id")
+    opened = F.concat(F.lit("<Box><Name>"), box, F.lit('</Name><EtherCAT Type="EL1008" Desc="EL1008" ProductCode="1">'), "pdos", F.lit("</EtherCAT>"))
+    each = pdos.join(links, "user_id", "left").select("user_id", opened.alias("opened"), F.coalesce("links", F.lit("")).alias("links"), F.concat(F.lit("Boxes"), F.expr("user_id div 4"), F.when(nested, "").otherwise("b")).alias("file"))
+    file = each.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("user_id", "opened", "links"))).alias("x"))  # three boxes at most
     content = F.concat(
-        F.lit("<TcSmItem><Box><Name>"), box, F.lit('</Name><EtherCAT Type="EL1008" Desc="EL1008" ProductCode="1">'), "pdos", F.lit('</EtherCAT></Box><Mappings><OwnerA><OwnerB Name="TIID^Device 1^'), box, F.lit('">'), F.coalesce("links", F.lit("")), F.lit("</OwnerB></OwnerA></Mappings></TcSmItem>")
-    )
-    return gvl.union(pdos.join(links, "user_id", "left").select(*_file(box, "xti", content)))
+        F.lit("<TcSmItem>"), F.array_join(F.transform("x", lambda x: x.opened), ""), F.repeat(F.lit("<After/></Box>"), F.size("x")), F.lit('<Mappings><OwnerA><OwnerB Name="TIID^Device 1">'), F.array_join(F.transform("x", lambda x: x.links), ""),
+        F.lit("</OwnerB></OwnerA></Mappings></TcSmItem>"),
+    )
+    return gvl.union(file.select(*_file(F.col("file"), "xti", content)))
+
+
+def placed_machines(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+    """Customers as units with a wrapped machine over the changes of their orders' status: it
+    begins with the first status, its transition state is the last by name; each instance is
+    placed in one of the root lists of up to `size` instances."""
+    o = _t(spark, sf_dir, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    change = o.select("o_custkey", F.lag("o_orderstatus").over(w).alias("a"), F.col("o_orderstatus").alias("b")).where("a <> b").distinct()
+    state, key = lambda c: F.concat(F.lit("E_OrderStatus."), c), F.col("o_custkey")
+    wait = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit(", TimeoutNext := T#"), key % 50, F.lit("s")))
+    goto = F.concat(F.lit("\tsmOrders.GotoState(StateNext := "), state(F.col("b")), wait, F.lit(");\n"))
+    lines = change.groupBy("o_custkey", "a").agg(F.array_join(F.array_sort(F.collect_list(goto)), "").alias("x"))
+    body = _joined(lines, "o_custkey", "a", F.concat(state(F.col("a")), F.lit(":\n"), "x"), "body")
+    ends = o.groupBy("o_custkey").agg(F.min_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("first"), F.max("o_orderstatus").alias("last"))
+    name = F.concat(F.lit("FB_W"), key)
+    decl = F.concat(F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR\n\tsmOrders : DM_StateMachine('Orders of "), key, F.lit("', "), state(F.col("first")), F.lit(", "), state(F.col("last")), F.lit(");\nEND_VAR\n"))
+    units = body.join(ends, "o_custkey").select(*pou_file(name, decl, F.concat(F.lit("CASE smOrders.State OF\n"), "body", F.lit("END_CASE\n"))))
+    placed = _joined(body.withColumn("g", F.expr(f"o_custkey div {size}")), "g", "o_custkey", F.concat(F.lit("\tW"), key, F.lit(" : "), name, F.lit(";\n")), "x")
+    root = F.concat(F.lit("Objects"), "g")
+    roots = placed.select(*_file(root, "TcGVL", F.concat(F.lit('<TcPlcObject><GVL Name="'), root, F.lit('">'), _cdata("Declaration", F.concat(F.lit("VAR_GLOBAL\n"), "x", F.lit("END_VAR\n"))), F.lit("</GVL></TcPlcObject>"))))
+    return units.union(roots).union(machines(spark, sf_dir).where("ext = 'tcdut'"))
 
 
 def library_file(spark: SparkSession, sf_dir: str) -> DataFrame:

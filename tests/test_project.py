@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plantlens.operators import alarms, callgraph, closure, compliance, declarations, statemachines
+from plantlens.operators import alarms, callgraph, closure, compliance, declarations, io, statemachines
 from plantlens.plans import store
 from plantlens.plans.project import Project
 from plantlens.sources import files as source
@@ -157,3 +157,41 @@ def test_streamed_sources(spark, tmp_path):
 def test_enum_members(project):
     assert [(r.name, r.value, r.comment) for r in project.enum_values.orderBy("ord").collect()] == [("Idle", "0", "rest"), ("Run", None, None), ("Fault", "9", None)]
     assert declarations.actions(project.pous).count() == 0 and project.coverage().where(F.col("kind") == "method").first().captured == 2
+
+
+def test_boxes_at_any_depth_and_their_links(spark):
+    box = lambda name, sku, inner="": f'<Box Id="1"><Name>{name}</Name><EtherCAT Type="{sku}"><Pdo Name="Ch {name}" InOut="0"><Entry Name="In &amp; out" Index="#x6000"><Type>BOOL</Type></Entry></Pdo></EtherCAT>{inner}<Tail/></Box>'
+    link = lambda a, b: f'<Link VarA="{a}" VarB="{b}"/>'
+    deep = f'<Root><Device><Box/>{box("A", "EK1100", box("B", "EL1008", box("C", "EL1904")) + box("D", "EL2008"))}</Device>{box("E", "EL9011")}<Mappings><OwnerB>{link("B^Ch B^In &amp; out", "PlcTask Inputs^CM_X.bIn")}{link("c^Ch C^In &amp; out", "a^b")}{link("Ch D^In &amp; out", "PlcTask^nobody")}{link("D^Ch D", "PlcTask^whole")}</OwnerB></Mappings></Root>'
+    alone = f'<Root>{box("__FILENAME__", "EL3001")}<Mappings>{link("Ch __FILENAME__^In &amp; out", "PlcTask Outputs^x")}{link("B^Ch B^In &amp; out", "PlcTask^first")}</Mappings></Root>'
+    late = f'<Root><OwnerA>{link("B^Ch B^In &amp; out", "PlcTask^last")}</OwnerA><OwnerA>{link("Z^Ch^s", "y")}{link("B", "y")}</OwnerA></Root>'
+    files = spark.createDataFrame([("p", "h/deep.xti", "xti", deep), ("p", "h/Alone.xti", "xti", alone), ("p", "p.tsproj", "tsproj", late), ("q", "h/none.xti", "xti", "<Root/>"), ("q", "h/bad.xti", "xti", "</Box><Box><Name>open")], "project_id string, path string, ext string, content string")
+    p = Project(files)
+    got = {r.box: (r.parent, r.level, r.sku, r.is_coupler, r.is_safety) for r in p.all_boxes.where("project_id = 'p' and box <> 'deep'").collect()}
+    assert got == {"A": (None, 1, "EK1100", True, False), "B": ("A", 2, "EL1008", False, False), "C": ("B", 3, "EL1904", False, True), "D": ("A", 2, "EL2008", False, False), "E": (None, 1, "EL9011", False, False), "Alone": (None, 1, "EL3001", False, False)}
+    links = {(r.box, r.channel, r.signal): r.symbol for r in io.links(files, p.all_boxes).collect()}
+    assert links == {("B", "Ch B", "In & out"): "last", ("C", "Ch C", "In & out"): "a.b", ("Alone", "Ch __FILENAME__", "In & out"): "x"}
+    assert {r.channel for r in p.channels.collect()} == {f"Ch {x}" for x in ("A", "B", "C", "D", "E", "__FILENAME__")}
+
+
+def test_machines_of_instances(spark):
+    enum = ("p", "E_S.TcDUT", "tcdut", "<TcPlcObject><DUT Name=\"E_S\"><Declaration><![CDATA[TYPE E_S :\n(\n\tInit := 0,\n\tRun := 1,\n\tTimeoutFault := 2\n);\nEND_TYPE]]></Declaration></DUT></TcPlcObject>")
+    gvl = ("p", "Objects.TcGVL", "tcgvl", '<TcPlcObject><GVL Name="Objects"><Declaration><![CDATA[VAR_GLOBAL\n\tA : FB_M;\n\tB : FB_M;\n\tC : FB_D;\nEND_VAR]]></Declaration></GVL></TcPlcObject>')
+    code = "sm.GotoState(StateNext := E_S.Init);\nCASE sm.State OF\nsm.GotoState(StateNext := E_S.Init);\nE_S.Init:\n\tsm.GotoState(StateNext := E_S.Run, TimeoutNext := T_Wait(1, 2) + T#2s); other.GotoState(StateNext := E_S.Init);\n\tsm.GotoState( StateNext:=E_S.TimeoutFault );\nEND_CASE\nCASE eOwn OF\nE_S.Init:\n\teOwn := E_S.Run;\nE_S.Run:\nEND_CASE\n"
+    units = [unit("FB_M", "FUNCTION_BLOCK FB_M\nVAR\n\tsm : DM_StateMachine('Main one', E_S.Init, E_S.Run);\n\teOwn : E_S;\n\tidle : DM_StateMachine('Without a case', E_S.Run);\n\tlost : DM_StateMachine('No states');\nEND_VAR\n", code)]
+    units += [unit("FB_D", "FUNCTION_BLOCK FB_D\nVAR\n\teZ : E_S;\n\teA : E_S;\nEND_VAR\n", "CASE eZ OF\nE_S.Init:\n\teZ := E_S.Run;\nEND_CASE\nCASE eA OF\nE_S.Run:\n\teA := E_S.Init;\nEND_CASE\n")]
+    p = Project(spark.createDataFrame([("p", *r[1:]) for r in units] + [enum, gvl], "project_id string, path string, ext string, content string"))
+    got = sorted((r.path, r.selector, r.kind, r.display_name, r.enum_type, r.initial_state, r.transition_state) for r in p.machine_instances.collect())
+    of_m = [("idle", "wrapped", "Without a case", "E_S", "E_S.Run", None), ("sm", "wrapped", "Main one", "E_S", "E_S.Init", "E_S.Run")]
+    assert got == [*[("A", *x) for x in of_m], *[("B", *x) for x in of_m], ("C", "eA", "direct", None, "E_S", None, None)]
+    moves = sorted((r.from_state, r.to_state, r.timeout or "") for r in p.transitions.where("selector = 'sm'").collect())
+    assert moves == [("?", "Init", ""), ("Init", "Run", "T_Wait(1, 2) + T#2s"), ("Init", "TimeoutFault", "")]
+    flags = {r.state: (r.is_initial, r.is_transition, r.is_error, r.is_timeout) for r in p.states.where("selector = 'sm'").collect()}
+    assert flags == {"Init": (True, False, False, False), "Run": (False, True, False, False), "TimeoutFault": (False, False, True, True)}
+
+
+def test_states_of_constructors_that_go_on(spark):
+    rows = [("p", "u", "sm", "sm", 0, 1, "DM_StateMachine('n',", None, None), ("p", "u", "initialstate", "InitialState", 0, 2, "= E_S.First,", None, None), ("p", "u", "transitionstate", "TransitionState", 0, 3, "= E_S.Second)", None, None), ("p", "v", "sm", "sm", 0, 1, "DM_StateMachine", None, None)]
+    df = spark.createDataFrame(rows, "project_id string, pou_lc string, name_lc string, name string, ord_level int, ord int, data_type string, constructor_args string, initial_value string")
+    got = {r.pou_lc: (r.display_name, r.initial_state, r.transition_state, r.enum_type) for r in statemachines.wrappers(df).collect()}
+    assert got == {"u": ("n", "E_S.First", "E_S.Second", "E_S"), "v": (None, None, None, None)}
