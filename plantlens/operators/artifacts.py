@@ -55,19 +55,6 @@ def safety(files: DataFrame) -> DataFrame:
     return files.where(ours).select("project_id", "path", kind.alias("category"), status.alias("status"), count_of("Network").alias("n_networks"), count_of("functionBlocks").alias("n_blocks"), count_of("inPort").alias("n_in"), count_of("outPort").alias("n_out"), count_of(r"\w*Shape").alias("n_shapes"), count_of("IO").alias("n_io"))
 
 
-def drive_sections(files: DataFrame) -> DataFrame:
-    """project_id, path, ord, depth, section, name of each opening element of a drive file
-    but its root: an adjacency list by depth, from a running count of opens and closes."""
-    from pyspark.sql import Window
-
-    tag = F.posexplode(F.regexp_extract_all("content", F.lit(r"(<[/\w][^>]*>)"), F.lit(1))).alias("ord", "tag")
-    x = files.where("ext = 'tcdmdrv'").select("project_id", "path", tag).where("tag not like '<?%' and tag not like '<!%'")
-    delta = F.when(F.col("tag").startswith("</"), -1).when(F.col("tag").endswith("/>"), 0).otherwise(1)
-    w = Window.partitionBy("project_id", "path").orderBy("ord")
-    x = x.withColumn("delta", delta).withColumn("depth", F.sum("delta").over(w) - F.when(F.col("delta") == 1, 1).otherwise(0))
-    return x.where("delta >= 0 and depth >= 1").select("project_id", "path", "ord", F.col("depth").cast("int").alias("depth"), F.regexp_extract("tag", r"^<([\w:.]+)", 1).alias("section"), F.nullif(F.regexp_extract("tag", r'(?i)\b(?:Name|Id)="([^"]*)"', 1), F.lit("")).alias("name"))
-
-
 def scopes(files: DataFrame) -> DataFrame:
     """project_id, path, signals (distinct, in order), and counts of what a scope file holds."""
     names = F.regexp_extract_all("content", F.lit(r"(?s)<AdsAcquisition\b.*?<Name>([^<]*)</Name>"), F.lit(1))

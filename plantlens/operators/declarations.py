@@ -127,6 +127,29 @@ BLOCK = r"(?i)^\s*(VAR(?:_INPUT|_OUTPUT|_IN_OUT|_STAT|_TEMP|_GLOBAL)?(?:\s+(?:CO
 CODE = r"^((?:[^'/]++|'[^']*+'|/(?!/))*+)"
 
 
+def brackets(text: Column) -> Column:
+    """open: where the first round bracket stands, close: where the one that ends it stands,
+    assign: where the first `:=` outside of all brackets stands; places count from 0, each is
+    null where there is none. Brackets may be as deep as they like: the text is cut at brackets
+    and assignments, and the running depth is folded over the pieces."""
+    piece = F.split(text, r"(?=[()])|(?<=[()])|(?=:=)")
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), none.alias("base"), none.alias("open"), none.alias("close"), none.alias("assign"))
+
+    def step(a: Column, x: Column) -> Column:
+        opens, closes = x == "(", x == ")"
+        depth = a.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
+        first = opens & a.open.isNull()
+        return F.struct(
+            depth.alias("depth"), (a.at + F.length(x)).alias("at"), F.when(first, a.depth).otherwise(a.base).alias("base"), F.when(first, a.at).otherwise(a.open).alias("open"),
+            F.when(closes & a.close.isNull() & (depth == a.base), a.at).otherwise(a.close).alias("close"), F.when(a.assign.isNull() & (a.depth == 0) & x.startswith(":="), a.at).otherwise(a.assign).alias("assign"),
+        )
+
+    found = F.aggregate(piece, start, step, lambda a: F.struct(a.open.alias("open"), a.close.alias("close"), a.assign.alias("assign")))
+    flat = F.struct(none.alias("open"), none.alias("close"), F.nullif(F.instr(text, ":=") - 1, F.lit(-1)).alias("assign"))
+    return F.when(text.contains("("), found).otherwise(flat)
+
+
 def variables(owners: DataFrame) -> DataFrame:
     """Variables of owners (project_id, owner_kind, owner, declaration): ord, name, data_type,
     scope, initial_value, comment, leading_comment, is_reference, is_pointer, is_array,
@@ -160,19 +183,19 @@ def variables(owners: DataFrame) -> DataFrame:
     name = F.regexp_extract(left, r"^([A-Za-z_]\w*)\s*(?i:AT\s+%.*)?$", 1)
     at = F.regexp_extract(left, r"(?i)\bAT\s+(%[IQM]\*?[\d.]*)", 1)
     found = found.withColumn("name", name).withColumn("at_binding", F.nullif(at, F.lit(""))).withColumn("right", right).where("name <> '' and right <> ''")
-    initial = F.when(F.col("right").startswith("="), F.lit(None)).otherwise(F.nullif(fx.strip(F.regexp_extract("right", r"^(?:[^(:]++|\([^)]*+\))*+:=(.*)$", 1)), F.lit("")))
-    typed = fx.strip(F.regexp_replace("right", r":=.*$", ""))
-    typed = F.when(F.col("right").rlike(r"^\w[\w.]*\s*\(.*\)\s*$"), fx.strip("right")).otherwise(typed)
-    found = found.withColumn("initial_value", F.when(~F.col("right").rlike(r"^\w[\w.]*\s*\(.*\)\s*$"), initial)).withColumn("typed", typed)
-    ref, ptr, arr = (F.col("typed").rlike(p) for p in (r"(?i)^REFERENCE\s+TO\b", r"(?i)^POINTER\s+TO\b", r"(?i)^ARRAY\s*\["))
-    bare = fx.strip(F.regexp_replace("typed", r"(?i)^(REFERENCE\s+TO|POINTER\s+TO|ARRAY\s*\[[^\]]*\]\s*OF)\s+", ""))
-    has_args = F.col("bare").rlike(r"^\w[\w.]*\s*\(.*\)$") & ~F.col("bare").rlike(r"(?i)^W?STRING\s*\(\s*\w+\s*\)$")
+    ref, ptr, arr = (F.col("right").rlike(p) for p in (r"(?i)^REFERENCE\s+TO\b", r"(?i)^POINTER\s+TO\b", r"(?i)^ARRAY\s*\["))
+    bare = fx.strip(F.regexp_replace("right", r"(?i)^(REFERENCE\s+TO|POINTER\s+TO|ARRAY\s*\[[^\]]*\]\s*OF)\s+", ""))
+    found = found.withColumn("bare", bare).withColumn("at", brackets(F.col("bare")))
+    is_text = F.col("bare").rlike(r"(?i)^W?STRING\s*\(\s*\w+\s*\)$")
+    valued, has_args = F.col("at.assign").isNotNull(), F.col("at.assign").isNull() & (F.col("at.open") > 0) & F.col("at.close").isNotNull() & ~is_text
+    piece = lambda start, end: fx.strip(F.substr("bare", start + 1, end - start))
+    typed = F.when(valued, piece(F.lit(0), F.col("at.assign"))).when(has_args, piece(F.lit(0), F.col("at.open"))).otherwise(F.col("bare"))
     remark = F.coalesce(F.nullif(fx.strip(F.regexp_extract("line", r"^(?:[^'/]++|'[^']*+'|/(?!/))*+//(.*)$", 1)), F.lit("")), F.nullif(fx.strip(F.regexp_extract("line", r"\(\*(.*?)\*\)", 1)), F.lit("")))
-    return found.withColumn("bare", bare).select(
+    return found.select(
         *key, F.lower("owner").alias("owner_lc"), F.col("ord").cast("int").alias("ord"), "name", F.lower("name").alias("name_lc"),
-        F.when(has_args, F.regexp_extract("bare", r"^(\w[\w.]*)", 1)).otherwise(F.col("bare")).alias("data_type"), "scope", "initial_value", remark.alias("comment"), "leading_comment",
-        ref.alias("is_reference"), ptr.alias("is_pointer"), arr.alias("is_array"), F.when(arr, F.regexp_extract("typed", r"\[([^\]]*)\]", 1)).alias("array_bounds"), "at_binding",
-        F.when(has_args, F.regexp_extract("bare", r"^\w[\w.]*\s*\((.*)\)$", 1)).alias("constructor_args"),
+        typed.alias("data_type"), "scope", F.when(valued, F.nullif(piece(F.col("at.assign") + 2, F.length("bare")), F.lit(""))).alias("initial_value"), remark.alias("comment"), "leading_comment",
+        ref.alias("is_reference"), ptr.alias("is_pointer"), arr.alias("is_array"), F.when(arr, F.regexp_extract("right", r"\[([^\]]*)\]", 1)).alias("array_bounds"), "at_binding",
+        F.when(has_args, piece(F.col("at.open") + 1, F.col("at.close"))).alias("constructor_args"),
     )
 
 

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, contracts, declarations, io, packml, statemachines
+from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, contracts, declarations, drives, io, packml, statemachines
 from plantlens.sources import files as source
 
 
@@ -172,6 +172,19 @@ class Project:
     def libraries(self) -> DataFrame:
         return artifacts.libraries(self.files)
 
+    @cached_property
+    def drive_rows(self) -> DataFrame:
+        return cut(drives.rows(self.files))
+
+    @cached_property
+    def drive_sections(self) -> DataFrame:
+        """What the drives' files hold as sections, with their paths."""
+        return cut(drives.sections(self.drive_rows))
+
+    @cached_property
+    def drive_parameters(self) -> DataFrame:
+        return drives.parameters(self.drive_rows, self.drive_sections)
+
     @cached_property
     def unit_rules(self) -> DataFrame:
         """Rules on what a unit itself holds."""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as fx
-from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, declarations, io, packml
+from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, declarations, drives, io, packml
 from plantlens.plans.project import Project
 from plantlens.sources import files as source
 from plantlens.sources import virtual as v
@@ -350,3 +350,41 @@ def packml_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_PACKML} SELECT 'FB_M' || k AS pou, section, item, required, present, calls_parent FROM e""")
 def packml_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Project(v.packaged(spark, sf_dir)).packml_entries.select("pou", "section", "item", "required", "present", "calls_parent")
+
+
+_DRIVE = """SELECT 'Drive' || user_id || '.tcdmdrv' AS path, user_id, event_type, count(*) AS n, CASE user_id % 5 WHEN 0 THEN 'Channel: ' || min(event_type) OVER (PARTITION BY user_id) ELSE 'Channel C' || (user_id % 3) END AS channel
+  FROM events GROUP BY user_id, event_type"""
+
+
+@_query(f"""WITH d AS ({_DRIVE}) SELECT DISTINCT path, channel AS section_path, 1 AS level, CASE user_id % 5 WHEN 0 THEN '' ELSE 'ChnId=C' || (user_id % 3) END AS attributes FROM d WHERE user_id % 7 <> 3
+  UNION ALL SELECT path, channel || '/Group: ' || event_type, 2, '' FROM d WHERE user_id % 7 <> 3
+  UNION ALL SELECT path, channel || '/Group: ' || event_type || '/Block ' || n, 3, 'Id=' || n FROM d WHERE user_id % 7 <> 3""")
+def drive_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Project(v.drive_files(spark, sf_dir)).drive_sections.select("path", "section_path", "level", F.array_join("attributes", ", ").alias("attributes"))
+
+
+@_query(f"""WITH d AS ({_DRIVE}), g AS (SELECT *, channel || '/Group: ' || event_type AS s FROM d WHERE user_id % 7 <> 3) SELECT path, s AS section_path, 0 AS ord, 'Name' AS name, event_type AS value FROM g
+  UNION ALL SELECT path, s, 1, 'count', n::VARCHAR FROM g UNION ALL SELECT path, s || '/Block ' || n, 0, 'Limit', '<' || (n * 2) FROM g""")
+def drive_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Project(v.drive_files(spark, sf_dir)).drive_parameters.select("path", "section_path", "ord", "name", "value")
+
+
+@_query("""SELECT 'Drive' || user_id || '.tcdmdrv' AS path, CASE WHEN c THEN 'Drive' ELSE 'Drive ' END || user_id AS name, CASE WHEN c THEN 'ParseFailed' ELSE 'Parsed' END AS status, CASE WHEN NOT c THEN user_id::VARCHAR END AS item_id,
+  CASE WHEN NOT c THEN 'AX' || user_id END AS order_code, CASE WHEN NOT c THEN 'TIID^Drive ' || user_id END AS io_item_path, CASE WHEN NOT c THEN '../line/' || user_id || '.tsproj' END AS project_path
+  FROM (SELECT DISTINCT user_id, user_id % 7 = 3 AS c FROM events)""")
+def drive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drives.drives(v.drive_files(spark, sf_dir)).select("path", "name", "status", "item_id", "order_code", "io_item_path", "project_path")
+
+
+@_query("""SELECT 'Drives' || (user_id // 100) AS name, '2.0' AS schema_version, count(*)::INT AS n_included, count_if(user_id % 2 = 0)::INT AS n_dependents, string_agg('Sub/Drive' || user_id || '.tcdmdrv', ',' ORDER BY user_id) AS related
+  FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id // 100""")
+def drive_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drives.projects(v.drive_files(spark, sf_dir)).select("name", "schema_version", F.col("n_included").cast("int").alias("n_included"), F.col("n_dependents").cast("int").alias("n_dependents"), F.array_join("related", ",").alias("related"))
+
+
+@_query("""SELECT 'FB_K' || p_partkey AS owner, 'fbSize' AS name, 'FB_Size' AS data_type, 'nSize := MAX(MIN(ABS(-(' || p_size || ')), 99), 1), nKey := ' || p_partkey AS constructor_args, NULL::VARCHAR AS initial_value, NULL::VARCHAR AS array_bounds FROM part
+  UNION ALL SELECT 'FB_K' || p_partkey, 'rRate', 'LREAL', NULL, 'SCALE((nA + 1) * (' || p_partkey || '), 2)', NULL FROM part
+  UNION ALL SELECT 'FB_K' || p_partkey, 'aRows', 'FB_Row', 'nRow := (1 + (2))', NULL, '0..(' || p_partkey || ')' FROM part
+  UNION ALL SELECT 'FB_K' || p_partkey, 'sText', 'STRING(' || p_partkey || ')', NULL, 'CONCAT(''a'', UPPER(''b''))', NULL FROM part""")
+def constructed_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Project(v.constructed(spark, sf_dir)).variables.select("owner", "name", "data_type", "constructor_args", "initial_value", "array_bounds")

@@ -202,3 +202,35 @@ def library_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.concat(F.lit('<PlaceholderReference Include="Lib'), "n_nationkey", F.lit('"><DefaultResolution>Lib'), "n_nationkey", F.lit(", 1."), "n_nationkey", F.lit(".0 (Vendor"), "n_regionkey", F.lit(")</DefaultResolution><Namespace>NS"), "n_nationkey", F.lit("</Namespace></PlaceholderReference>"))
     one = n.withColumn("one", F.lit(1))
     return _joined(one, "one", "n_nationkey", ref, "x").select(*_file(F.lit("Virtual"), "plcproj", F.concat(F.lit("<Project><PropertyGroup><RootNamespace>Virtual</RootNamespace></PropertyGroup><ItemGroup>"), "x", F.lit("</ItemGroup></Project>"))))
+
+
+def drive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as drives: a channel with a group and a block for each kind of their events. Every
+    fifth channel has no id; every seventh file is cut. Projects list up to 100 drives each."""
+    u = F.col("user_id")
+    kind = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    one = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    group = F.concat(
+        F.lit("<Group><!-- <Group> -->"), one("Name", F.col("event_type")), F.lit("<Parameter><PropertyName>count</PropertyName><Value>"), F.col("n"), F.lit("</Value></Parameter><Unused><Void/></Unused>"),
+        F.lit('<d:Block Id="'), F.col("n"), F.lit('" Note="">'), one("Limit", F.concat(F.lit("&lt;"), F.col("n") * 2)), F.lit("</d:Block><SerialNr><Block Id='9'/></SerialNr></Group>"),
+    )
+    drive = F.concat(F.lit('<TcDMDrive><OrderCode>AX'), u, F.lit("</OrderCode><Name>Axis</Name><Channel ChnId=\""), F.when(u % 5 == 0, "").otherwise(F.concat(F.lit("C"), u % 3)), F.lit('">'), F.col("groups"), F.lit("</Channel><Idle><Mode></Mode></Idle></TcDMDrive>"))
+    link = F.concat(F.lit("<TcLink>"), one("TcPrjPath", F.concat(F.lit("..\\line\\"), u, F.lit(".tsproj"))), one("IoItemPathName", F.concat(F.lit("TIID^Drive "), u)), F.lit("</TcLink>"))
+    content = F.concat(F.lit('<?xml version="1.0"?>\n<Item xmlns:d="urn:d">'), one("ItemName", F.concat(F.lit("Drive "), u)), one("ItemId", u), drive, link, F.when(u % 7 == 3, "").otherwise("</Item>"))
+    drives = _joined(kind, "user_id", "event_type", group, "groups").select("user_id", content.alias("content"))
+    files = drives.select(*_file(F.concat(F.lit("Drive"), u), "tcdmdrv", F.col("content")))
+    entry = F.concat(F.lit('<Content Include="Sub\\Drive'), u, F.lit('.tcdmdrv">'), F.when(u % 2 == 0, F.concat(F.lit("<DependentUpon>P.tcdmproj</DependentUpon><IoItemPathName>TIID^"), u, F.lit("</IoItemPathName>"))).otherwise(""), F.lit("</Content>"))
+    project = _joined(kind.select("user_id", F.expr("user_id div 100").alias("g")).distinct(), "g", "user_id", entry, "x")
+    return files.union(project.select(*_file(F.concat(F.lit("Drives"), "g"), "tcdmproj", F.concat(F.lit("<Project><SchemaVersion>2.0</SchemaVersion>"), "x", F.lit("</Project>")))))
+
+
+def constructed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as units whose variables have constructors and values with brackets in brackets."""
+    p = _t(spark, sf_dir, "part")
+    k, name = F.col("p_partkey"), F.concat(F.lit("FB_K"), "p_partkey")
+    line = lambda *parts: F.concat(F.lit("\t"), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit(";\n"))
+    decl = F.concat(
+        F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR\n"), line("fbSize : FB_Size(nSize := MAX(MIN(ABS(-(", F.col("p_size"), ")), 99), 1), nKey := ", k, ")"),
+        line("rRate : LREAL := SCALE((nA + 1) * (", k, "), 2)"), line("aRows : ARRAY [0..(", k, ")] OF FB_Row(nRow := (1 + (2)))"), line("sText : STRING(", k, ") := CONCAT('a', UPPER('b'))"), F.lit("END_VAR\n"),
+    )
+    return p.select(*pou_file(name, decl, F.lit("")))
