@@ -46,9 +46,12 @@ def top_edges(edge: DataFrame, n: int = TOP_EDGES) -> DataFrame:
 
 
 def from_root(edge: DataFrame, root: str, folder: str) -> DataFrame:
-    """The edges both of whose ends `root` reaches."""
+    """The edges both of whose ends `root` reaches, within each project where edges have one."""
     seen = closure.reachable(edge, root, folder)
-    return edge.join(seen.withColumnRenamed("name_lc", "a"), F.lower("source") == F.col("a"), "left_semi").join(seen.withColumnRenamed("name_lc", "b"), F.lower("target") == F.col("b"), "left_semi")
+    for end in ("source", "target"):
+        here = edge.withColumn("name_lc", F.lower(end))
+        edge = here.join(seen, seen.columns, "left_semi").drop("name_lc")
+    return edge
 
 
 def mermaid(edge: DataFrame, n: int = TOP_EDGES) -> DataFrame:

@@ -87,18 +87,32 @@ def object_tree(gvl: DataFrame, variable: DataFrame, all_variable: DataFrame, po
     return tree.withColumn("layer", fx.layer(F.col("type_name")))
 
 
-def reachable(edge: DataFrame, root: str, folder: str, rounds: int = 1000) -> DataFrame:
-    """name_lc of everything that calls lead to from `root`, itself included. Each round's
-    frontier is written below `folder`, and no round visits what an earlier one did."""
+def reached(edge: DataFrame, root: DataFrame, folder: str, rounds: int = 1000) -> DataFrame:
+    """project_id, root_lc, name_lc of everything that calls lead to within a project from each
+    of `root` (project_id, root), roots included, whether the project has them or not.
+
+    One loop serves all roots of all projects. Each round's frontier is written below `folder`,
+    and no round visits what an earlier one did for the same root. More than `rounds` rounds
+    are an error, as what is further away would be lost."""
     spark = edge.sparkSession
     base = f"{folder.rstrip('/')}/reach-{uuid.uuid4().hex}"
-    step = edge.select(F.lower("source").alias("from_lc"), F.lower("target").alias("name_lc")).distinct()
-    frontier = spark.createDataFrame([(root.lower(),)], "name_lc string")
+    key = ["project_id", "root_lc", "name_lc"]
+    step = edge.select("project_id", F.lower("source").alias("name_lc"), F.lower("target").alias("to_lc")).distinct()
+    frontier = root.select("project_id", F.lower("root").alias("root_lc"), F.lower("root").alias("name_lc")).distinct()
     for k in range(rounds):
         frontier.write.parquet(f"{base}/round={k}")
-        frontier = spark.read.parquet(f"{base}/round={k}")
+        frontier = spark.read.schema(frontier.schema).parquet(f"{base}/round={k}")
+        seen = spark.read.schema(frontier.schema).option("basePath", base).parquet(base).select("project_id", "root_lc", "name_lc")
         if frontier.isEmpty():
-            break
-        seen = spark.read.option("basePath", base).parquet(base).select("name_lc")
-        frontier = step.join(frontier.withColumnRenamed("name_lc", "from_lc"), "from_lc", "left_semi").select("name_lc").distinct().join(seen, "name_lc", "left_anti")
-    return spark.read.option("basePath", base).schema("name_lc string, round int").parquet(base).select("name_lc")
+            return seen
+        frontier = frontier.join(step, ["project_id", "name_lc"]).select("project_id", "root_lc", F.col("to_lc").alias("name_lc")).distinct().join(seen, key, "left_anti")
+    raise ValueError(f"calls lead further than {rounds} rounds")
+
+
+def reachable(edge: DataFrame, root: str, folder: str, rounds: int = 1000) -> DataFrame:
+    """name_lc of everything that calls lead to from `root`, itself included; where edges have
+    a project_id, project_id and name_lc, from the root of that name in each project."""
+    keyed = "project_id" in edge.columns
+    edge = edge if keyed else edge.withColumn("project_id", F.lit(""))
+    found = reached(edge, edge.select("project_id", F.lit(root).alias("root")).distinct(), folder, rounds)
+    return found.select(*(["project_id"] if keyed else []), "name_lc")

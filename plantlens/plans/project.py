@@ -19,20 +19,25 @@ from plantlens.operators import alarms, artifacts, callgraph, closure, complianc
 from plantlens.sources import files as source
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet below spark.checkpoint.dir and read again, so that each reader
-    takes the columns that it needs. Only a local session may have no such folder; it gets a
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session may have none; it gets a
     temporary one."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir isn't set; it names the folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         folder = sc.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/relation-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet below the shared folder and read again, so that each reader takes
+    the columns that it needs."""
+    path = f"{shared_folder(df.sparkSession)}/relation-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Project:
@@ -168,6 +173,10 @@ class Project:
     def calls(self) -> DataFrame:
         return callgraph.call_edges(self.bodies, self.pous, self.all_variables, self.variables)
 
+    def calls_reached(self, root: DataFrame) -> DataFrame:
+        """project_id, root_lc, name_lc of what calls lead to from each root (project_id, root)."""
+        return closure.reached(cut(self.calls), root, shared_folder(self.files.sparkSession))
+
     @cached_property
     def libraries(self) -> DataFrame:
         return artifacts.libraries(self.files)

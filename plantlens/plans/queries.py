@@ -388,3 +388,13 @@ def drive_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'FB_K' || p_partkey, 'sText', 'STRING(' || p_partkey || ')', NULL, 'CONCAT(''a'', UPPER(''b''))', NULL FROM part""")
 def constructed_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Project(v.constructed(spark, sf_dir)).variables.select("owner", "name", "data_type", "constructor_args", "initial_value", "array_bounds")
+
+
+@_query("""WITH RECURSIVE p AS (SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INT AS i FROM part),
+  n AS (SELECT p_brand, count(*) AS n FROM p GROUP BY p_brand), step AS (SELECT p.p_brand, i, j FROM p JOIN n ON p.p_brand = n.p_brand, unnest([2 * i + 1, 2 * i + 2, CASE WHEN i % 10 = 0 THEN i // 2 END]) t(j) WHERE j < n.n),
+  r(p_brand, root, i) AS (SELECT p_brand, root, root FROM n, (VALUES (0), (3), (10)) t(root) UNION SELECT r.p_brand, r.root, step.j FROM r JOIN step ON r.p_brand = step.p_brand AND r.i = step.i)
+  SELECT p_brand AS project_id, 'fb_l' || root AS root_lc, 'fb_l' || i AS name_lc FROM r""")
+def calls_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Project(v.linked_parts(spark, sf_dir))
+    roots = p.pous.select("project_id").distinct().select("project_id", F.explode(F.array(*[F.lit(f"FB_L{k}") for k in (0, 3, 10)])).alias("root"))
+    return p.calls_reached(roots)

@@ -234,3 +234,16 @@ def constructed(spark: SparkSession, sf_dir: str) -> DataFrame:
         line("rRate : LREAL := SCALE((nA + 1) * (", k, "), 2)"), line("aRows : ARRAY [0..(", k, ")] OF FB_Row(nRow := (1 + (2)))"), line("sText : STRING(", k, ") := CONCAT('a', UPPER('b'))"), F.lit("END_VAR\n"),
     )
     return p.select(*pou_file(name, decl, F.lit("")))
+
+
+def linked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as units, a project for each brand, with equal unit names in all of them: the
+    part of place i in its brand calls those of places 2i + 1 and 2i + 2, and every tenth its
+    own number's half again."""
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
+    p = _t(spark, sf_dir, "part").select("p_brand", place.alias("i"), F.count(F.lit(1)).over(Window.partitionBy("p_brand")).alias("n"))
+    to = F.filter(F.array(F.col("i") * 2 + 1, F.col("i") * 2 + 2, F.when(F.col("i") % 10 == 0, (F.col("i") / 2).cast("int"))), lambda x: x < F.col("n"))
+    call = lambda head, tail: F.array_join(F.transform(F.array_distinct(to), lambda x: F.concat(F.lit(head), x.cast("string"), tail(x))), "")
+    name = F.concat(F.lit("FB_L"), "i")
+    decl = F.concat(F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR\n"), call("\tl", lambda x: F.concat(F.lit(" : FB_L"), x.cast("string"), F.lit(";\n"))), F.lit("END_VAR\n"))
+    return p.select("p_brand", *pou_file(name, decl, call("l", lambda x: F.lit("();\n")))).withColumn("project_id", F.col("p_brand")).drop("p_brand")

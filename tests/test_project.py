@@ -106,6 +106,11 @@ def test_calls(spark, project, tmp_path):
     edge = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 1)], "source string, target string, weight long")
     assert {r.name_lc for r in closure.reachable(edge, "A", str(tmp_path)).collect()} == {"a", "b", "c"}
     assert callgraph.from_root(edge, "a", str(tmp_path)).count() == 3
+    many = spark.createDataFrame([("p", "a", "b", 1), ("p", "b", "a", 1), ("q", "A", "c", 1), ("q", "b", "d", 1)], "project_id string, source string, target string, weight long")
+    assert {tuple(r) for r in closure.reachable(many, "a", str(tmp_path)).collect()} == {("p", "a"), ("p", "b"), ("q", "a"), ("q", "c")}
+    assert {tuple(r)[:3] for r in callgraph.from_root(many, "a", str(tmp_path)).select("project_id", "source", "target").collect()} == {("p", "a", "b"), ("p", "b", "a"), ("q", "A", "c")}
+    roots = spark.createDataFrame([("p", "B"), ("q", "b"), ("q", "x")], "project_id string, root string")
+    assert {tuple(r) for r in closure.reached(many, roots, str(tmp_path)).collect()} == {("p", "b", "b"), ("p", "b", "a"), ("q", "b", "b"), ("q", "b", "d"), ("q", "x", "x")}
     assert callgraph.mermaid(edge, 2).where("seq = 2").count() == 2
 
 
