@@ -398,3 +398,40 @@ def calls_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Project(v.linked_parts(spark, sf_dir))
     roots = p.pous.select("project_id").distinct().select("project_id", F.explode(F.array(*[F.lit(f"FB_L{k}") for k in (0, 3, 10)])).alias("root"))
     return p.calls_reached(roots)
+
+
+_DETAIL = """WITH d AS (SELECT p_brand, p_partkey AS k, k % 8 AS a, k % 6 AS f, k % 7 AS r FROM part)"""
+_LISTED = lambda n, what, start, most: f"{n} || ': ' || array_to_string(['{what}' || i for i in range({start}, least({start} + {most}, {start} + {n}))], ', ')"
+
+
+@_query(f"""{_DETAIL}, t AS (
+  SELECT p_brand, k, 'IEC-002' AS rule_id, CASE WHEN a + f = 0 THEN 'N' WHEN a >= 0.8 * (a + f) THEN 'P' WHEN a >= 0.5 * (a + f) THEN 'W' ELSE 'F' END AS level, a || ' of ' || (a + f) AS detail FROM d
+  UNION ALL SELECT p_brand, k, 'IEC-004', CASE WHEN k % 5 = 0 THEN 'W' ELSE 'P' END, CASE WHEN k % 5 = 0 THEN '1: Long0' END FROM d
+  UNION ALL SELECT p_brand, k, 'GAMP-006', CASE WHEN k % 5 = 0 THEN 'P' ELSE 'F' END, NULL FROM d
+  UNION ALL SELECT p_brand, k, 'ISA-004', CASE WHEN a = 0 THEN 'P' ELSE 'F' END, CASE WHEN a > 0 THEN {_LISTED("a", "bIn", 0, 5)} END FROM d
+  UNION ALL SELECT p_brand, k, 'OOP-003', CASE WHEN k % 3 < 2 THEN 'P' ELSE 'W' END, CASE k % 3 WHEN 0 THEN 'FB_DBase' WHEN 1 THEN 'FB_U' || (k % 13) END FROM d
+  UNION ALL SELECT p_brand, k, 'OOP-004', CASE WHEN k % 4 = 1 THEN 'P' ELSE 'W' END, CASE WHEN k % 4 = 1 THEN 'I_D, I_E' END FROM d
+  UNION ALL SELECT p_brand, k, 'OOP-005', CASE WHEN a + f = 0 THEN 'N' WHEN f > 0 THEN 'P' ELSE 'W' END, f || ' of ' || (a + f) FROM d
+  UNION ALL SELECT p_brand, k, 'oop.override_signature', CASE WHEN k % 3 > 0 THEN 'N' WHEN r > 0 THEN 'F' ELSE 'P' END, CASE WHEN r > 0 THEN {_LISTED("r", "Run", 0, 4)} END FROM d
+  UNION ALL SELECT p_brand, k, 'oop.abstract_instantiation', CASE WHEN f > 0 THEN 'F' ELSE 'P' END, CASE WHEN f > 0 THEN {_LISTED("f", "_fb", 0, 4)} END FROM d
+  UNION ALL SELECT p_brand, k, 'oop.interface_contract', CASE WHEN k % 4 = 1 THEN 'F' ELSE 'N' END, {_LISTED("(7 - r)", "go", "r", 5)} FROM d)
+  SELECT p_brand AS project_id, 'FB_D' || k AS module, rule_id, level, CASE WHEN level <> 'N' THEN detail END AS detail FROM t""")
+def compliance_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules found in each unit: numbers, and the first few names."""
+    told = ("IEC-002", "IEC-004", "GAMP-006", "ISA-004", "OOP-003", "OOP-004", "OOP-005", "oop.override_signature", "oop.abstract_instantiation", "oop.interface_contract")
+    rule = Project(v.faulty(spark, sf_dir)).rules.where(F.col("rule_id").isin(*told) & F.col("module").rlike(r"^FB_D\d"))
+    return rule.select("project_id", "module", "rule_id", "level", "detail")
+
+
+@_query(f"""{_DETAIL}, b AS (SELECT DISTINCT p_brand FROM d),
+  x AS (SELECT p_brand, 'ISA-P05' AS rule_id, 'FB_D' || k || '.bIn' || i AS what, 10 AS most, row_number() OVER (PARTITION BY p_brand ORDER BY 'FB_D' || k, i) AS place FROM d, range(8) t(i) WHERE i < a
+    UNION ALL SELECT p_brand, 'IEC-P04', u, 5, row_number() OVER (PARTITION BY p_brand ORDER BY u) FROM (SELECT DISTINCT p_brand, 'FB_U' || (k % 13) AS u FROM d WHERE k % 3 = 1)
+    UNION ALL SELECT p_brand, 'GAMP-P01', 'CM_D' || k, 5, row_number() OVER (PARTITION BY p_brand ORDER BY 'CM_D' || k) FROM d WHERE k % 10 = 0),
+  n AS (SELECT p_brand, rule_id, count(*) AS n, count(*) || ': ' || string_agg(what, ', ' ORDER BY place) FILTER (place <= most) AS names FROM x GROUP BY ALL),
+  few(rule_id, most) AS (VALUES ('ISA-P05', 0), ('IEC-P04', 5), ('GAMP-P01', 3))
+  SELECT b.p_brand AS project_id, few.rule_id, CASE WHEN n IS NULL THEN 'P' WHEN n <= most THEN 'W' ELSE 'F' END AS level, names AS detail FROM b CROSS JOIN few LEFT JOIN n ON n.p_brand = b.p_brand AND n.rule_id = few.rule_id
+  UNION ALL SELECT p_brand, 'ISA-P03', CASE WHEN count(*) FILTER (k % 10 = 0) > 0 THEN 'P' ELSE 'W' END, (count(*) FILTER (k % 10 = 0))::VARCHAR FROM d GROUP BY p_brand""")
+def compliance_project_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules found in whole projects, a project for each brand."""
+    rule = Project(v.faulty(spark, sf_dir)).project_rules.where("rule_id in ('ISA-P05', 'IEC-P04', 'GAMP-P01', 'ISA-P03')")
+    return rule.select("project_id", "rule_id", "level", "detail")

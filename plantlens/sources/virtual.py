@@ -247,3 +247,29 @@ def linked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("FB_L"), "i")
     decl = F.concat(F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR\n"), call("\tl", lambda x: F.concat(F.lit(" : FB_L"), x.cast("string"), F.lit(";\n"))), F.lit("END_VAR\n"))
     return p.select("p_brand", *pou_file(name, decl, call("l", lambda x: F.lit("();\n")))).withColumn("project_id", F.col("p_brand")).drop("p_brand")
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as units that break rules, a project for each brand: variables bound to hardware
+    and of an abstract type, overrides that return something else, interfaces half kept, long
+    methods, unknown parents; every tenth part has a control module without alarms."""
+    p = _t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"))
+    k, name = F.col("k"), F.concat(F.lit("FB_D"), "k")
+    count = lambda n: F.filter(F.array(*[F.lit(i) for i in range(8)]), lambda i: i < n)
+    each = lambda n, head, tail: F.array_join(F.transform(count(n), lambda i: F.concat(F.lit(head), i.cast("string"), F.lit(tail))), "")
+    head = F.concat(F.when(k % 3 == 0, " EXTENDS FB_DBase").when(k % 3 == 1, F.concat(F.lit(" EXTENDS FB_U"), k % 13)).otherwise(""), F.when(k % 4 == 1, " IMPLEMENTS I_D, I_E").otherwise(""))
+    decl = F.concat(F.lit("FUNCTION_BLOCK "), name, head, F.lit("\nVAR\n"), each(k % 8, "\tbIn", " AT %I* : BOOL;\n"), each(k % 6, "\t_fb", " : FB_DBase;\n"), F.lit("END_VAR\n"))
+
+    def methods(n: Column, name: str, gives: str, body: Column) -> Column:
+        one = lambda i: F.concat(F.lit(f'<Method Name="{name}'), i, F.lit('">'), _cdata("Declaration", F.concat(F.lit(f"METHOD PUBLIC {name}"), i, F.lit(f" : {gives}\n"))), F.lit("<Implementation>"), _cdata("ST", body), F.lit("</Implementation></Method>"))
+        return F.array_join(F.transform(count(n), lambda i: one(i.cast("string"))), "")
+
+    none = F.lit("")
+    own = F.concat(methods(F.when(k % 3 == 0, k % 7).otherwise(0), "Run", "DINT", none), methods(F.when(k % 4 == 1, k % 7).otherwise(0), "Go", "DINT", none), methods(F.when(k % 5 == 0, 1).otherwise(0), "Long", "BOOL", F.repeat(F.lit("nX := 1;\n"), 160)))
+    units = p.select("p_brand", *pou_file(name, decl, F.lit(""), own))
+    control = F.concat(F.lit("CM_D"), "k")
+    controls = p.where(k % 10 == 0).select("p_brand", *pou_file(control, F.concat(F.lit("FUNCTION_BLOCK "), control, F.lit("\n")), F.lit("")))
+    brand = p.select("p_brand").distinct()
+    base = brand.select("p_brand", *pou_file(F.lit("FB_DBase"), F.lit("FUNCTION_BLOCK ABSTRACT FB_DBase\n"), F.lit(""), methods(F.lit(7), "Run", "INT", none)))
+    kept = brand.select("p_brand", *pou_file(F.lit("I_D"), F.lit("INTERFACE I_D\n"), F.lit(""), methods(F.lit(7), "Go", "DINT", none)))
+    return units.union(controls).union(base).union(kept).withColumn("project_id", F.col("p_brand")).drop("p_brand")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from plantlens.operators import compliance
 from plantlens.plans.project import Project
 from tests.test_project import unit
 
@@ -50,6 +51,10 @@ def test_levels(project):
     assert bad("oop.composition_depth") == {"D1"}
     assert len(of("structure.file_ending")) == 20 and len(bad("structure.file_ending")) == 19 and of("structure.file_ending")["Lacks"] == "P"
     assert {got["q", "Child", r] for r in ("oop.override_signature", "oop.abstract_contract", "oop.interface_contract")} == {"N"}
+    detail = {(r.module, r.rule_id): r.detail for r in project.rules.where("project_id = 'p'").collect()}
+    assert detail["Child", "oop.override_signature"] == "1: Typed" and detail["Returns", "oop.override_signature"] == "1: Gives" and detail["Good", "oop.override_signature"] is None
+    assert detail["Child", "oop.abstract_contract"] == "1: must" and detail["Lacks", "oop.interface_contract"] == "1: go" and detail["Two", "oop.diamond_inheritance"] == "1: i_root"
+    assert detail["Wrong", "oop.abstract_instantiation"] == "1: fb" and detail["Two", "OOP-004"] == "I_A, I_B" and detail["D1", "oop.composition_depth"] is None
     per_unit = {}
     for p, m, _ in got:
         per_unit[p, m] = per_unit.get((p, m), 0) + 1
@@ -65,9 +70,19 @@ def test_project_rules(spark):
     cases = unit("C", f"FUNCTION_BLOCK C\nVAR\n\teState : E_S;\nEND_VAR\n// {g}", case)
     twin = unit("T", f"FUNCTION_BLOCK T\n// {g.lower()}")
     rows = [of("formal", machine), gvl("formal", "M"), of("formal", cases), of("unplaced", machine), of("unplaced", cases), of("unplaced", twin), gvl("unplaced", "C"), of("none", twin), gvl("none", "T")]
-    got = {(r.project_id, r.rule_id): r.level for r in Project(spark.createDataFrame(rows, "project_id string, path string, ext string, content string")).project_rules.collect()}
+    got, detail = ({(r.project_id, r.rule_id): r[k] for r in Project(spark.createDataFrame(rows, "project_id string, path string, ext string, content string")).project_rules.collect()} for k in ("level", "detail"))
     assert {p: got[p, "GAMP-P04"] for p in ("formal", "unplaced", "none")} == {"formal": "P", "unplaced": "W", "none": "N"}
     assert {p: got[p, "xml.guid_uniqueness"] for p in ("formal", "unplaced", "none")} == {"formal": "P", "unplaced": "F", "none": "P"}
+    assert detail["unplaced", "xml.guid_uniqueness"] == f"1: {g[1:-1].lower()} (c, t)" and detail["none", "xml.guid_uniqueness"] is None
+    assert {p: detail[p, "GAMP-P04"] for p in ("formal", "unplaced", "none")} == {"formal": "1 declared, 1 by cases", "unplaced": "1 by cases", "none": None}
+
+
+def test_names_of_a_whole_project_are_the_first_ones(spark):
+    rows = spark.range(0, 3000, 1, 7).selectExpr("id % 2 AS g", "id AS o", "concat('n', id) AS name")
+    got = {r.g: (r.n, r.names) for r in compliance.first_names(rows, ["g"], ["o"], "name", 3).collect()}
+    assert got == {0: (1500, "n0, n2, n4"), 1: (1500, "n1, n3, n5")}
+    assert compliance.first_names(rows.where("g > 1"), ["g"], ["o"], "name", 3).isEmpty()
+    assert "WindowGroupLimit" in compliance.first_names(rows, ["g"], ["o"], "name", 3)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_empty_project(spark):
