@@ -3,12 +3,15 @@ tables alone."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as fx
 from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, declarations, drives, io, packml
-from plantlens.plans.project import Project
+from plantlens.plans.project import Project, shared_folder
+from plantlens.plans.store import Store
 from plantlens.sources import files as source
 from plantlens.sources import virtual as v
 
@@ -435,3 +438,17 @@ def compliance_project_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What rules found in whole projects, a project for each brand."""
     rule = Project(v.faulty(spark, sf_dir)).project_rules.where("rule_id in ('ISA-P05', 'IEC-P04', 'GAMP-P01', 'ISA-P03')")
     return rule.select("project_id", "rule_id", "level", "detail")
+
+
+@_query("""SELECT 'FB_P' || p_partkey AS owner, 'nSize' AS name, p_size::VARCHAR AS initial_value, (p_partkey % 10 = 0)::INT AS parsed FROM part
+  UNION ALL SELECT 'FB_P' || p_partkey, 'rPrice', printf('%.2f', p_retailprice), (p_partkey % 10 = 0)::INT FROM part
+  UNION ALL SELECT 'FB_P' || p_partkey, 'eType', NULL, (p_partkey % 10 = 0)::INT FROM part""")
+def stored_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables from a store by file after a tenth of the files changed, with the update that
+    parsed each."""
+    store, now = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"), v.parts(spark, sf_dir)
+    changed = F.regexp_extract("path", r"^FB_P(\d+)", 1).try_cast("long") % 10 == 0
+    store.update(now.withColumn("content", F.when(changed, F.regexp_replace("content", "nSize", "nFormer")).otherwise(F.col("content"))))
+    p = store.update(now)
+    at = store.ledger().select("project_id", F.regexp_replace("path", r"\.\w+$", "").alias("owner"), "parsed")
+    return p.variables.where("owner_kind = 'pou'").join(at, ["project_id", "owner"]).select("owner", "name", "initial_value", "parsed")
