@@ -1,4 +1,4 @@
-"""Library references, and inventories of safety, drive and scope artefacts."""
+"""Library references, and inventories of scope artefacts."""
 
 from __future__ import annotations
 
@@ -46,15 +46,6 @@ def tag_counts(pages: DataFrame, tags: tuple[str, ...]) -> DataFrame:
     return pages.select("page_id", *[F.coalesce(F.regexp_count("html", F.lit(rf"(?i)<{t}[\s/>]")), F.lit(0)).cast("long").alias(f"n_{t}") for t in tags])
 
 
-def safety(files: DataFrame) -> DataFrame:
-    """project_id, path, category, status, counts of networks, blocks, ports, shapes and IO."""
-    lower = F.lower("path")
-    ours = F.col("ext").isin("splcproj", "sal", "sds", "diagram") | ((F.col("ext") == "xml") & lower.rlike("(safety|splc|twinsafe)[^/]*/"))
-    kind = F.when(F.col("ext") == "splcproj", "project").when(lower.endswith(".sal.diagram"), "diagram").when(F.col("ext") == "sal", "logic").when(F.col("ext") == "sds", "alias-device").when(F.col("content").contains("TargetSystemConfig"), "target").otherwise("other")
-    status = F.when(~F.col("content").rlike(r"(?s)^\s*<.*>\s*$"), "ParseFailed").when(kind == "other", "Unsupported").otherwise("Parsed")
-    return files.where(ours).select("project_id", "path", kind.alias("category"), status.alias("status"), count_of("Network").alias("n_networks"), count_of("functionBlocks").alias("n_blocks"), count_of("inPort").alias("n_in"), count_of("outPort").alias("n_out"), count_of(r"\w*Shape").alias("n_shapes"), count_of("IO").alias("n_io"))
-
-
 def scopes(files: DataFrame) -> DataFrame:
     """project_id, path, signals (distinct, in order), and counts of what a scope file holds."""
     names = F.regexp_extract_all("content", F.lit(r"(?s)<AdsAcquisition\b.*?<Name>([^<]*)</Name>"), F.lit(1))

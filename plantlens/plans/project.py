@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, contracts, declarations, drives, io, packml, statemachines
+from plantlens.operators import alarms, artifacts, callgraph, closure, compliance, contracts, declarations, drives, io, packml, safety, statemachines
 from plantlens.sources import files as source
 
 
@@ -194,6 +194,23 @@ class Project:
     def drive_parameters(self) -> DataFrame:
         return drives.parameters(self.drive_rows, self.drive_sections)
 
+    @cached_property
+    def safety_rows(self) -> DataFrame:
+        return cut(safety.rows(self.files))
+
+    @cached_property
+    def safety_artifacts(self) -> DataFrame:
+        return safety.artifacts(self.files, self.safety_rows)
+
+    @cached_property
+    def safety_links(self) -> DataFrame:
+        """What safety projects and diagrams name, beside the artefacts that are there."""
+        return safety.links(self.safety_artifacts)
+
+    @cached_property
+    def safety_ios(self) -> DataFrame:
+        return safety.alias_ios(self.safety_rows)
+
     @cached_property
     def unit_rules(self) -> DataFrame:
         """Rules on what a unit itself holds."""

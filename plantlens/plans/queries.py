@@ -452,3 +452,32 @@ def stored_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = store.update(now)
     at = store.ledger().select("project_id", F.regexp_replace("path", r"\.\w+$", "").alias("owner"), "parsed")
     return p.variables.where("owner_kind = 'pou'").join(at, ["project_id", "owner"]).select("owner", "name", "initial_value", "parsed")
+
+
+_SAFETY = """WITH s AS (SELECT s_suppkey AS k, 'Safety' || (s_suppkey // 100) || '/' AS home, s_suppkey // 100 AS g FROM supplier)"""
+
+
+@_query(f"""{_SAFETY} SELECT home || 'Logic/A' || k || '.sal' AS path, 'SafetyLogic' AS category, CASE WHEN c THEN 'ParseFailed' ELSE 'Parsed' END AS status, CASE WHEN c THEN 'A' ELSE 'App ' END || k AS name, NULL AS device_id,
+    n AS n_networks, n AS n_blocks, 2 * n AS n_in, n AS n_out, CASE WHEN c THEN '' ELSE 'dsl-version=1.' || (k % 4) || '; network-count=' || n || '; function-block-container-count=' || n || '; in-port-count=' || (2 * n) || '; out-port-count=' || n END AS metadata
+    FROM (SELECT *, k % 7 = 3 AS c, CASE WHEN k % 7 = 3 THEN 0 ELSE k % 5 END AS n FROM s WHERE k % 6 <> 1)
+  UNION ALL SELECT home || 'Logic/A' || k || '.sal.diagram', 'SafetyDiagram', 'Parsed', 'A' || k || '.sal', NULL, 0, 0, 0, 0, 'dsl-version=unknown; network-shape-count=' || (k % 3) || '; function-block-shape-count=' || (k % 3) || '; port-shape-count=' || (2 * (k % 3)) FROM s WHERE k % 3 <> 0
+  UNION ALL SELECT home || 'Alias/D' || k || '.sds', 'SafetyAliasDevice', 'Parsed', 'Device ' || k, (k + 1000)::VARCHAR, 0, 0, 0, 0, 'file-format-version=3; alias-type=' || (k % 9) || '; alias-subtype=unknown; vendor-id=unknown; io-count=' || (k % 4 + 1) FROM s
+  UNION ALL SELECT home || 'Line.splcproj', 'SafetyProject', 'Parsed', 'Line', NULL, 0, 0, 0, 0, 'schema-version=2.' || g || '; target-system=unknown; programming-language=unknown; logic-file-count=' || (2 * count(*)) || '; alias-device-count=' || count(*) || '; configuration-file-count=1' FROM s GROUP BY home, g
+  UNION ALL SELECT DISTINCT home || 'Target.xml', 'SafetyConfiguration', 'Parsed', 'Target', NULL, 0, 0, 0, 0, 'target-system-type=unknown; target-system-subtype=unknown; software-version=unknown; fsoe-address=' || g || '; ams-net-id=unknown' FROM s""")
+def safety_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Project(v.safety_files(spark, sf_dir)).safety_artifacts
+    return p.select("path", "category", "status", "name", "device_id", "n_networks", "n_blocks", "n_in", "n_out", F.array_join("metadata", "; ").alias("metadata"))
+
+
+@_query(f"""{_SAFETY} SELECT home || 'Line.splcproj' AS path, 'Logic/A' || k || '.sal' AS related, CASE WHEN k % 6 <> 1 THEN home || 'Logic/A' || k || '.sal' END AS target, CASE WHEN k % 6 <> 1 THEN 'SafetyLogic' END AS target_category FROM s
+  UNION ALL SELECT home || 'Line.splcproj', 'Alias/D' || k || '.sds', home || 'Alias/D' || k || '.sds', 'SafetyAliasDevice' FROM s
+  UNION ALL SELECT DISTINCT home || 'Line.splcproj', 'Target.xml', home || 'Target.xml', 'SafetyConfiguration' FROM s
+  UNION ALL SELECT home || 'Logic/A' || k || '.sal.diagram', 'A' || k || '.sal', CASE WHEN k % 6 <> 1 THEN home || 'Logic/A' || k || '.sal' END, CASE WHEN k % 6 <> 1 THEN 'SafetyLogic' END FROM s WHERE k % 3 <> 0""")
+def safety_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Project(v.safety_files(spark, sf_dir)).safety_links.select("path", "related", "target", "target_category")
+
+
+@_query(f"""{_SAFETY} SELECT home || 'Alias/D' || k || '.sds' AS path, i::INT AS ord, CASE WHEN i < k % 4 THEN 'In' || i ELSE 'Unnamed IO' END AS name, CASE WHEN i < k % 4 THEN 'BOOL' ELSE '' END AS data_type, CASE WHEN i < k % 4 THEN '1' ELSE '' END AS bit_size, CASE WHEN i < k % 4 THEN i::VARCHAR ELSE '' END AS bit_offset
+  FROM s, range(4) t(i) WHERE i <= k % 4""")
+def safety_ios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Project(v.safety_files(spark, sf_dir)).safety_ios.select("path", "ord", "name", "data_type", "bit_size", "bit_offset")

@@ -273,3 +273,25 @@ def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = brand.select("p_brand", *pou_file(F.lit("FB_DBase"), F.lit("FUNCTION_BLOCK ABSTRACT FB_DBase\n"), F.lit(""), methods(F.lit(7), "Run", "INT", none)))
     kept = brand.select("p_brand", *pou_file(F.lit("I_D"), F.lit("INTERFACE I_D\n"), F.lit(""), methods(F.lit(7), "Go", "DINT", none)))
     return units.union(controls).union(base).union(kept).withColumn("project_id", F.col("p_brand")).drop("p_brand")
+
+
+def safety_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as safety logic with diagrams and alias devices, a safety project for up to
+    100 of them. Some logic is cut or isn't there; files of other kinds lie beside them."""
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.expr("s_suppkey div 100").alias("g"), F.lit(PROJECT).alias("project_id"))
+    k, text = F.col("k"), lambda x: F.lit(x) if isinstance(x, str) else x.cast("string")
+    join = lambda *parts: F.concat(*[text(x) for x in parts])
+    file = lambda rows, path, ext, *parts: rows.select("project_id", path.alias("path"), F.lit(ext).alias("ext"), join(*parts).alias("content"))
+    at = lambda *parts: join("Safety", F.col("g"), "/", *parts)
+    network = F.repeat(F.lit("<a:Network><functionBlocks><inPort/><inPort><x/></inPort><OutPort></OutPort></functionBlocks></a:Network>"), (k % 5).cast("int"))
+    logic = file(s.where("k % 6 <> 1"), at("Logic/A", k, ".sal"), "sal", '<App xmlns:a="urn:a" name=" App ', k, ' " dslVersion="1.', k % 4, '">', network, F.when(k % 7 == 3, "").otherwise("</App>"))
+    shapes = F.repeat(F.lit("<networkSwimLane><inPortShape/><outportshape/><fbShape/><fbMonikerShape/></networkSwimLane>"), (k % 3).cast("int"))
+    diagram = file(s.where("k % 3 <> 0"), at("Logic/A", k, ".sal.diagram"), "diagram", "<d:view xmlns:d='u'>", shapes, "</d:view>")
+    io = F.array_join(F.transform(F.filter(F.array(*[F.lit(i) for i in range(4)]), lambda i: i < k % 4), lambda i: join("<IO><Name>In", i, "</Name><DataType>BOOL</DataType><BitSize>1</BitSize><BitOffsMessage>", i, "</BitOffsMessage></IO>")), "")
+    device = file(s, at("Alias/D", k, ".sds"), "sds", '<Dev FileFormatVersion="3"><Name>Device ', k, "</Name><SDSID>", k + 1000, "</SDSID><Type>", k % 9, "</Type>", io, "<IO/></Dev>")
+    entry = join('<None Include="Logic\\A', k, '.sal"/><None Include="logic\\a', k, '.sal"/><None Include="Alias\\D', k, '.sds"></None>')
+    project = _joined(s, "g", "k", entry, "x").withColumn("project_id", F.lit(PROJECT))
+    build = file(project, at("Line.splcproj"), "splcproj", '<Project xmlns="http://schemas.microsoft.com/developer/msbuild/2003"><SchemaVersion>2.', F.col("g"), "</SchemaVersion>", F.col("x"), '<None Include="Target.xml"/></Project>')
+    target = file(project, at("Target.xml"), "xml", "<?xml version='1.0'?><!-- <x> --><TargetSystemConfig><FSOEAddress>", F.col("g"), "</FSOEAddress></TargetSystemConfig>")
+    other = file(project, at("Other.xml"), "xml", "<Other><TargetSystemConfig/></Other>").union(file(project, join("Plain/T", F.col("g"), ".xml"), "xml", "<TargetSystemConfig/>"))
+    return logic.union(diagram).union(device).union(build).union(target).union(other)
