@@ -2,7 +2,8 @@
 
 A file is cut into tags and texts. The running sum of what opens and closes is a token's depth;
 tokens of one depth between two openings belong to the first of them. All windows are within
-one file, so that a single shuffle by file serves them.
+one file, so that a single shuffle by file serves them. It moves whole files, before they are
+cut, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as fx
+from plantlens.sources.files import dealt
 
 FILE = ["project_id", "path"]
+#: Bytes of files that a task reads; its windows hold about 250 times as much.
+TASK = 1 << 20
 TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
 ATTRIBUTE = r"""([\w:.\-]+)\s*=\s*("[^"]*+"|'[^']*+')"""
 NAME = r"^</?(?:[\w.\-]+:)?([\w.\-]+)"
@@ -31,7 +35,7 @@ def elements(files: DataFrame) -> DataFrame:
 
     `seq` to `last_seq` holds everything inside the element. A file that isn't well formed,
     is empty or null or declares a document type has no rows."""
-    token = files.select(*FILE, F.posexplode(F.regexp_extract_all(fx.safe_xml(F.col("content")), F.lit(TOKEN), F.lit(0))).alias("seq", "token"))
+    token = dealt(files.select(*FILE, "content"), FILE, "content", TASK).select(*FILE, F.posexplode(F.regexp_extract_all(fx.safe_xml(F.col("content")), F.lit(TOKEN), F.lit(0))).alias("seq", "token"))
     token = token.where(~F.col("token").startswith("<!--") & ~F.col("token").startswith("<?") & (fx.strip("token") != ""))
     t = F.col("token")
     cdata = t.startswith("<![CDATA[")

@@ -376,13 +376,13 @@ def drive_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN NOT c THEN 'AX' || user_id END AS order_code, CASE WHEN NOT c THEN 'TIID^Drive ' || user_id END AS io_item_path, CASE WHEN NOT c THEN '../line/' || user_id || '.tsproj' END AS project_path
   FROM (SELECT DISTINCT user_id, user_id % 7 = 3 AS c FROM events)""")
 def drive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drives.drives(v.drive_files(spark, sf_dir)).select("path", "name", "status", "item_id", "order_code", "io_item_path", "project_path")
+    return drives.drives(Project(v.drive_files(spark, sf_dir)).files).select("path", "name", "status", "item_id", "order_code", "io_item_path", "project_path")
 
 
 @_query("""SELECT 'Drives' || (user_id // 100) AS name, '2.0' AS schema_version, count(*)::INT AS n_included, count_if(user_id % 2 = 0)::INT AS n_dependents, string_agg('Sub/Drive' || user_id || '.tcdmdrv', ',' ORDER BY user_id) AS related
   FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id // 100""")
 def drive_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drives.projects(v.drive_files(spark, sf_dir)).select("name", "schema_version", F.col("n_included").cast("int").alias("n_included"), F.col("n_dependents").cast("int").alias("n_dependents"), F.array_join("related", ",").alias("related"))
+    return drives.projects(Project(v.drive_files(spark, sf_dir)).files).select("name", "schema_version", F.col("n_included").cast("int").alias("n_included"), F.col("n_dependents").cast("int").alias("n_dependents"), F.array_join("related", ",").alias("related"))
 
 
 @_query("""SELECT 'FB_K' || p_partkey AS owner, 'fbSize' AS name, 'FB_Size' AS data_type, 'nSize := MAX(MIN(ABS(-(' || p_size || ')), 99), 1), nKey := ' || p_partkey AS constructor_args, NULL::VARCHAR AS initial_value, NULL::VARCHAR AS array_bounds FROM part

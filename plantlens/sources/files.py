@@ -55,6 +55,15 @@ def read_project(spark: SparkSession, folder: str, project_id: str | None = None
     return files.where(~in_excluded_folder(F.col("path"))).withColumn("ext", extension(F.col("path"))).select("project_id", "path", "ext", "content")
 
 
+def dealt(rows: DataFrame, keys: list[str], text: str, per_task: int) -> DataFrame:
+    """The same rows by a hash of `keys`, in as many tasks as leave each about `per_task` bytes of
+    the column `text`, and no fewer than there are cores. Spark keeps a count that is asked for;
+    by itself it sizes tasks by compressed bytes, which for source text says little. `rows` is
+    read twice and so should be a written table."""
+    total = rows.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // per_task)), *keys)
+
+
 def checked(files: DataFrame) -> DataFrame:
     """The same files, if some of them is a source."""
     if files.where(F.col("ext").isin(*SOURCE_EXTENSIONS)).isEmpty():

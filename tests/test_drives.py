@@ -65,6 +65,13 @@ def test_deep_elements_keep_their_parents(spark):
     assert p.drive_parameters.first().section_path == deepest.section_path
 
 
+def test_tasks_read_bounded_text(spark, monkeypatch):
+    f = files(spark, **{f"d{i}": ("tcdmdrv", DRIVE) for i in range(40)})
+    monkeypatch.setattr(elements, "TASK", 2 * len(DRIVE))
+    assert elements.elements(f).rdd.getNumPartitions() == 20
+    assert {r["count"] for r in drives.rows(f).groupBy("path").count().collect()} == {drives.rows(f.where("path = 'd0.x'")).count()}
+
+
 def _types(spark, lines):
     text = "FUNCTION_BLOCK A\nVAR\n" + "".join(f"\t{x};\n" for x in lines) + "END_VAR\n"
     owner = spark.createDataFrame([("p", "pou", "A", text)], "project_id string, owner_kind string, owner string, declaration string")
