@@ -12,7 +12,7 @@ LAYERS = ("UM", "EM", "CM", "DM")
 
 def strip(text: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def layer(name: Column) -> Column:

@@ -6,10 +6,16 @@ fails the job. Declarations are read line by line with windows over each owner's
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantlens.functions import text as fx
+from plantlens.sources.files import dealt
+
+#: Bytes of declarations whose lines a task holds.
+TASK = 8 << 20
 
 _BODY = "struct<ST: string, NWL: string, FBD: string, SFC: string, CFC: string>"
 POU_XML = (
@@ -150,30 +156,37 @@ def brackets(text: Column) -> Column:
     return F.when(text.contains("("), found).otherwise(flat)
 
 
-def variables(owners: DataFrame) -> DataFrame:
+def variables(owners: DataFrame, task: int | None = TASK) -> DataFrame:
     """Variables of owners (project_id, owner_kind, owner, declaration): ord, name, data_type,
     scope, initial_value, comment, leading_comment, is_reference, is_pointer, is_array,
     array_bounds, at_binding, constructor_args.
 
     A line of a VAR block declares one variable. Comment lines before it are its leading
-    comment. A declaration of several names, or a block header with two qualifiers, isn't
+    comment. Owners are dealt by `task` bytes, for which they are read twice (None: as they
+    come). A declaration of several names, or a block header with two qualifiers, isn't
     recognised, as in the analyser whose results these match."""
     key = ["project_id", "owner_kind", "owner"]
-    line = owners.select(*key, F.posexplode(F.split("declaration", "\n")).alias("ord", "line"))
+    owners = owners.select(*key, "declaration")
+    owners = dealt(owners, key, "declaration", task) if task else owners
+    noted = F.col("declaration").contains("//") | F.col("declaration").contains("(*")
+    line = owners.select(*key, noted.alias("noted"), F.posexplode(F.split("declaration", "\n")).alias("ord", "line"))
     w = Window.partitionBy(*key).orderBy("ord")
+    has = lambda *marks: reduce(Column.__or__, [F.col("line").contains(m) for m in marks])
     marks = lambda p: F.size(F.split("line", p)) - 1
+    depth = F.when(has("(*", "*)"), marks(r"\(\*") - marks(r"\*\)")).otherwise(0)
     up_to = w.rowsBetween(Window.unboundedPreceding, -1)
-    line = line.withColumn("open", F.coalesce(F.sum(marks(r"\(\*") - marks(r"\*\)")).over(up_to), F.lit(0)) > 0)
-    block = F.regexp_extract("line", BLOCK, 1)
+    line = line.withColumn("open", F.coalesce(F.sum(depth).over(up_to), F.lit(0)) > 0)
+    block = F.when(F.upper("line").contains("VAR"), F.regexp_extract("line", BLOCK, 1)).otherwise("")
     line = line.withColumn("block", F.when(F.col("open"), F.lit(None)).when(block != "", scope_of(block)).when(F.col("line").rlike(r"(?i)^\s*END_VAR\b"), ""))
     line = line.withColumn("scope", F.last("block", ignorenulls=True).over(w))
     # inline block comments become the comment; what is inside of a longer one is no code
     whole = F.regexp_replace("line", r"\(\*.*?\*\)", "")
-    code = F.when(F.col("open"), F.when(F.col("line").contains("*)"), F.regexp_replace("line", r"^.*?\*\)", "")).otherwise("")).otherwise(F.regexp_replace(whole, r"\(\*.*$", ""))
+    code = F.when(F.col("open"), F.when(F.col("line").contains("*)"), F.regexp_replace("line", r"^.*?\*\)", "")).otherwise("")).when(has("(*"), F.regexp_replace(whole, r"\(\*.*$", "")).otherwise(F.col("line"))
     note = F.when(F.col("open") | F.col("line").rlike(r"^\s*(//|\(\*)"), fx.strip(F.regexp_replace("line", r"//|\(\*|\*\)", "")))
-    line = line.withColumn("code", F.regexp_extract(code, CODE, 1)).withColumn("note", note)
+    line = line.withColumn("code", F.when(has("'", "//"), F.regexp_extract(code, CODE, 1)).otherwise(code)).withColumn("note", note)
     line = line.withColumn("solid", ((fx.strip("code") != "") | F.col("block").isNotNull()).cast("int"))
-    line = line.withColumn("run", F.coalesce(F.sum("solid").over(up_to), F.lit(0)))
+    # where an owner has no comment at all its lines are one run, as there is nothing to gather
+    line = line.withColumn("run", F.when(F.col("noted"), F.coalesce(F.sum("solid").over(up_to), F.lit(0))).otherwise(0))
     lead = F.array_join(F.collect_list(F.when(F.col("solid") == 0, F.col("note"))).over(Window.partitionBy(*key, "run").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), "\n")
     line = line.withColumn("leading_comment", F.nullif(fx.strip(lead), F.lit("")))
     stmt = F.regexp_replace(fx.strip("code"), r";\s*$", "")
@@ -181,7 +194,7 @@ def variables(owners: DataFrame) -> DataFrame:
     left = fx.strip(F.regexp_extract("stmt", r"^([^:]*):", 1))
     right = fx.strip(F.regexp_extract("stmt", r"^[^:]*:(.*)$", 1))
     name = F.regexp_extract(left, r"^([A-Za-z_]\w*)\s*(?i:AT\s+%.*)?$", 1)
-    at = F.regexp_extract(left, r"(?i)\bAT\s+(%[IQM]\*?[\d.]*)", 1)
+    at = F.when(left.contains("%"), F.regexp_extract(left, r"(?i)\bAT\s+(%[IQM]\*?[\d.]*)", 1)).otherwise("")
     found = found.withColumn("name", name).withColumn("at_binding", F.nullif(at, F.lit(""))).withColumn("right", right).where("name <> '' and right <> ''")
     ref, ptr, arr = (F.col("right").rlike(p) for p in (r"(?i)^REFERENCE\s+TO\b", r"(?i)^POINTER\s+TO\b", r"(?i)^ARRAY\s*\["))
     bare = fx.strip(F.regexp_replace("right", r"(?i)^(REFERENCE\s+TO|POINTER\s+TO|ARRAY\s*\[[^\]]*\]\s*OF)\s+", ""))
@@ -190,7 +203,8 @@ def variables(owners: DataFrame) -> DataFrame:
     valued, has_args = F.col("at.assign").isNotNull(), F.col("at.assign").isNull() & (F.col("at.open") > 0) & F.col("at.close").isNotNull() & ~is_text
     piece = lambda start, end: fx.strip(F.substr("bare", start + 1, end - start))
     typed = F.when(valued, piece(F.lit(0), F.col("at.assign"))).when(has_args, piece(F.lit(0), F.col("at.open"))).otherwise(F.col("bare"))
-    remark = F.coalesce(F.nullif(fx.strip(F.regexp_extract("line", r"^(?:[^'/]++|'[^']*+'|/(?!/))*+//(.*)$", 1)), F.lit("")), F.nullif(fx.strip(F.regexp_extract("line", r"\(\*(.*?)\*\)", 1)), F.lit("")))
+    said = lambda mark, pattern: F.when(F.col("line").contains(mark), F.nullif(fx.strip(F.regexp_extract("line", pattern, 1)), F.lit("")))
+    remark = F.coalesce(said("//", r"^(?:[^'/]++|'[^']*+'|/(?!/))*+//(.*)$"), said("(*", r"\(\*(.*?)\*\)"))
     return found.select(
         *key, F.lower("owner").alias("owner_lc"), F.col("ord").cast("int").alias("ord"), "name", F.lower("name").alias("name_lc"),
         typed.alias("data_type"), "scope", F.when(valued, F.nullif(piece(F.col("at.assign") + 2, F.length("bare")), F.lit(""))).alias("initial_value"), remark.alias("comment"), "leading_comment",
@@ -209,7 +223,7 @@ def owners(pou: DataFrame, gvl: DataFrame, dut: DataFrame) -> DataFrame:
     return pick(pou, "pou", d).union(pick(gvl, "gvl", d)).union(pick(dut.where("dut_type in ('Struct', 'Union')"), "dut", members))
 
 
-def all_owners_variables(pou: DataFrame, gvl: DataFrame, dut: DataFrame) -> DataFrame:
+def all_owners_variables(pou: DataFrame, gvl: DataFrame, dut: DataFrame, task: int | None = TASK) -> DataFrame:
     """variables() of all owners; a variable list's are Global unless Constant."""
-    found = variables(owners(pou, gvl, dut))
+    found = variables(owners(pou, gvl, dut), task)
     return found.withColumn("scope", F.when((F.col("owner_kind") == "gvl") & (F.col("scope") != "Constant"), "Global").otherwise(F.col("scope")))

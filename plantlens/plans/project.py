@@ -171,7 +171,9 @@ class Project:
 
     @cached_property
     def calls(self) -> DataFrame:
-        return callgraph.call_edges(self.bodies, self.pous, self.all_variables, self.variables)
+        # types of inherited variables alone, read once: nothing to cut
+        narrow = self.variables.select("project_id", "owner_kind", "owner", "owner_lc", "ord", "name_lc", "data_type")
+        return callgraph.call_edges(self.bodies, self.pous, closure.all_variables(self.pous, narrow, self.chains), self.variables)
 
     def calls_reached(self, root: DataFrame) -> DataFrame:
         """project_id, root_lc, name_lc of what calls lead to from each root (project_id, root)."""
