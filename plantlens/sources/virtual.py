@@ -20,6 +20,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Rows that each become a file (as many as `table` has), in tasks of up to 20,000 rows: a
+    table of short rows is read by few tasks, however long the files are."""
+    n = (rows if table is None else table).count()
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // 20_000)))
+
+
 def _cdata(tag: str, text: Column) -> Column:
     return F.concat(F.lit(f"<{tag}><![CDATA["), text, F.lit(f"]]></{tag}>"))
 
@@ -100,7 +107,7 @@ def _bases(spark: SparkSession) -> DataFrame:
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as units, and the enum of their types."""
-    p = _t(spark, sf_dir, "part")
+    p = _dealt(_t(spark, sf_dir, "part"))
     name = F.concat(F.lit("FB_P"), "p_partkey")
     decl = F.concat(F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR\n\t// size of the part\n\tnSize : INT := "), "p_size", F.lit(";\n\trPrice : LREAL := "), F.format_string("%.2f", "p_retailprice"), F.lit("; // "), "p_name", F.lit("\n\teType : E_PType;\nEND_VAR\n"))
     units = p.select(*pou_file(name, decl, F.lit("")))
@@ -147,7 +154,7 @@ def packaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     moves = some([(here(i, 4), f"{'Execute' if a == 'Any' else a}:\n\t" + (f"_eState := E_State.{b};\n" if i % 2 else f"fbStates.GotoState(E_State.{b});\n")) for i, (a, b, _) in enumerate(packml.TRANSITIONS)])
     name = F.concat(F.lit("FB_M"), k)
     body = F.concat(commands, modes, some([(k % 5 == 0, "bAny := _AlarmsPresentProcess;\n")]), F.lit("CASE _eState OF\n"), moves, F.lit("END_CASE\n"))
-    return _t(spark, sf_dir, "part").select(*pou_file(name, F.concat(F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR_INPUT\n"), declared, F.lit("END_VAR\n")), body, handlers))
+    return _dealt(_t(spark, sf_dir, "part")).select(*pou_file(name, F.concat(F.lit("FUNCTION_BLOCK "), name, F.lit("\nVAR_INPUT\n"), declared, F.lit("END_VAR\n")), body, handlers))
 
 
 def io_files(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
@@ -226,7 +233,7 @@ def drive_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def constructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as units whose variables have constructors and values with brackets in brackets."""
-    p = _t(spark, sf_dir, "part")
+    p = _dealt(_t(spark, sf_dir, "part"))
     k, name = F.col("p_partkey"), F.concat(F.lit("FB_K"), "p_partkey")
     line = lambda *parts: F.concat(F.lit("\t"), *[F.lit(x) if isinstance(x, str) else x for x in parts], F.lit(";\n"))
     decl = F.concat(
@@ -241,7 +248,8 @@ def linked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part of place i in its brand calls those of places 2i + 1 and 2i + 2, and every tenth its
     own number's half again."""
     place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    p = _t(spark, sf_dir, "part").select("p_brand", place.alias("i"), F.count(F.lit(1)).over(Window.partitionBy("p_brand")).alias("n"))
+    part = _t(spark, sf_dir, "part")
+    p = _dealt(part.select("p_brand", place.alias("i"), F.count(F.lit(1)).over(Window.partitionBy("p_brand")).alias("n")), part)
     to = F.filter(F.array(F.col("i") * 2 + 1, F.col("i") * 2 + 2, F.when(F.col("i") % 10 == 0, (F.col("i") / 2).cast("int"))), lambda x: x < F.col("n"))
     call = lambda head, tail: F.array_join(F.transform(F.array_distinct(to), lambda x: F.concat(F.lit(head), x.cast("string"), tail(x))), "")
     name = F.concat(F.lit("FB_L"), "i")
@@ -253,7 +261,7 @@ def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as units that break rules, a project for each brand: variables bound to hardware
     and of an abstract type, overrides that return something else, interfaces half kept, long
     methods, unknown parents; every tenth part has a control module without alarms."""
-    p = _t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k"))
+    p = _dealt(_t(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("k")))
     k, name = F.col("k"), F.concat(F.lit("FB_D"), "k")
     count = lambda n: F.filter(F.array(*[F.lit(i) for i in range(8)]), lambda i: i < n)
     each = lambda n, head, tail: F.array_join(F.transform(count(n), lambda i: F.concat(F.lit(head), i.cast("string"), F.lit(tail))), "")
