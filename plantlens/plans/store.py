@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantlens.operators import declarations
-from plantlens.plans.project import Project
+from plantlens.plans.project import Project, cut
 from plantlens.sources import files as source
 
 VERSION, KEPT = 1, 3  # KEPT: fixed value
@@ -58,12 +58,11 @@ def prune(project: Project, folder: str, kept: int = KEPT) -> None:
         fs.delete(status.getPath(), True)
 
 
-def file_variables(files: DataFrame) -> DataFrame:
-    """declarations.all_owners_variables with the path: the variables of each file by itself,
-    also where files declare owners of one name."""
-    parsed = [f(files) for f in (declarations.pous, declarations.gvls, declarations.duts)]
+def file_variables(*parsed: DataFrame, task: int | None = declarations.TASK) -> DataFrame:
+    """declarations.all_owners_variables of parsed units, lists and types with the path: the
+    variables of each file by itself, also where files declare owners of one name."""
     name = reduce(DataFrame.union, [df.select(*FILE, F.col("name").alias("named")) for df in parsed])
-    found = declarations.all_owners_variables(*[df.withColumn("name", F.col("path")) for df in parsed]).withColumnRenamed("owner", "path").join(name, FILE)
+    found = declarations.all_owners_variables(*[df.withColumn("name", F.col("path")) for df in parsed], task=task).withColumnRenamed("owner", "path").join(name, FILE)
     return found.withColumnsRenamed({"named": "owner"}).withColumn("owner_lc", F.lower("owner"))
 
 
@@ -78,7 +77,8 @@ class Store:
     that generation, so nothing that is written is ever changed. From more than MOST
     generations on an update writes all rows as one. One update at a time; the files given are all files."""
 
-    PARSERS = {"pous": declarations.pous, "gvls": declarations.gvls, "duts": declarations.duts, "variables": file_variables}
+    PARSERS = {"pous": declarations.pous, "gvls": declarations.gvls, "duts": declarations.duts}
+    RELATIONS = (*PARSERS, "variables")
 
     def __init__(self, spark: SparkSession, folder: str, most: int = MOST):
         self.spark, self.root, self.most = spark, f"{folder.rstrip('/')}/files-v{VERSION}", most
@@ -112,9 +112,10 @@ class Store:
         if plan.where("fingerprint is distinct from before").isEmpty() and known:
             return self._project(files)
         plan = plan.where("fingerprint is not null").drop("before")  # null: the file is gone
-        changed = files.join(plan.where(F.col("parsed") == g).select(*FILE), FILE, "left_semi")
+        changed = cut(files.join(plan.where(F.col("parsed") == g).select(*FILE), FILE, "left_semi"))
         for name, parse in self.PARSERS.items():
             parse(changed).write.mode("overwrite").parquet(self._at(name, g))
+        file_variables(*[self.spark.read.schema(parse(changed).schema).parquet(self._at(name, g)) for name, parse in self.PARSERS.items()]).write.mode("overwrite").parquet(self._at("variables", g))
         plan.write.mode("overwrite").parquet(self._at("ledger", g))
         if len(self._parts(self.ledger())) > self.most:
             self._compact(files, g + 1)
@@ -126,20 +127,21 @@ class Store:
         return sorted(r.parsed for r in ledger.select("parsed").distinct().collect())
 
     def _compact(self, files: DataFrame, g: int) -> None:
-        for name in self.PARSERS:
+        for name in self.RELATIONS:
             self.relation(files, name).write.mode("overwrite").parquet(self._at(name, g))
         self.ledger().withColumn("parsed", F.lit(g)).write.mode("overwrite").parquet(self._at("ledger", g))
 
     def relation(self, files: DataFrame, name: str) -> DataFrame:
         """A parsed relation as the newest ledger has it; `files` gives its schema alone."""
-        ledger, schema = self.ledger(), self.PARSERS[name](files).schema
+        parsed = {k: parse(files) for k, parse in self.PARSERS.items()}
+        ledger, schema = self.ledger(), (parsed[name] if name in parsed else file_variables(*parsed.values(), task=None)).schema
         rows = self.spark.read.schema(schema.add("generation", "integer")).option("basePath", f"{self.root}/{name}").parquet(*[self._at(name, g) for g in self._parts(ledger)])
         return rows.join(ledger.select(*FILE, F.col("parsed").alias("generation")), [*FILE, "generation"], "left_semi").drop("generation")
 
     def _project(self, files: DataFrame) -> Project:
         project = Project(files)
         if self._parts(self.ledger()):
-            for name in self.PARSERS:  # what Project would parse is there already
+            for name in self.RELATIONS:  # what Project would parse is there already
                 setattr(project, name, self.relation(files, name))
             project.variables = project.variables.drop("path")
         return project
@@ -148,7 +150,7 @@ class Store:
         """Leaves the newest `kept` ledgers and the generations that they refer to."""
         stay = self.generations()[-kept:]
         needed = {g for k in stay for g in self._parts(self.ledger(k))}
-        for name in ("ledger", "plan", *self.PARSERS):
+        for name in ("ledger", "plan", *self.RELATIONS):
             for g in self._numbers(name):
                 if g not in (stay if name == "ledger" else needed):
                     path, fs = _path(self.spark, self._at(name, g))
