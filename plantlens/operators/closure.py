@@ -91,12 +91,12 @@ def reached(edge: DataFrame, root: DataFrame, folder: str, rounds: int = 1000) -
     """project_id, root_lc, name_lc of everything that calls lead to within a project from each
     of `root` (project_id, root), roots included, whether the project has them or not.
 
-    One loop serves all roots of all projects. Each round's frontier is written below `folder`,
+    One loop serves all roots of all projects; its joins are shuffled, as a broadcast in each round
+    would pass the edges through the driver as often as there are rounds. Each round's frontier is written below `folder`,
     and no round visits what an earlier one did for the same root. More than `rounds` rounds
     are an error, as what is further away would be lost."""
     spark = edge.sparkSession
     base = f"{folder.rstrip('/')}/reach-{uuid.uuid4().hex}"
-    key = ["project_id", "root_lc", "name_lc"]
     step = edge.select("project_id", F.lower("source").alias("name_lc"), F.lower("target").alias("to_lc")).distinct()
     frontier = root.select("project_id", F.lower("root").alias("root_lc"), F.lower("root").alias("name_lc")).distinct()
     for k in range(rounds):
@@ -105,10 +105,16 @@ def reached(edge: DataFrame, root: DataFrame, folder: str, rounds: int = 1000) -
         seen = spark.read.schema(frontier.schema).option("basePath", base).parquet(base).select("project_id", "root_lc", "name_lc")
         if frontier.isEmpty():
             return seen
-        frontier = frontier.join(step, ["project_id", "name_lc"]).select("project_id", "root_lc", F.col("to_lc").alias("name_lc")).distinct().join(seen, key, "left_anti")
+        frontier = _ahead(frontier, step, seen)
     raise ValueError(f"calls lead further than {rounds} rounds")
 
 
+def _ahead(frontier: DataFrame, step: DataFrame, seen: DataFrame) -> DataFrame:
+    """What one step leads to from the frontier and wasn't seen yet."""
+    ahead = frontier.join(step.hint("merge"), ["project_id", "name_lc"]).select("project_id", "root_lc", F.col("to_lc").alias("name_lc")).distinct()
+    return ahead.join(seen.hint("merge"), ["project_id", "root_lc", "name_lc"], "left_anti")
+
+
 def reachable(edge: DataFrame, root: str, folder: str, rounds: int = 1000) -> DataFrame:
     """name_lc of everything that calls lead to from `root`, itself included; where edges have
     a project_id, project_id and name_lc, from the root of that name in each project."""
