@@ -151,9 +151,13 @@ def module_details() -> dict[str, Column]:
 def evaluate(feature: DataFrame) -> DataFrame:
     """project_id, module, standard, rule_id, level, detail (null where the rule doesn't apply)."""
     rules, detail = module_rules(), module_details()
-    said = lambda k, level: F.when(level != "N", detail[k]) if k in detail else F.lit(None).cast("string")
-    rows = F.array(*[F.struct(F.lit(s).alias("standard"), F.lit(k).alias("rule_id"), level.alias("level"), said(k, level).alias("detail")) for k, (s, level) in rules.items()])
-    return feature.select("project_id", F.col("name").alias("module"), F.inline(rows))
+    # levels and details are columns first, so that a level that its detail looks at is computed once
+    feature = feature.withColumns({f"level {k}": level for k, (_, level) in rules.items()})
+    level = {k: F.col(f"`level {k}`") for k in rules}
+    said = {k: F.when(level[k] != "N", detail[k]) if k in detail else F.lit(None).cast("string") for k in rules}
+    feature = feature.select("project_id", F.col("name").alias("module"), *level.values(), *[x.alias(f"detail {k}") for k, x in said.items()])
+    rows = F.array(*[F.struct(F.lit(s).alias("standard"), F.lit(k).alias("rule_id"), level[k].alias("level"), F.col(f"`detail {k}`").alias("detail")) for k, (s, _) in rules.items()])
+    return feature.select("project_id", "module", F.inline(rows))
 
 
 def project_rules(pou: DataFrame, gvl: DataFrame, dut: DataFrame, variable: DataFrame, method: DataFrame, unresolved: DataFrame) -> DataFrame:
