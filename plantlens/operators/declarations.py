@@ -168,8 +168,9 @@ def variables(owners: DataFrame, task: int | None = TASK) -> DataFrame:
     key = ["project_id", "owner_kind", "owner"]
     owners = owners.select(*key, "declaration")
     owners = dealt(owners, key, "declaration", task) if task else owners
+    # what looks at the whole text is a column before the text becomes rows: beside a generator it would be computed for each row
     noted = F.col("declaration").contains("//") | F.col("declaration").contains("(*")
-    line = owners.select(*key, noted.alias("noted"), F.posexplode(F.split("declaration", "\n")).alias("ord", "line"))
+    line = owners.withColumn("noted", noted).select(*key, "noted", F.posexplode(F.split("declaration", "\n")).alias("ord", "line"))
     w = Window.partitionBy(*key).orderBy("ord")
     has = lambda *marks: reduce(Column.__or__, [F.col("line").contains(m) for m in marks])
     marks = lambda p: F.size(F.split("line", p)) - 1

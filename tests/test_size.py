@@ -29,6 +29,18 @@ def test_comments_of_owners_that_have_none(spark):
     assert {(r.owner, r.name, r.leading_comment) for r in declarations.variables(owner).collect()} == {("plain", "a", None), ("noted", "a", "x\ny"), ("noted", "b", None)}
 
 
+def _above(df, generator):
+    """The part of the plan that works on the rows of a generator."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan[: plan.index(f"Generate {generator}")]
+
+
+def test_a_whole_declaration_is_not_looked_at_by_line(spark):
+    owner = spark.createDataFrame([("p", "pou", "A", "VAR\n\t// note\n\ta : INT;\nEND_VAR")], "project_id string, owner_kind string, owner string, declaration string")
+    found = declarations.variables(owner, task=None)
+    assert "declaration" not in _above(found, "posexplode(split(declaration") and found.first().leading_comment == "note"
+
+
 def test_tokens_of_a_statement_are_found_once(spark):
     df = spark.range(1).select(packml.written_moves(F.concat(F.lit("A: GotoState(B);"), F.col("id"))).alias("m"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1 and df.first().m[0].to == "B"
