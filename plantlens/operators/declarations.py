@@ -156,29 +156,35 @@ def brackets(text: Column) -> Column:
     return F.when(text.contains("("), found).otherwise(flat)
 
 
-def variables(owners: DataFrame, task: int | None = TASK) -> DataFrame:
-    """Variables of owners (project_id, owner_kind, owner, declaration): ord, name, data_type,
-    scope, initial_value, comment, leading_comment, is_reference, is_pointer, is_array,
-    array_bounds, at_binding, constructor_args.
-
-    A line of a VAR block declares one variable. Comment lines before it are its leading
-    comment. Owners are dealt by `task` bytes, for which they are read twice (None: as they
-    come). A declaration of several names, or a block header with two qualifiers, isn't
-    recognised, as in the analyser whose results these match."""
-    key = ["project_id", "owner_kind", "owner"]
-    owners = owners.select(*key, "declaration")
-    owners = dealt(owners, key, "declaration", task) if task else owners
-    # what looks at the whole text is a column before the text becomes rows: beside a generator it would be computed for each row
-    noted = F.col("declaration").contains("//") | F.col("declaration").contains("(*")
-    line = owners.withColumn("noted", noted).select(*key, "noted", F.posexplode(F.split("declaration", "\n")).alias("ord", "line"))
+def _block(line: Column) -> Column:
+    """The scope that a line opens, "" where it ends one; else null."""
+    head = F.regexp_extract(line, BLOCK, 1)
+    return F.when(F.upper(line).contains("VAR"), F.when(head != "", scope_of(head)).when(line.rlike(r"(?i)^\s*END_VAR\b"), ""))
+
+
+def _plain_lines(owners: DataFrame, key: list[str]) -> DataFrame:
+    """The lines in VAR blocks of owners without any comment: an owner's text is cut at the lines that
+    open and end blocks, so that its lines have their scope without a sort."""
+    x = owners.select(*key, F.split("declaration", "\n").alias("lines"))
+    marks = F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("at"), _block(line).alias("scope"))), lambda m: m.scope.isNotNull())
+    x = x.withColumn("marks", marks)
+    end = lambda j: F.coalesce(F.get("marks", j + 1).at, F.size("lines"))
+    blocks = F.transform("marks", lambda m, j: F.struct(m.at.alias("at"), m.scope.alias("scope"), F.slice("lines", m.at + 2, end(j) - m.at - 1).alias("held")))
+    x = x.select(*key, F.inline(F.filter(blocks, lambda b: b.scope != ""))).select(*key, "at", "scope", F.posexplode("held").alias("k", "line"))
+    code = F.when(F.col("line").contains("'"), F.regexp_extract("line", CODE, 1)).otherwise(F.col("line"))
+    return x.select(*key, (F.col("at") + 1 + F.col("k")).alias("ord"), "line", code.alias("code"), "scope", F.lit(None).cast("string").alias("leading_comment"))
+
+
+def _noted_lines(owners: DataFrame, key: list[str]) -> DataFrame:
+    """The lines in VAR blocks of owners with comments, and the comment lines before each."""
+    line = owners.select(*key, F.posexplode(F.split("declaration", "\n")).alias("ord", "line"))
     w = Window.partitionBy(*key).orderBy("ord")
     has = lambda *marks: reduce(Column.__or__, [F.col("line").contains(m) for m in marks])
     marks = lambda p: F.size(F.split("line", p)) - 1
     depth = F.when(has("(*", "*)"), marks(r"\(\*") - marks(r"\*\)")).otherwise(0)
     up_to = w.rowsBetween(Window.unboundedPreceding, -1)
     line = line.withColumn("open", F.coalesce(F.sum(depth).over(up_to), F.lit(0)) > 0)
-    block = F.when(F.upper("line").contains("VAR"), F.regexp_extract("line", BLOCK, 1)).otherwise("")
-    line = line.withColumn("block", F.when(F.col("open"), F.lit(None)).when(block != "", scope_of(block)).when(F.col("line").rlike(r"(?i)^\s*END_VAR\b"), ""))
+    line = line.withColumn("block", F.when(~F.col("open"), _block(F.col("line"))))
     line = line.withColumn("scope", F.last("block", ignorenulls=True).over(w))
     # inline block comments become the comment; what is inside of a longer one is no code
     whole = F.regexp_replace("line", r"\(\*.*?\*\)", "")
@@ -186,19 +192,37 @@ def variables(owners: DataFrame, task: int | None = TASK) -> DataFrame:
     note = F.when(F.col("open") | F.col("line").rlike(r"^\s*(//|\(\*)"), fx.strip(F.regexp_replace("line", r"//|\(\*|\*\)", "")))
     line = line.withColumn("code", F.when(has("'", "//"), F.regexp_extract(code, CODE, 1)).otherwise(code)).withColumn("note", note)
     line = line.withColumn("solid", ((fx.strip("code") != "") | F.col("block").isNotNull()).cast("int"))
-    # where an owner has no comment at all its lines are one run, as there is nothing to gather
-    line = line.withColumn("run", F.when(F.col("noted"), F.coalesce(F.sum("solid").over(up_to), F.lit(0))).otherwise(0))
+    line = line.withColumn("run", F.coalesce(F.sum("solid").over(up_to), F.lit(0)))
     lead = F.array_join(F.collect_list(F.when(F.col("solid") == 0, F.col("note"))).over(Window.partitionBy(*key, "run").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), "\n")
     line = line.withColumn("leading_comment", F.nullif(fx.strip(lead), F.lit("")))
-    stmt = F.regexp_replace(fx.strip("code"), r";\s*$", "")
-    found = line.where("scope <> '' and block is null and code like '%:%'").withColumn("stmt", stmt)
-    left = fx.strip(F.regexp_extract("stmt", r"^([^:]*):", 1))
+    return line.where("scope <> '' and block is null").select(*key, "ord", "line", "code", "scope", "leading_comment")
+
+
+def variables(owners: DataFrame, task: int | None = TASK) -> DataFrame:
+    """Variables of owners (project_id, owner_kind, owner, declaration): ord, name, data_type,
+    scope, initial_value, comment, leading_comment, is_reference, is_pointer, is_array,
+    array_bounds, at_binding, constructor_args.
+
+    A line of a VAR block declares one variable. Comment lines before it are its leading
+    comment. Owners are dealt by `task` bytes, for which they are read twice (None: as they
+    come). A declaration of several names, or a block header with two qualifiers, isn't
+    recognised, as in the analyser whose results these match."""
+    key = ["project_id", "owner_kind", "owner"]
+    owners = owners.select(*key, "declaration")
+    owners = dealt(owners, key, "declaration", task) if task else owners
+    noted = F.col("declaration").contains("//") | F.col("declaration").contains("(*")
+    found = _noted_lines(owners.where(noted), key).union(_plain_lines(owners.where(~noted), key))
+    bare_code = fx.strip("code")
+    stmt = F.when(bare_code.endswith(";"), F.substr(bare_code, F.lit(1), F.length(bare_code) - 1)).otherwise(F.regexp_replace(bare_code, r";\s*$", ""))
+    found = found.where("code like '%:%'").withColumn("stmt", stmt)
+    left = fx.strip(F.substring_index("stmt", ":", 1))
     right = fx.strip(F.regexp_extract("stmt", r"^[^:]*:(.*)$", 1))
     name = F.regexp_extract(left, r"^([A-Za-z_]\w*)\s*(?i:AT\s+%.*)?$", 1)
     at = F.when(left.contains("%"), F.regexp_extract(left, r"(?i)\bAT\s+(%[IQM]\*?[\d.]*)", 1)).otherwise("")
     found = found.withColumn("name", name).withColumn("at_binding", F.nullif(at, F.lit(""))).withColumn("right", right).where("name <> '' and right <> ''")
-    ref, ptr, arr = (F.col("right").rlike(p) for p in (r"(?i)^REFERENCE\s+TO\b", r"(?i)^POINTER\s+TO\b", r"(?i)^ARRAY\s*\["))
-    bare = fx.strip(F.regexp_replace("right", r"(?i)^(REFERENCE\s+TO|POINTER\s+TO|ARRAY\s*\[[^\]]*\]\s*OF)\s+", ""))
+    begins = F.upper(F.left("right", F.lit(9)))  # most types have none of these words, and need no pattern then
+    ref, ptr, arr = (begins.startswith(word) & F.col("right").rlike(p) for word, p in (("REFERENCE", r"(?i)^REFERENCE\s+TO\b"), ("POINTER", r"(?i)^POINTER\s+TO\b"), ("ARRAY", r"(?i)^ARRAY\s*\[")))
+    bare = F.when(ref | ptr | arr, fx.strip(F.regexp_replace("right", r"(?i)^(REFERENCE\s+TO|POINTER\s+TO|ARRAY\s*\[[^\]]*\]\s*OF)\s+", ""))).otherwise(F.col("right"))
     found = found.withColumn("bare", bare).withColumn("at", brackets(F.col("bare")))
     is_text = F.col("bare").rlike(r"(?i)^W?STRING\s*\(\s*\w+\s*\)$")
     valued, has_args = F.col("at.assign").isNotNull(), F.col("at.assign").isNull() & (F.col("at.open") > 0) & F.col("at.close").isNotNull() & ~is_text

@@ -84,3 +84,33 @@ def test_a_store_parses_each_changed_file_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("plantlens.plans.store.file_variables", lambda *t, f=__import__("plantlens.plans.store", fromlist=["x"]).file_variables, **k: (parsed.append(["from_xml" in _plan(x).lower() or "xmltostructs" in _plan(x).lower() for x in t]) if "task" not in k else None, f(*t, **k))[1])
     Store(spark, str(tmp_path)).update(v.parts(spark, SF))
     assert parsed == [[False] * 3]
+
+
+ODD = """FUNCTION_BLOCK A
+	nBefore : INT;
+var_input constant
+	a : REFERENCE  TO FB_A;
+	b, c : INT;
+	sText : STRING(20) := 'x;y:z''';;
+END_VAR *)
+	nBetween : INT;
+VAR
+	p AT %I* : pointer to INT := 5 ;
+
+	rows : Array [0..3] OF FB_R(n := (1 + 2));
+	END_VARX : INT;
+VAR_TEMP RETAIN
+	t : ARRAYTYPE;
+	empty : ;
+VAR PERSISTENT
+	last : INT"""
+
+
+def test_owners_without_comments_are_read_without_a_sort(spark):
+    text = {"odd": ODD, "none": "", "open": "VAR", "lists": "VAR\n\ta : INT;\nEND_VAR\nVAR\nEND_VAR\nVAR_OUTPUT\n\ta2 : BOOL;\nEND_VAR"}
+    owner = lambda end: spark.createDataFrame([("p", "pou", k, x + end) for k, x in text.items()], "project_id string, owner_kind string, owner string, declaration string")
+    plain, noted = owner(""), owner("\n// ends\n")  # a comment at the end belongs to no variable
+    key = ["project_id", "owner_kind", "owner"]
+    assert "Window" not in _plan(declarations._plain_lines(plain, key))
+    found = {tuple(r) for r in declarations.variables(plain, task=None).collect()}
+    assert len(found) == 9 and found == {tuple(r) for r in declarations.variables(noted, task=None).collect()}
